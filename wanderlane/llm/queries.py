@@ -6,7 +6,12 @@ import importlib
 
 #: Query name -> module that holds a function of that name.
 MODULES = {
+    "op1_embeddings": "embeddings",
+    "op3_quality_rules": "quality_rules",
+    "op4_language": "language",
+    "op5_simhash": "simhash",
     "op6_mixing": "mixing",
+    "op8_quality_classifier": "quality_classifier",
     "op10_token_counts": "token_counts",
 }
 
