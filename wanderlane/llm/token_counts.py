@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import cut, fresh_path, table
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
-BATCH_BYTES = 4 << 20
+BATCH_CHARS = 1 << 18
 
 
 def tokenizer_version(path: str) -> str:
@@ -31,16 +31,20 @@ def _encoder(path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
+        import tokenizers
+
+        # One tokenizer for all tasks of a worker process: loading one for each leaves memory behind.
+        loaded = tokenizers.__dict__.setdefault("_loaded_by_path", {})
+        if path not in loaded:
+            loaded[path] = tokenizers.Tokenizer.from_file(path)
+            loaded[path].no_truncation()
+            loaded[path].no_padding()
+        tok = loaded[path]
         for batch in batches:
             texts, counts, start, size = batch.column("text").to_pylist(), [], 0, 0
             for k, text in enumerate(texts):
                 size += len(text)
-                if size >= BATCH_BYTES or k == len(texts) - 1:
+                if size >= BATCH_CHARS or k == len(texts) - 1:
                     counts += [len(e) for e in tok.encode_batch_fast(texts[start : k + 1], add_special_tokens=False)]
                     start, size = k + 1, 0
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
