@@ -21,24 +21,17 @@ def side(member: Column, n: Column) -> Column:
     return F.pmod(F.xxhash64(member, F.lit("side")), n)
 
 
-def cells_of_one(rows: DataFrame, key: str, member: str) -> DataFrame:
+def cells(rows: DataFrame, key: str, member: str, sizes: DataFrame | None = None) -> DataFrame:
     """rows with columns i, j, left, right: cells in which all pairs of a bucket's members meet once, left against right.
 
-    In a cell (i, i) a row is on both sides; in a cell i < j it is on one. Buckets of one member are dropped.
+    In a cell (i, i) a row is on both sides; in a cell i < j it is on one. sizes: (key, n) of the buckets to compare; if
+    not given, all of two members or more.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").withColumn("_k", F.ceil(F.col("_n") / SPLIT))
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1") if sizes is None else sizes
+    sizes = sizes.select(key, F.ceil(F.col("n") / SPLIT).alias("_k"))
     own = rows.join(sizes, key).withColumn("_s", side(F.col(member), F.col("_k")))
-    cells = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    return cells.select(*rows.columns, F.least("_s", "_o").alias("i"), F.greatest("_s", "_o").alias("j"), (F.col("_s") <= F.col("_o")).alias("left"), (F.col("_s") >= F.col("_o")).alias("right"))
-
-
-def cells_of_two(rows: DataFrame, key: str, member: str, is_left: str) -> DataFrame:
-    """The same for buckets of two kinds of rows: every left row meets every right row once."""
-    sizes = rows.groupBy(key).agg(F.sum(F.col(is_left).cast("long")).alias("_l"), F.sum((~F.col(is_left)).cast("long")).alias("_r")).filter("_l > 0 and _r > 0")
-    sizes = sizes.select(key, F.ceil(F.col("_l") / SPLIT).alias("_kl"), F.ceil(F.col("_r") / SPLIT).alias("_kr"))
-    own = rows.join(sizes, key).withColumn("_s", side(F.col(member), F.when(F.col(is_left), F.col("_kl")).otherwise(F.col("_kr"))))
-    cells = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.when(F.col(is_left), F.col("_kr")).otherwise(F.col("_kl")) - 1)))
-    return cells.select(*rows.columns, F.when(F.col(is_left), F.col("_s")).otherwise(F.col("_o")).alias("i"), F.when(F.col(is_left), F.col("_o")).otherwise(F.col("_s")).alias("j"), F.col(is_left).alias("left"), (~F.col(is_left)).alias("right"))
+    out = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    return out.select(*rows.columns, F.least("_s", "_o").alias("i"), F.greatest("_s", "_o").alias("j"), (F.col("_s") <= F.col("_o")).alias("left"), (F.col("_s") >= F.col("_o")).alias("right"))
 
 
 def by_cell(cells: DataFrame, key: str, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bucketed import Forest, by_cell, cells_of_one, pairs, whole_cells
+from .bucketed import Forest, by_cell, cells, pairs, whole_cells
 from .common import cut, table
 from .components import components
 from .vector import mix64
@@ -118,7 +118,7 @@ def near_duplicates(vectors: DataFrame, vector_col: str = "embedding", id_col: s
     known = cut(rows.mapInArrow(_classes, "vec_id long, cid long, raw binary"), "vectors")
     classes = cut(known.filter("cid is not null").groupBy("cid").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.max("raw").alias("raw")), "vector-classes")
     hashed = classes.select("cid", "n", "raw").mapInArrow(_hashed, "key long, t int, cid long, n long, raw binary, marks binary")
-    found = cut(by_cell(cells_of_one(hashed, "key", "cid"), "key", _verify, "a long, b long, n long"), "vector-links")
+    found = cut(by_cell(cells(hashed, "key", "cid"), "key", _verify, "a long, b long, n long"), "vector-links")
     stars = cut(components(found.filter("a <> b").select("a", "b")), "vector-components")
     counts = found.filter("a = b").groupBy("a").agg(F.sum("n").alias("others"))
     rooted = classes.drop("raw").join(stars, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("component", "cid"))

@@ -1,11 +1,13 @@
 """SimHash near-duplicates by multi-index hashing.
 
 A fingerprint has a bit set where over half of the XXH64 values of the text's shingles have it. Fingerprints, not texts,
-are compared, each distinct one once. They are cut into three segments; of two fingerprints that differ in at most four
-bits, some segment differs in at most one, and unless it is equal one of the first two does. So each fingerprint looks up,
-in each segment's table, its own value, and in the first two tables also the values with one of its set bits cleared (the
-other fingerprint looks up the rest). Matches are verified by the complete distance. Links are thinned to spanning forests
-where they are found, so a large group of copies costs links in proportion to its members.
+are compared, each distinct one once. They are cut into five segments, and there is a table for each pair of segments, with
+the values of both as the key (26 bits, so that chance meetings stay rare in large corpora). Of two fingerprints that differ
+in at most four bits, either two segments are equal, and they meet in that pair's table; or one segment is equal and each
+other differs in one bit: so each fingerprint also looks up, for each segment, the Hamming ball of radius one around the
+next segment (only values with a set bit cleared: the other fingerprint looks up the rest). Matches are verified by the
+complete distance. Links are thinned to spanning forests where they are found, so a large group of copies costs links in
+proportion to its members.
 
 Defined results: texts without words have fingerprint zero and are linked like any other; a null text is empty; repeated
 rows and ids keep their rows; rows without an id take part, and component_id is the least id that is not null.
@@ -15,16 +17,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bucketed import Forest, by_cell, cells_of_two, pairs, whole_cells
+from .bucketed import Forest, by_cell, cells, pairs, whole_cells
 from .common import cut, table
 from .components import components
 from .vector import LOWER, blocks
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: (lowest bit, bits) of each segment.
+SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 
 def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
@@ -75,23 +78,31 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], ["a", "b"])
 
 
+def lookups(fp: Column) -> Column:
+    """The keys of a fingerprint: array of (key, exact). key: table number, then the values of its two segments."""
+    segment = [F.shiftrightunsigned(fp, low).bitwiseAND((1 << bits) - 1) for low, bits in SEGMENTS]
+    n, keys = len(SEGMENTS), []
+
+    def key(i: int, j: int, vi: Column, vj: Column, exact: bool) -> Column:
+        return F.struct((F.lit((i * n + j) << 32) + F.shiftleft(vi, 16) + vj).alias("key"), F.lit(exact).alias("exact"))
+
+    for i in range(n):
+        keys += [key(i, j, segment[i], segment[j], True) for j in range(i + 1, n)]
+        j = (i + 1) % n  # the ball of radius one in the next segment
+        lo, hi = min(i, j), max(i, j)
+        for b in range(SEGMENTS[j][1]):
+            cleared = segment[j].bitwiseXOR(1 << b)
+            near = key(lo, hi, *((cleared, segment[i]) if lo == j else (segment[i], cleared)), False)
+            keys.append(F.when(F.shiftright(segment[j], b).bitwiseAND(1) == 1, near))
+    return F.array_compact(F.array(*keys))
+
+
 def link(distinct: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect the same components as all links do."""
-    fp, lookups = F.col("fp"), []
-    for k, (low, bits) in enumerate(SEGMENTS):
-        value = F.shiftrightunsigned(fp, low).bitwiseAND((1 << bits) - 1)
-        key = lambda v, k=k: F.lit(k) * (1 << 40) + v
-        lookups.append(distinct.select(key(value).alias("key"), "fp", F.lit(False).alias("probe")))
-        ball = [value] if k == 2 else [value, *[F.when(F.shiftright(value, b).bitwiseAND(1) == 1, value.bitwiseXOR(1 << b)) for b in range(bits)]]
-        probes = distinct.select("fp", F.explode(F.array_compact(F.array(*ball))).alias("v"))
-        lookups.append(probes.select(key(F.col("v")).alias("key"), "fp", F.lit(True).alias("probe")))
-    rows = lookups[0]
-    for more in lookups[1:]:
-        rows = rows.unionByName(more)
-    # A fingerprint's look-up of its own value finds itself: a bucket with one fingerprint has nothing to verify.
-    lone = rows.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi").select("key")
-    rows = rows.join(lone, "key", "left_semi")
-    return by_cell(cells_of_two(rows, "key", "fp", "probe"), "key", _verify, "a long, b long")
+    rows = distinct.select("fp", F.explode(lookups(F.col("fp"))).alias("k")).select("k.key", "fp", "k.exact")
+    # Buckets without two fingerprints, or without one that has this very value, have nothing to verify.
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.max("exact").alias("some")).filter("lo < hi and some").select("key", "n")
+    return by_cell(cells(rows.select("key", "fp"), "key", "fp", sizes), "key", _verify, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
