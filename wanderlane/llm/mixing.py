@@ -23,7 +23,7 @@ from .common import WORD, cut, table
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT, CAP = 150, 2
 ROUNDS = 24
-BUCKET_DOCS = 8192
+BUCKET_DOCS = 1024
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHARE_PERCENT, cap: int = CAP) -> DataFrame:
