@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 
 ROWS = 1 << 20  # tuples in memory, for each of the few arrays in use at a time
-END = 1 << 62
+DEEP = 4096  # waves of tuples that fall back into a range, before it is read a bucket at a time
 
 
 class Store:
@@ -92,6 +92,42 @@ class Queue:
         return out[np.argsort(out["key"], kind="stable")] if len(taken) > 1 else out
 
 
+class ByteQueue(Queue):
+    """A queue of byte keys: a list for each key in memory, so that reading a bucket touches no other."""
+
+    def __init__(self, store: Store, dtype):
+        super().__init__(store, dtype)
+        self.lists: list[list[np.ndarray]] = [[] for _ in range(256)]
+
+    def push(self, items: np.ndarray) -> None:
+        """items: by ascending key."""
+        if not len(items):
+            return
+        cuts = np.append(np.flatnonzero(np.append(True, items["key"][1:] != items["key"][:-1])), len(items))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            self.lists[int(items["key"][lo])].append(items[lo:hi])
+        self.n_fresh += len(items)
+        if self.n_fresh > self.store.rows:
+            path = self.store.path()
+            np.concatenate([x for key in self.lists for x in key]).tofile(path)
+            self.runs.append(np.memmap(path, self.dtype, "r"))
+            self.lists, self.n_fresh = [[] for _ in range(256)], 0
+
+    def pop_through(self, key: int) -> np.ndarray:
+        taken = []
+        for k, run in enumerate(self.runs):
+            cut = int(np.searchsorted(run["key"], key, "right"))
+            taken.append(np.array(run[:cut]))
+            self.runs[k] = run[cut:]
+        self.runs = [r for r in self.runs if len(r)]
+        for k in range(key + 1):
+            taken += self.lists[k]
+            self.n_fresh -= sum(map(len, self.lists[k]))
+            self.lists[k] = []
+        out = np.concatenate([np.empty(0, self.dtype), *taken])
+        return out[np.argsort(out["key"], kind="stable")] if (out["key"][1:] < out["key"][:-1]).any() else out
+
+
 def types(text: np.ndarray, store: Store) -> np.ndarray:
     """True for S. The end of the text is less than any symbol, so the last suffix is L."""
     n = len(text)
@@ -231,7 +267,7 @@ def induce_order(text: np.ndarray, seeds: np.ndarray, flip: int, begin: bool, st
     if flip:
         count = np.append(np.zeros(flip + 1 - len(count), np.int64), count[::-1])
     total = np.cumsum(count)
-    out, done, seed_at, low = [], 0, 0, 0
+    seed_at = low = 0
     result, filled = store.empty(n, np.int64), 0
     while low < len(count):
         high = max(low, int(np.searchsorted(total, (total[low - 1] if low else 0) + store.rows // 4, "right")) - 1)
@@ -267,9 +303,9 @@ def induce_order(text: np.ndarray, seeds: np.ndarray, flip: int, begin: bool, st
                 val.append(parent)
                 size += len(idx)
                 deep += 1
-                if deep > 24 and high > low:
+                if deep > DEEP and high > low:
                     break
-            if deep > 24 and high > low and len(front_p):  # long runs: take one bucket, where waves need no ranking
+            if deep > DEEP and high > low and len(front_p):  # long runs: take one bucket, where waves need no ranking
                 keep = char <= low
                 push(pos[~keep], char[~keep])
                 push(pos[keep], char[keep])
@@ -279,19 +315,20 @@ def induce_order(text: np.ndarray, seeds: np.ndarray, flip: int, begin: bool, st
         if high == low:
             order = np.concatenate([P[0], *P[2:], P[1]])  # old, waves, seeds
             from_seed = np.append(np.zeros(size - len(s_pos), bool), np.ones(len(s_pos), bool))
-            chars = np.full(size, low)
         else:
             p, c, k, v = (np.concatenate(x) for x in (P, C, kind, val))
-            is_child, rank = k == 1, np.zeros(size, np.int64)
+            # By symbol and kind, then by the parent's, and so on up to an old one or a seed: doubling along the parents.
+            up = np.where(k == 1, v, np.arange(size))
+            minor, major = np.where(k == 1, 0, v), 3 * c + k
             while True:
-                value = np.where(is_child, rank[np.where(is_child, v, 0)], v)
-                by = np.lexsort((value, k, c))
-                new = np.empty(size, np.int64)
-                new[by] = np.arange(size)
-                if (new == rank).all():
+                by = np.lexsort((minor, major))
+                step = (major[by][1:] != major[by][:-1]) | (minor[by][1:] != minor[by][:-1])
+                major = np.empty(size, np.int64)
+                major[by] = np.append(0, np.cumsum(step))
+                if step.all():
                     break
-                rank = new
-            order, from_seed, chars = p[by], k[by] == 2, c[by]
+                minor, up = major[up], up[up]
+            order, from_seed = p[by], k[by] == 2
         has = order > 0
         left = _lookup(text, np.where(has, order - 1, 0), flip)
         away = has & (left > high)
@@ -300,8 +337,6 @@ def induce_order(text: np.ndarray, seeds: np.ndarray, flip: int, begin: bool, st
         result[filled : filled + len(mine)] = mine
         filled += len(mine)
         seed_at, low = stop, high + 1
-        del chars
-    del out, done
     return result[:filled]
 
 
@@ -366,7 +401,7 @@ class Prefixes:
             off = x != 0
             if off.any():
                 low = x[off] & (~x[off] + np.uint64(1))
-                byte = np.bitwise_count(low - np.uint64(1)) // 8
+                byte = np.bitwise_count(low - np.uint64(1)).astype(np.int64) // 8
                 out[live[off]] = np.minimum(out[live[off]], skip + byte)
                 live = live[~off]
         return out
@@ -375,7 +410,7 @@ class Prefixes:
 def _induce_with_prefixes(text: np.ndarray, seeds: Iterator, flip: int, begin: bool, prefixes: Prefixes, store: Store) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(bucket, positions, common prefix with the one before) of the induced suffixes. seeds(bucket): (positions, prefixes)."""
     limit, n = prefixes.limit, len(text)
-    queue = Queue(store, [("key", "<u8"), ("pos", "<i8"), ("lcp", "<i4")])
+    queue = ByteQueue(store, [("key", "u1"), ("pos", "<i8"), ("lcp", "<i4")])
     least = np.full(256, -1, np.int64)  # since the last tuple for each bucket; -1: none yet
 
     def scan(pos: np.ndarray, lcp: np.ndarray, bucket: int, strict: bool) -> tuple[np.ndarray, np.ndarray]:
