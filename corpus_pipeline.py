@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wanderlane.llm import mixing, quality_classifier, simhash
+from wanderlane.llm import mixing, pieces, quality_classifier, simhash, suffix_dedup
 from wanderlane.llm.common import fresh_path, table
 
 
@@ -21,8 +21,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id; rows without an id stay."""
-    groups = simhash.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    gone = simhash.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that repeat; a text of which nothing is left goes."""
+    out = suffix_dedup.remove_repeats(docs)
+    return out.filter(F.length("text") > 0).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +36,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply_mix(docs)
 
 
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of each document."""
+    return pieces.encode(docs, pieces.model_path())
+
+
 STAGES = [
     ("quality classifier", keep_quality),
     ("SimHash near-dedup", keep_one_of_each_group),
+    ("suffix-array dedup", remove_repeats),
     ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding", encode_pieces),
 ]
 
 #: The classifier's vote, fingerprints and pseudorandom permutations are not SQL; tests hold the result against brute force.

@@ -7,11 +7,14 @@ import importlib
 #: Query name -> module that holds a function of that name.
 MODULES = {
     "op1_embeddings": "embeddings",
+    "op2_sentencepiece": "pieces",
     "op3_quality_rules": "quality_rules",
     "op4_language": "language",
     "op5_simhash": "simhash",
     "op6_mixing": "mixing",
+    "op7_suffix_dedup": "suffix_dedup",
     "op8_quality_classifier": "quality_classifier",
+    "op9_language_model": "language_model",
     "op10_token_counts": "token_counts",
 }
 
