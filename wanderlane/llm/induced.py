@@ -474,15 +474,18 @@ class _Lists:
     """(positions, prefixes) by bucket, in files; readable forwards and backwards."""
 
     def __init__(self, store: Store):
-        self.store, self.parts = store, [[] for _ in range(256)]
+        self.store, self.parts, self.held = store, [[] for _ in range(256)], 0
 
     def add(self, bucket: int, pos: np.ndarray, lcp: np.ndarray) -> None:
-        if len(pos) > 4096:
+        """In memory up to the store's number of rows, then in files, but for short ones."""
+        self.held += len(pos)
+        if self.held > self.store.rows and len(pos) > 4096:
+            self.held -= len(pos)
             path = self.store.path()
             np.concatenate([pos.astype(np.int64), lcp.astype(np.int64)]).tofile(path)
             self.parts[bucket].append((path, len(pos)))
         else:
-            self.parts[bucket].append((pos, lcp))
+            self.parts[bucket].append((pos, lcp.astype(np.int32)))
 
     def _load(self, part) -> tuple[np.ndarray, np.ndarray]:
         if isinstance(part[0], str):
