@@ -30,10 +30,10 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
+def cut(df: DataFrame, what: str = "cut", compression: str = "snappy") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: its lineage ends there and any executor can go."""
     path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out

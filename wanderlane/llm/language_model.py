@@ -48,6 +48,21 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{size}").ravel()
 
 
+def pack_sorted(a: np.ndarray) -> bytes:
+    return pack(np.diff(a, prepend=np.uint64(0)))
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw).astype(np.uint64))
+
+
+def pair_codes(at: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """A number for each bigram of a block, from the numbers of its tokens; the begin of a text is a number of its own."""
+    before = np.append(0, at[:-1].astype(np.int64) + 1)
+    before[np.cumsum(lens.astype(np.int64))[:-1]] = 0
+    return before * (int(at.max()) + 2 if len(at) else 1) + at
+
+
 def tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, bigrams, number of tokens of each row): words and an end for each row, and each with the one before."""
     rows, n = block.word_rows, block.rows
@@ -88,7 +103,7 @@ def _requests(part_bits: int):
                 cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(found))
                 spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(spans), name)), pa.array(np.full(len(spans), kind, np.int32)), pa.array(part[cuts[:-1]].astype(np.int32)), pa.array([pack(found[a:b]) for a, b in spans], pa.binary()), pa.array([pack(counts[a:b]) for a, b in spans], pa.binary())],
+                    [pa.array(np.full(len(spans), name)), pa.array(np.full(len(spans), kind, np.int32)), pa.array(part[cuts[:-1]].astype(np.int32)), pa.array([pack_sorted(found[a:b]) for a, b in spans], pa.binary()), pa.array([pack(counts[a:b]) for a, b in spans], pa.binary())],
                     ["block", "kind", "part", "asked", "own"],
                 )
 
@@ -99,9 +114,8 @@ def _grouped(batches, keys: tuple[str, ...]):
     """Lists of rows with equal keys, from rows sorted by them."""
     held, key = [], None
     for batch in batches:
-        names = batch.schema.names
-        for values in zip(*(c.to_pylist() for c in batch.columns)):
-            row = dict(zip(names, values))
+        for k in range(batch.num_rows):
+            row = {name: column[k].as_py() for name, column in zip(batch.schema.names, batch.columns)}
             now = tuple(row[k] for k in keys)
             if now != key and held:
                 yield held
@@ -114,7 +128,7 @@ def _grouped(batches, keys: tuple[str, ...]):
 
 def _answers(batches):
     for rows in _grouped(batches, ("kind", "part")):
-        asked = [unpack(r["asked"]).astype(np.uint64) for r in rows]
+        asked = [unpack_sorted(r["asked"]) for r in rows]
         own = np.concatenate([unpack(r["own"]).astype(np.int64) for r in rows])
         found, inverse = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.zeros(len(found), np.int64)
@@ -135,34 +149,34 @@ def _answers(batches):
 def _texts(batches):
     for name, batch, block in _named_blocks(batches):
         token, pair, lens = tokens(block)
-        data = [np.unique(values, return_inverse=True)[1] for values in (token, pair)]
+        at, number = (np.unique(values, return_inverse=True)[1] for values in (token, pair))
+        _, first = np.unique(pair_codes(at, lens), return_index=True)
         one = lambda v, t: pa.array([v], t)
         yield pa.RecordBatch.from_arrays(
-            [one(name, pa.int64()), one(TEXT, pa.int32()), one(0, pa.int32()), one(pack(data[0]), pa.binary()), one(pack(data[1]), pa.binary()), one(pack(lens), pa.binary()), pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("doc_id")), one(batch.column("train").to_pylist(), pa.list_(pa.bool_()))],
+            [one(name, pa.int64()), one(TEXT, pa.int32()), one(0, pa.int32()), one(pack(at), pa.binary()), one(pack(number[first]), pa.binary()), one(pack(lens), pa.binary()), pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("doc_id")), one(batch.column("train").to_pylist(), pa.list_(pa.bool_()))],
             ["block", "kind", "part", "data", "pairs", "lens", "ids", "train"],
         )
 
 
 def _counted(id_type: pa.DataType):
-    """Blocks with the corpus count of each token, of the token before (0: the text begins) and of the bigram."""
-    names = ["kind", "data", "before", "pairs", "lens", "ids", "train"]
+    """Blocks with the corpus count of each token and bigram."""
+    names = ["kind", "data", "pairs", "lens", "ids", "train"]
 
     def run(batches):
         for rows in _grouped(batches, ("block", "whole")):
             if rows[0]["kind"] == TOTALS:
                 for r in rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([TOTALS], pa.int32()), pa.array([r["data"]], pa.binary()), *(pa.nulls(1, pa.binary()) for _ in range(3)), pa.nulls(1, pa.list_(id_type)), pa.nulls(1, pa.list_(pa.bool_()))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array([TOTALS], pa.int32()), pa.array([r["data"]], pa.binary()), *(pa.nulls(1, pa.binary()) for _ in range(2)), pa.nulls(1, pa.list_(id_type)), pa.nulls(1, pa.list_(pa.bool_()))], names)
                 continue
             text, *answers = rows
             if text["kind"] != TEXT:
                 raise RuntimeError("a block was not read again as it was")
             of = {k: np.concatenate([unpack(r["data"]) for r in answers if r["kind"] == k]) for k in (TOKENS, PAIRS)}
-            at = unpack(text["data"])
-            count, pair, lens = of[TOKENS][at], of[PAIRS][unpack(text["pairs"])], unpack(text["lens"])
-            before = np.append(0, count[:-1])
-            before[np.cumsum(lens.astype(np.int64))[:-1]] = 0
+            at, lens = unpack(text["data"]), unpack(text["lens"])
+            number = unpack(text["pairs"])[np.unique(pair_codes(at, lens), return_inverse=True)[1]]  # of the bigram in the request
+            count, pair = of[TOKENS][at], of[PAIRS][number]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([TEXT], pa.int32()), *(pa.array([pack(v)], pa.binary()) for v in (count, before, pair, lens)), pa.array([text["ids"]], pa.list_(id_type)), pa.array([text["train"]], pa.list_(pa.bool_()))], names
+                [pa.array([TEXT], pa.int32()), *(pa.array([pack(v)], pa.binary()) for v in (count, pair, lens)), pa.array([text["ids"]], pa.list_(id_type)), pa.array([text["train"]], pa.list_(pa.bool_()))], names
             )
 
     return run
@@ -173,8 +187,9 @@ def _bucket(n: np.ndarray) -> np.ndarray:
     return np.frexp(n.astype(np.float64))[1].astype(np.int64)
 
 
-def _context(before: np.ndarray, lens: np.ndarray, texts: int) -> np.ndarray:
-    before = before.astype(np.int64)
+def _context(count: np.ndarray, lens: np.ndarray, texts: int) -> np.ndarray:
+    """The count of the token before each; of the begin of a text, the number of texts."""
+    before = np.append(0, count[:-1]).astype(np.int64)
     before[np.append(0, np.cumsum(lens.astype(np.int64))[:-1])] = texts
     return before
 
@@ -188,7 +203,7 @@ def _histogram(n: int, texts: int):
             for row in batch.to_pylist():
                 lens = unpack(row["lens"])
                 use = np.repeat(np.array(row["train"], bool), lens)
-                context, count, pair = (v[use].astype(np.int64) for v in (_context(unpack(row["before"]), lens, texts), unpack(row["data"]), unpack(row["pairs"])))
+                context, count, pair = (v[use].astype(np.int64) for v in (_context(unpack(row["data"]), lens, texts), unpack(row["data"]), unpack(row["pairs"])))
                 p2 = np.where(context > 1, (pair - 1) / np.maximum(context - 1, 1), 0.0)  # counts without this token
                 p1 = (count - 1) / max(n - 1, 1)
                 key, inverse = np.unique((_bucket(context - 1) * 1024 + cell(p2)) * 1024 + cell(p1), return_inverse=True)
@@ -222,7 +237,7 @@ def _scores(n: int, v: int, texts: int, weights: np.ndarray, id_type: pa.DataTyp
         for batch in batches:
             for row in batch.to_pylist():
                 lens, count, pair = unpack(row["lens"]).astype(np.int64), unpack(row["data"]).astype(np.float64), unpack(row["pairs"])
-                context = _context(unpack(row["before"]), lens, texts)
+                context = _context(count, lens, texts)
                 w = weights[_bucket(context)]
                 p = w[:, 0] / (v + 1) + w[:, 1] * count / max(n, 1) + w[:, 2] * pair / np.maximum(context, 1)
                 if not n:
@@ -259,7 +274,7 @@ def score(docs: DataFrame, train, text_col: str = "text", id_col: str = "doc_id"
     texts = d.mapInArrow(_texts, f"block long, kind int, part int, data binary, pairs binary, lens binary, ids {ids}, train array<boolean>")
     met = texts.unionByName(answers).withColumn("whole", F.col("kind") < TOTALS)
     met = met.repartition(n, "block", "whole").sortWithinPartitions("block", "whole", "kind", "part")
-    counted = cut(met.mapInArrow(_counted(id_type), f"kind int, data binary, before binary, pairs binary, lens binary, ids {ids}, train array<boolean>"), "lm-counts")
+    counted = cut(met.mapInArrow(_counted(id_type), f"kind int, data binary, pairs binary, lens binary, ids {ids}, train array<boolean>"), "lm-counts", "zstd")
     totals = [unpack(bytes(r.data)).astype(np.int64) for r in counted.filter(F.col("kind") == TOTALS).select("data").toLocalIterator()]  # three numbers a part
     n_train, v, begins = (int(x) for x in np.sum(totals, axis=0)) if totals else (0, 0, 0)
     blocks_ = counted.filter(F.col("kind") == TEXT)
