@@ -16,6 +16,7 @@ text back unless it holds the mark itself (U+2581), which decodes as a space; re
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -28,6 +29,7 @@ from .common import table
 MARK = "▁"
 CHUNK_CHARS = 1 << 21
 CACHED_UNITS = 400_000
+_ONE = (1,)
 
 
 class Pieces:
@@ -43,13 +45,18 @@ class Pieces:
         self.ids = {model.id_to_piece(k): k for k in sorted(plain)}
         self.rank = {p: -model.get_score(k) for p, k in self.ids.items()}
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.longest = max(map(len, self.ids), default=1)
         self.decoded = [b""] * n
         for p, k in self.ids.items():
             self.decoded[k] = p.replace(MARK, " ").encode()
         for b, k in enumerate(self.bytes):
             self.decoded[k] = bytes([b])
-        self._whole: dict[str, bool] = {}
+        # Pieces that encode as themselves: only these end a prefix.
+        self._raws = {p: self._raw(p) for p in self.ids if self.merge(p) == [p]}
+        lengths: dict[str, set[int]] = {}
+        for p in self._raws:
+            if len(p) > 1:
+                lengths.setdefault(p[-2:], {1}).add(len(p))
+        self._sizes = {tail: tuple(sorted(found, reverse=True)) for tail, found in lengths.items()}
         self._pair: dict[tuple[str, str], bool] = {}
         self._units: dict[str, bytes] = {}
 
@@ -75,39 +82,40 @@ class Pieces:
                 self._pair.clear()
         return known
 
-    def _stands(self, piece: str) -> bool:
-        known = self._whole.get(piece)
-        if known is None:
-            known = self._whole[piece] = len(piece) == 1 or (piece in self.ids and self.merge(piece) == [piece])
-            if len(self._whole) > 4 * CACHED_UNITS:
-                self._whole.clear()
-        return known
-
-    def _ids_of(self, piece: str) -> list[int]:
+    def _raw(self, piece: str) -> bytes:
+        """Ids (int32) of a piece, or of the bytes of a character outside the vocabulary."""
         k = self.ids.get(piece)
-        return [k] if k is not None else [self.bytes[b] for b in piece.encode()]
+        return np.array([k] if k is not None else [self.bytes[b] for b in piece.encode()], np.int32).tobytes()
 
     def encode_sorted(self, units: list[str]) -> list[bytes]:
         """Ids (int32) of units in sorted order: a depth-first walk of their trie."""
         out, states, before = [], [""], ""
+        pairs, raw, sizes_of, common_prefix = self._pair, self._raws, self._sizes, os.path.commonprefix
         for unit in units:
-            common, most = 0, min(len(unit), len(before))
-            while common < most and unit[common] == before[common]:
-                common += 1
+            common = len(common_prefix((before, unit)))
             del states[common + 1 :]
             for end in range(common + 1, len(unit) + 1):
-                for size in range(min(self.longest, end), 0, -1):
-                    piece, last = unit[end - size : end], states[end - size]
-                    if (size == 1 or piece in self.ids) and self._stands(piece) and (not last or self._fits(last, piece)):
-                        states.append(piece)
-                        break
+                # Only lengths of pieces with these two last characters come into question.
+                for size in sizes_of.get(unit[end - 2 : end], _ONE) if end > 1 else _ONE:
+                    if size <= end:
+                        piece = unit[end - size : end]
+                        if piece in raw or size == 1:
+                            last = states[end - size]
+                            fits = pairs.get((last, piece)) if last else True
+                            if fits is None:
+                                fits = self._fits(last, piece)
+                            if fits:
+                                states.append(piece)
+                                break
                 else:
                     raise AssertionError("a prefix without a state")
             at, parts = len(unit), []
             while at:
-                parts.append(states[at])
-                at -= len(states[at])
-            out.append(np.array([k for p in reversed(parts) for k in self._ids_of(p)], np.int32).tobytes())
+                piece = states[at]
+                parts.append(raw.get(piece) or self._raw(piece))
+                at -= len(piece)
+            parts.reverse()
+            out.append(b"".join(parts))
             before = unit
         return out
 
