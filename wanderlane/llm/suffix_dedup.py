@@ -107,21 +107,24 @@ def _anchor_rows(length: int):
 
 
 def _cut_segments(length: int, part: int):
+    names = ["h", "part", "parts", "seg", "bytes"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
     def run(batches):
+        out, size = [[] for _ in names], 0
         for batch in batches:
-            raw, wanted = batch.column("raw"), batch.column("wanted").to_pylist()
-            out = {"h": [], "part": [], "parts": [], "seg": [], "bytes": []}
-            for k, segments in enumerate(wanted):
-                text = raw[k].as_py()
-                for s in segments:
+            for text, wanted in zip(batch.column("raw"), batch.column("wanted")):
+                text = text.as_py()
+                for s in wanted.as_py():
                     parts = -(-s["segments"] // part)
-                    out["h"].append(s["h"])
-                    out["parts"].append(parts)
-                    out["part"].append(int.from_bytes(s["seg"][:4], "little") % parts)
-                    out["seg"].append(s["seg"])
-                    out["bytes"].append(text[s["a"] : s["b"] + length])
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
+                    row = s["h"], int.from_bytes(s["seg"][:4], "little") % parts, parts, s["seg"], text[s["a"] : s["b"] + length]
+                    for column, value in zip(out, row):
+                        column.append(value)
+                    size += len(row[4])
+                if size >= SHARD_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names)
+                    out, size = [[] for _ in names], 0
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names)
 
     return run
 
@@ -175,8 +178,9 @@ def _find_repeats(length: int, shard_bytes: int):
     def run(batches):
         h, part, parts, seg, raw, size = [], [], [], [], [], 0
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("h", "part", "parts", "seg", "bytes")]
-            for row in zip(*cols):
+            *cols, text = (batch.column(c) for c in ("h", "part", "parts", "seg", "bytes"))
+            for *row, bytes_ in zip(*(c.to_pylist() for c in cols), text):
+                row.append(bytes_.as_py())
                 if size >= shard_bytes and (row[0], row[1]) != (h[-1], part[-1]):
                     yield shard(h, parts, seg, raw)
                     h, part, parts, seg, raw, size = [], [], [], [], [], 0
@@ -190,13 +194,14 @@ def _find_repeats(length: int, shard_bytes: int):
 
 
 def _cut_out(length: int):
+    kinds = {"key": pa.binary(), "removed": pa.int64(), "runs": pa.int64(), "kept_sha256": pa.string(), "spans": pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))}
+
     def run(batches):
         for batch in batches:
-            raw, spans, twice = batch.column("raw"), batch.column("spans").to_pylist(), batch.column("twice").to_pylist()
-            out = {"removed": [], "runs": [], "kept_sha256": [], "spans": []}
-            for k in range(batch.num_rows):
-                text, merged = raw[k].as_py(), []
-                for lo, hi in [(0, len(text) - length)] if twice[k] else sorted((s["lo"], s["hi"]) for s in spans[k]):
+            out = {name: [] for name in kinds}
+            for key, text, spans, twice in zip(batch.column("key"), batch.column("raw"), batch.column("spans"), batch.column("twice").to_pylist()):
+                text, merged = text.as_py(), []
+                for lo, hi in [(0, len(text) - length)] if twice else sorted((s["lo"], s["hi"]) for s in spans.as_py()):
                     if merged and lo <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], hi + length)
                     else:
@@ -206,12 +211,10 @@ def _cut_out(length: int):
                     digest.update(text[at:lo])
                     at = hi
                 digest.update(text[at:])
-                out["removed"].append(sum(hi - lo for lo, hi in merged))
-                out["runs"].append(len(merged))
-                out["kept_sha256"].append(digest.hexdigest())
-                out["spans"].append([{"lo": lo, "hi": hi} for lo, hi in merged])
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(v, t) for v, t in zip(out.values(), kinds))], ["key", *out])
+                row = key.as_py(), sum(hi - lo for lo, hi in merged), len(merged), digest.hexdigest(), [{"lo": lo, "hi": hi} for lo, hi in merged]
+                for column, value in zip(out.values(), row):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds.values())], list(kinds))
 
     return run
 
