@@ -57,7 +57,7 @@ class Pieces:
             if len(p) > 1:
                 lengths.setdefault(p[-2:], {1}).add(len(p))
         self._sizes = {tail: tuple(sorted(found, reverse=True)) for tail, found in lengths.items()}
-        self._pair: dict[tuple[str, str], bool] = {}
+        self._forget()
         self._units: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -74,13 +74,10 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _fits(self, a: str, b: str) -> bool:
-        known = self._pair.get((a, b))
-        if known is None:
-            known = self._pair[a, b] = self.merge(a + b) == [a, b]
-            if len(self._pair) > 4 * CACHED_UNITS:
-                self._pair.clear()
-        return known
+    def _forget(self) -> None:
+        self._pair: dict[str, dict[str, bool]] = {}
+        self._first: dict[str, bool] = {}
+        self._n_pairs = 0
 
     def _raw(self, piece: str) -> bytes:
         """Ids (int32) of a piece, or of the bytes of a character outside the vocabulary."""
@@ -89,23 +86,31 @@ class Pieces:
 
     def encode_sorted(self, units: list[str]) -> list[bytes]:
         """Ids (int32) of units in sorted order: a depth-first walk of their trie."""
-        out, states, before = [], [""], ""
-        pairs, raw, sizes_of, common_prefix = self._pair, self._raws, self._sizes, os.path.commonprefix
+        # states: the last piece of each prefix; rows: what is known of the pieces that fit behind it.
+        out, before, known = [], "", self._pair
+        states, rows = [""], [self._first]
+        raw, sizes_of, common_prefix = self._raws, self._sizes, os.path.commonprefix
         for unit in units:
             common = len(common_prefix((before, unit)))
-            del states[common + 1 :]
+            del states[common + 1 :], rows[common + 1 :]
             for end in range(common + 1, len(unit) + 1):
                 # Only lengths of pieces with these two last characters come into question.
                 for size in sizes_of.get(unit[end - 2 : end], _ONE) if end > 1 else _ONE:
                     if size <= end:
                         piece = unit[end - size : end]
                         if piece in raw or size == 1:
-                            last = states[end - size]
-                            fits = pairs.get((last, piece)) if last else True
+                            row = rows[end - size]
+                            fits = row.get(piece)
                             if fits is None:
-                                fits = self._fits(last, piece)
+                                last = states[end - size]
+                                fits = row[piece] = not last or self.merge(last + piece) == [last, piece]
+                                self._n_pairs += 1
                             if fits:
                                 states.append(piece)
+                                row = known.get(piece)
+                                if row is None:
+                                    row = known[piece] = {}
+                                rows.append(row)
                                 break
                 else:
                     raise AssertionError("a prefix without a state")
@@ -117,6 +122,8 @@ class Pieces:
             parts.reverse()
             out.append(b"".join(parts))
             before = unit
+        if self._n_pairs > 4 * CACHED_UNITS:
+            self._forget()
         return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -124,7 +131,7 @@ class Pieces:
         known = self._units
         if len(known) > CACHED_UNITS:
             known.clear()
-        new = sorted({u for units in split for u in units if u not in known})
+        new = sorted(set().union(*split).difference(known))
         known.update(zip(new, self.encode_sorted(new)))
         return [np.frombuffer(b"".join(map(known.__getitem__, units)), np.int32) for units in split]
 
