@@ -36,15 +36,20 @@ LEAST = 1e-6  # of the uniform estimate's weight
 
 
 def pack(a: np.ndarray) -> bytes:
-    """Non-negative integers as byte planes of the narrowest type, which compress well."""
+    """Non-negative integers as compressed byte planes of the narrowest type."""
+    import zstandard
+
     kind = np.min_scalar_type(int(a.max()) if len(a) else 0)
     a = np.ascontiguousarray(a.astype(kind))
-    return bytes([kind.itemsize]) + np.ascontiguousarray(a.view(np.uint8).reshape(-1, kind.itemsize).T).tobytes()
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, kind.itemsize).T)
+    return bytes([kind.itemsize]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpack(raw: bytes) -> np.ndarray:
+    import zstandard
+
     size = raw[0]
-    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(size, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(size, -1)
     return np.ascontiguousarray(planes.T).view(f"<u{size}").ravel()
 
 
