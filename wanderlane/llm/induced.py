@@ -59,16 +59,25 @@ class Queue:
         self.fresh: list[np.ndarray] = []
         self.n_fresh = 0
         self.runs: list[np.ndarray] = []  # sorted; what is left of each
+        self.paths: list[str] = []
 
     def push(self, items: np.ndarray) -> None:
         if len(items):
             self.fresh.append(items)
             self.n_fresh += len(items)
             if self.n_fresh > self.store.rows:
-                run = self._sorted()
-                path = self.store.path()
-                run.tofile(path)
-                self.runs.append(np.memmap(path, self.dtype, "r"))
+                self._add_run(self._sorted())
+
+    def _add_run(self, items: np.ndarray) -> None:
+        path = self.store.path()
+        items.tofile(path)
+        self.runs.append(np.memmap(path, self.dtype, "r"))
+        self.paths.append(path)
+
+    def _drop_read(self) -> None:
+        for k in [k for k, run in enumerate(self.runs) if not len(run)][::-1]:
+            del self.runs[k]
+            os.unlink(self.paths.pop(k))
 
     def _sorted(self) -> np.ndarray:
         items = np.concatenate(self.fresh) if self.fresh else np.empty(0, self.dtype)
@@ -82,7 +91,7 @@ class Queue:
             cut = int(np.searchsorted(run["key"], key, "right"))
             taken.append(np.array(run[:cut]))
             self.runs[k] = run[cut:]
-        self.runs = [r for r in self.runs if len(r)]
+        self._drop_read()
         last = self._sorted()
         cut = int(np.searchsorted(last["key"], key, "right"))
         taken.append(last[:cut])
@@ -108,9 +117,7 @@ class ByteQueue(Queue):
             self.lists[int(items["key"][lo])].append(items[lo:hi])
         self.n_fresh += len(items)
         if self.n_fresh > self.store.rows:
-            path = self.store.path()
-            np.concatenate([x for key in self.lists for x in key]).tofile(path)
-            self.runs.append(np.memmap(path, self.dtype, "r"))
+            self._add_run(np.concatenate([x for key in self.lists for x in key]))
             self.lists, self.n_fresh = [[] for _ in range(256)], 0
 
     def pop_through(self, key: int) -> np.ndarray:
@@ -119,7 +126,7 @@ class ByteQueue(Queue):
             cut = int(np.searchsorted(run["key"], key, "right"))
             taken.append(np.array(run[:cut]))
             self.runs[k] = run[cut:]
-        self.runs = [r for r in self.runs if len(r)]
+        self._drop_read()
         for k in range(key + 1):
             taken += self.lists[k]
             self.n_fresh -= sum(map(len, self.lists[k]))
@@ -410,7 +417,8 @@ class Prefixes:
 def _induce_with_prefixes(text: np.ndarray, seeds: Iterator, flip: int, begin: bool, prefixes: Prefixes, store: Store) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(bucket, positions, common prefix with the one before) of the induced suffixes. seeds(bucket): (positions, prefixes)."""
     limit, n = prefixes.limit, len(text)
-    queue = ByteQueue(store, [("key", "u1"), ("pos", "<i8"), ("lcp", "<i4")])
+    narrow = np.int16 if limit < 1 << 15 else np.int32
+    queue = ByteQueue(store, [("key", "u1"), ("pos", "<u4" if n < 1 << 32 else "<i8"), ("lcp", narrow)])
     least = np.full(256, -1, np.int64)  # since the last tuple for each bucket; -1: none yet
 
     def scan(pos: np.ndarray, lcp: np.ndarray, bucket: int, strict: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -429,7 +437,7 @@ def _induce_with_prefixes(text: np.ndarray, seeds: Iterator, flip: int, begin: b
             since = np.empty(len(to), np.int64)
             since[1:] = idx[:-1] + 1
             since[head] = 0
-            levels = [l]
+            levels = [l.astype(narrow)]
             while 2 << (len(levels) - 1) <= len(l):
                 half = 1 << (len(levels) - 1)
                 levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
@@ -457,7 +465,7 @@ def _induce_with_prefixes(text: np.ndarray, seeds: Iterator, flip: int, begin: b
         scan(np.array([n]), np.array([0]), -1, True)
     for bucket in range(256):
         got = queue.pop_through(bucket)
-        pos, lcp, last = got["pos"].copy(), got["lcp"].astype(np.int64), None
+        pos, lcp, last = got["pos"].astype(np.int64), got["lcp"].astype(np.int64), None
         while len(pos):
             yield bucket, pos, lcp
             last = pos[-1:]
@@ -473,25 +481,26 @@ def _induce_with_prefixes(text: np.ndarray, seeds: Iterator, flip: int, begin: b
 class _Lists:
     """(positions, prefixes) by bucket, in files; readable forwards and backwards."""
 
-    def __init__(self, store: Store):
+    def __init__(self, store: Store, n: int, limit: int):
         self.store, self.parts, self.held = store, [[] for _ in range(256)], 0
+        self.dtype = np.dtype([("pos", "<u4" if n < 1 << 32 else "<i8"), ("lcp", "<i2" if limit < 1 << 15 else "<i4")])
 
     def add(self, bucket: int, pos: np.ndarray, lcp: np.ndarray) -> None:
         """In memory up to the store's number of rows, then in files, but for short ones."""
+        both = np.empty(len(pos), self.dtype)
+        both["pos"], both["lcp"] = pos, lcp
         self.held += len(pos)
         if self.held > self.store.rows and len(pos) > 4096:
             self.held -= len(pos)
             path = self.store.path()
-            np.concatenate([pos.astype(np.int64), lcp.astype(np.int64)]).tofile(path)
-            self.parts[bucket].append((path, len(pos)))
+            both.tofile(path)
+            self.parts[bucket].append(path)
         else:
-            self.parts[bucket].append((pos, lcp.astype(np.int32)))
+            self.parts[bucket].append(both)
 
     def _load(self, part) -> tuple[np.ndarray, np.ndarray]:
-        if isinstance(part[0], str):
-            both = np.fromfile(part[0], np.int64)
-            return both[: part[1]], both[part[1] :]
-        return part
+        both = np.fromfile(part, self.dtype) if isinstance(part, str) else part
+        return both["pos"].astype(np.int64), both["lcp"].astype(np.int64)
 
     def read(self, bucket: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for part in self.parts[bucket]:
@@ -529,10 +538,10 @@ def sorted_suffixes(text: np.ndarray, limit: int, rows: int = ROWS) -> Iterator[
         for at in range(0, len(star), rows):
             counts += np.bincount(text[star[at : at + rows]], minlength=256)
         bounds = np.append(0, np.cumsum(counts))
-        larger = _Lists(store)
+        larger = _Lists(store, len(text), limit)
         for bucket, pos, lcp in _induce_with_prefixes(text, of_stars, 0, True, prefixes, store):
             larger.add(bucket, pos, lcp)
-        smaller = _Lists(store)
+        smaller = _Lists(store, len(text), limit)
         for bucket, pos, lcp in _induce_with_prefixes(text, lambda b: larger.read_back(255 - b), 255, False, prefixes, store):
             smaller.add(255 - bucket, pos, lcp)
         for bucket in range(256):

@@ -30,7 +30,7 @@ from .induced import sorted_suffixes
 from .vector import _MULTIPLIER, _VALUES, blocks, mix64, powers
 
 LENGTH, GRAM = 400, 64
-PART = 1024  # distinct segments of one anchor hash that are sorted together
+PART = 16384  # distinct segments of one anchor hash that are sorted together, some 10 MB
 SHARD_BYTES = 1 << 20  # fits the memory of the sort; a shard is larger only where one part is
 PIECE = 1 << 20
 _PLACE = 21  # bits for the place of a gram in a piece, to find the leftmost of equals
