@@ -13,7 +13,7 @@ from ..functions.params import ALPHA
 from ..plans.iterate import cut, drop, short_rounds
 from .graph import Graph
 
-ROUNDS, ROUNDS_IN_A_PLAN = 200, 2
+ROUNDS, ROUNDS_IN_A_PLAN = 200, 3
 
 
 def unit_state(sources: DataFrame, name: str = "source") -> DataFrame:

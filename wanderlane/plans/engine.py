@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import params as P
 from ..operators import estimators, evaluate, index, push, search, topk, truth, walks
 from ..operators.graph import Graph
+from ..operators.walks import STEPS
 from .iterate import cut
 from .report import Report
 
@@ -26,7 +27,7 @@ class Options:
     rmax_scale: float = 1.0
     ratio: float = 1.0  # of the first error to the second, for hitting scores
     walks: int | None = None  # instead of the number that the error bound asks for
-    steps: int = walks.STEPS
+    steps: int = STEPS
     restart: str = "source"
     hubs: int = 100
     hub_levels: int = 10

@@ -1,7 +1,7 @@
 """Cutting lineage between the rounds of an iterative plan.
 
 A state is written to the folder all machines share (spark.checkpoint.dir) and read back, so plans stay short and lost
-executors cost one round. Adaptive re-planning costs more than it saves on short rounds; it is off inside a loop.
+executors cost one round.
 """
 
 from __future__ import annotations
@@ -40,11 +40,11 @@ def drop(*frames: DataFrame) -> None:
 
 @contextlib.contextmanager
 def short_rounds(spark: SparkSession) -> Iterator[None]:
-    """Adaptive re-planning off, unless there are too many shuffle partitions to do without merging them."""
-    was = spark.conf.get("spark.sql.adaptive.enabled")
-    if int(spark.conf.get("spark.sql.shuffle.partitions")) <= 64:
-        spark.conf.set("spark.sql.adaptive.enabled", "false")
+    """Inside a loop, small shuffle partitions are merged by size alone: a small state is one task and one file."""
+    key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
     try:
         yield
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", was)
+        spark.conf.set(key, was)
