@@ -230,7 +230,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     # The shuffle above deals texts by the same hash as the buckets, so they are written, and later read, in place.
     distinct.write.bucketBy(n, "key").option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
-    common = texts.select("raw", "twice").mapInArrow(_anchor_hashes(length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
+    # Written out, so that the join below has two plain sides and a hot hash can be split.
+    common = cut(texts.select("raw", "twice").mapInArrow(_anchor_hashes(length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "common")
     rows = texts.mapInArrow(_anchor_rows(length), "h long, key binary, a int, b int, seg binary, n long")
     shared = cut(rows.join(common, "h", "left_semi"), "anchors")
     segments = cut(shared.groupBy("h", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("key", "a", "b")).alias("at")), "segments")
@@ -247,7 +248,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     spans = once.unionByName(whole).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # of one text
     hit = texts.join(spans, "key", "left").filter("twice or spans is not null").select("key", "raw", "twice", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
     out = cut(hit.mapInArrow(_cut_out(length), "key binary, removed long, runs long, kept_sha256 string, spans array<struct<lo:int,hi:int>>"), "removed")
-    drop(shared, segments, several, found)
+    drop(common, shared, segments, several, found)
     spark.sql(f"DROP TABLE {name}")
     return out
 
