@@ -132,3 +132,14 @@ def near_duplicates(vectors: DataFrame, vector_col: str = "embedding", id_col: s
 
 def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: Every pair by cosine, and reachability; the buckets find the same links with the probability stated above.
+ORACLE_SQL = f"""
+with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+good as (select vec_id, e from v where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_max(list_transform(e, lambda x: abs(x))) > 0),
+links as (select a.vec_id as a, b.vec_id as b from good a join good b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= {COSINE}),
+reach(a, b) as (select vec_id, vec_id from v union select reach.a, links.b from reach join links on links.a = reach.b),
+parts as (select a, min(b) as component_id from reach group by a)
+select vec_id, (select count(*) from links where links.a = vec_id) as n_links, component_id, vec_id = component_id as kept from v join parts on parts.a = vec_id
+"""

@@ -33,6 +33,7 @@ LENGTH, GRAM = 400, 64
 PART = 16384  # distinct segments of one anchor hash that are sorted together, some 10 MB
 SHARD_BYTES = 1 << 20  # fits the memory of the sort; a shard is larger only where one part is
 PIECE = 1 << 20
+SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 _PLACE = 21  # bits for the place of a gram in a piece, to find the leftmost of equals
 
 
@@ -86,22 +87,36 @@ def _anchor_hashes(length: int):
         for batch in batches:
             twice = batch.column("twice").to_numpy(zero_copy_only=False)
             for lo, _, _, _, (row, _, _, h) in _pieces(batch.column("raw"), length):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(1 + twice[lo + row].astype(np.int64))], ["h", "n"])
+                found, inverse = np.unique(h, return_inverse=True)
+                n = np.bincount(inverse, weights=1 + twice[lo + row], minlength=len(found)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["h", "n"])
 
     return run
 
 
 def _anchor_rows(length: int):
+    """A row for each segment of a text, with all its places in the text: periodic text has one many times."""
+    kinds = {"h": pa.int64(), "key": pa.binary(), "a": pa.int32(), "b": pa.int32(), "seg": pa.binary(), "n": pa.int64(), "spans": SPANS}
+
     def run(batches):
         for batch in batches:
             twice, key = batch.column("twice").to_numpy(zero_copy_only=False), batch.column("key")
             for lo, data, shift, offsets, (row, a, b, h) in _pieces(batch.column("raw"), length):
-                raw, base = data.tobytes(), offsets[row] - shift
-                seg = [hashlib.blake2b(raw[x : y + length], digest_size=12).digest() for x, y in zip(a.tolist(), b.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), key.take(pa.array(lo + row)), pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32)), pa.array(seg, pa.binary()), pa.array(1 + twice[lo + row].astype(np.int64))],
-                    ["h", "key", "a", "b", "seg", "n"],
-                )
+                raw, base, held = data.tobytes(), offsets[row] - shift, {}
+                for r, x, y, first, value in zip(row.tolist(), a.tolist(), b.tolist(), base.tolist(), h.view(np.int64).tolist()):
+                    seg = hashlib.blake2b(raw[x : y + length], digest_size=12).digest()
+                    places = held.setdefault((r, seg), [value])
+                    places.append((x - first, y - first))
+                rows = []
+                for (r, seg), (value, *places) in held.items():
+                    spans = []
+                    for x, y in places:
+                        if spans and spans[-1]["hi"] + 1 == x:
+                            spans[-1]["hi"] = y
+                        else:
+                            spans.append({"lo": x, "hi": y})
+                    rows.append((value, key[lo + r].as_py(), *places[0], seg, len(places) + int(twice[lo + r]), spans))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds.values())], list(kinds))
 
     return run
 
@@ -194,7 +209,7 @@ def _find_repeats(length: int, shard_bytes: int):
 
 
 def _cut_out(length: int):
-    kinds = {"key": pa.binary(), "removed": pa.int64(), "runs": pa.int64(), "kept_sha256": pa.string(), "spans": pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))}
+    kinds = {"key": pa.binary(), "removed": pa.int64(), "runs": pa.int64(), "kept_sha256": pa.string(), "spans": SPANS}
 
     def run(batches):
         for batch in batches:
@@ -232,7 +247,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     texts = spark.table(name)
     # Written out, so that the join below has two plain sides and a hot hash can be split.
     common = cut(texts.select("raw", "twice").mapInArrow(_anchor_hashes(length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "common")
-    rows = texts.mapInArrow(_anchor_rows(length), "h long, key binary, a int, b int, seg binary, n long")
+    rows = texts.mapInArrow(_anchor_rows(length), "h long, key binary, a int, b int, seg binary, n long, spans array<struct<lo:int,hi:int>>")
     shared = cut(rows.join(common, "h", "left_semi"), "anchors")
     segments = cut(shared.groupBy("h", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("key", "a", "b")).alias("at")), "segments")
     several = cut(segments.groupBy("h").agg(F.count("*").alias("segments")).filter("segments > 1"), "several")
@@ -243,9 +258,9 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     across = found.filter("window is not null").groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
     late = found.filter("alone").join(across, "window", "left_semi").select("h", "seg", "lo", "hi")
     inner = found.filter("window is null").select("h", "seg", "lo", "hi").unionByName(late)
-    once = segments.filter("n = 1").select("h", "seg", "at").join(inner, ["h", "seg"]).select("at.key", (F.col("at.a") + F.col("lo")).alias("lo"), (F.col("at.a") + F.col("hi")).alias("hi"))
-    whole = shared.join(segments.filter("n > 1").select("h", "seg"), ["h", "seg"], "left_semi").select("key", F.col("a").alias("lo"), F.col("b").alias("hi"))
-    spans = once.unionByName(whole).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # of one text
+    once = segments.filter("n = 1").select("h", "seg", "at").join(inner, ["h", "seg"]).select("at.key", F.array(F.struct((F.col("at.a") + F.col("lo")).alias("lo"), (F.col("at.a") + F.col("hi")).alias("hi"))).alias("spans"))
+    whole = shared.join(segments.filter("n > 1").select("h", "seg"), ["h", "seg"], "left_semi").select("key", "spans")
+    spans = once.unionByName(whole).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # of one text
     hit = texts.join(spans, "key", "left").filter("twice or spans is not null").select("key", "raw", "twice", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
     out = cut(hit.mapInArrow(_cut_out(length), "key binary, removed long, runs long, kept_sha256 string, spans array<struct<lo:int,hi:int>>"), "removed")
     drop(common, shared, segments, several, found)
@@ -299,3 +314,16 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", **options) -> DataFr
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_removed(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = f"""
+with d as (select row_number() over () as rid, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select rid, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) as m from (select rid, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) as i from d where length(h) >= {2 * LENGTH})),
+dup as (select rid, i from (select rid, i, count(*) over (partition by m) as c from w) where c > 1),
+runs as (select rid, i, sum(opens) over (partition by rid order by i) as run from (select rid, i, case when i <= lag(i) over (partition by rid order by i) + {LENGTH} then 0 else 1 end as opens from dup)),
+spans as (select rid, min(i) as lo, max(i) + {LENGTH} as hi from runs group by rid, run),
+cuts as (select d.rid, lo, hi, substr(h, 2 * coalesce(lag(hi) over (partition by d.rid order by lo), 0) + 1, 2 * (lo - coalesce(lag(hi) over (partition by d.rid order by lo), 0))) as piece from spans join d on d.rid = spans.rid),
+sums as (select rid, sum(hi - lo)::bigint as n_removed, count(*) as n_spans, string_agg(piece, '' order by lo) as kept, max(hi) as last from cuts group by rid)
+select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) as kept_sha256 from d left join sums on sums.rid = d.rid
+"""
