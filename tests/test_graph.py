@@ -73,7 +73,7 @@ def test_walk_estimators_come_near_the_truth(spark):
     g, s = graph(spark, [*G1, (2, 3), (3, 1)]), sources(spark, 0)
     true = scores(push.power_iteration(g, s, 60))
     t = g.nodes.select(F.col("node").alias("target"))
-    for got in (walks.monte_carlo(g, s, 4000, steps=24), estimators.fora(g, s, 0.05, 4000.0, steps=24), estimators.bippr(g, s, t, 0.1, 2000, steps=24), index.one_hop_walks(g, s, 4000, steps=24)):
+    for got in (walks.monte_carlo(g, s, 4000, steps=24), estimators.push_walk(g, s, 0.05, 4000.0, steps=24), estimators.bippr(g, s, t, 0.1, 2000, steps=24), index.one_hop_walks(g, s, 4000, steps=24)):
         got = scores(got)
         assert sum(got.values()) == pytest.approx(1, abs=0.06)
         assert all(got[k] == pytest.approx(v, abs=0.03) for k, v in true.items())
@@ -84,10 +84,10 @@ def test_walk_estimators_come_near_the_truth(spark):
 
 def test_indexed_and_cached_walks_give_the_online_scores(spark):
     g, s = graph(spark, [*G1, (2, 3), (3, 1)]), sources(spark, 0, 3)
-    online = scores(estimators.fora(g, s, 0.05, 200.0))
+    online = scores(estimators.push_walk(g, s, 0.05, 200.0))
     ix = index.walk_index(g, 0.05, 200.0)
-    assert scores(estimators.fora_indexed(g, s, 0.05, 200.0, ix)) == pytest.approx(online)
-    got, cache = estimators.fora_cached(g, s, 0.05, 200.0, ix.filter("walk_no <= 2"))
+    assert scores(estimators.push_walk_indexed(g, s, 0.05, 200.0, ix)) == pytest.approx(online)
+    got, cache = estimators.push_walk_cached(g, s, 0.05, 200.0, ix.filter("walk_no <= 2"))
     assert scores(got) == pytest.approx(online)
     assert cache.groupBy("src", "walk_no").count().filter("count > 1").isEmpty()
 
@@ -137,7 +137,7 @@ def test_hub_walks_spend_whole_budgets(spark):
 
 def test_parameters():
     p = P.defaults(1000, 5000, 0.5)
-    assert P.fora(p).walks == pytest.approx(2.5 * math.log(2000) * 1000 / 0.25)
+    assert P.push_walk(p).walks == pytest.approx(2.5 * math.log(2000) * 1000 / 0.25)
     assert P.bound_threshold(281904) == pytest.approx(1.0715e-4, rel=1e-3)
     for bad in (0, -1):
         with pytest.raises(ValueError, match="eps"):
@@ -158,7 +158,7 @@ def test_files_round_trip(spark, tmp_path):
     assert files.read_truth(spark, str(tmp_path / "none")) is None
 
 
-@pytest.mark.parametrize("algo", [a for a in engine.PPR + engine.DHT if a not in ("power", "exact_dht", "hubppr", "montecarlo_all")])
+@pytest.mark.parametrize("algo", [a for a in engine.PPR + engine.DHT if a not in ("power", "exact_dht", "hub", "montecarlo_all")])
 def test_every_algorithm_runs_by_name(spark, algo):
     g = graph(spark, G1)
     o = engine.Options(algo=algo, k=2, walks=50, rounds=20, steps=20, hubs=1, hub_levels=3)

@@ -40,7 +40,7 @@ def defaults(n: int, m: int, eps: float, delta: float | None = None, pfail: floa
     return Params(n, m, eps, delta if delta is not None else 1 / n, pfail if pfail is not None else 1 / n)
 
 
-def fora(p: Params, scale: float = 1.0) -> Params:
+def push_walk(p: Params, scale: float = 1.0) -> Params:
     """Forward push followed by walks from the residual."""
     return replace(p, rmax=p.eps * math.sqrt(p.delta / (3 * p.m * p.log_term)) * scale, walks=(2 + p.eps) * p.log_term / (p.delta * p.eps**2))
 
@@ -82,7 +82,7 @@ def hitting_raw(p: Params, ratio: float = 1.0) -> Params:
     p = replace(p, pfail=1 / (2 * p.n), delta=p.alpha / p.n, delta_self=p.alpha)
     both = ratio + 1 + p.eps
     p = replace(p, eps_self=p.eps / both, eps=p.eps * ratio / both)
-    p = fora(p)
+    p = push_walk(p)
     rmax = p.eps_self * math.sqrt(p.delta_self * p.m / (p.n * p.alpha * (2 + p.eps_self) * p.log_term))
     return replace(p, rmax_self=rmax, walks_self=rmax * (2 + p.eps_self) * p.log_term / (p.delta_self * p.eps_self**2))
 

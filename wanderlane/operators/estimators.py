@@ -44,14 +44,14 @@ def residual_starts(counts: DataFrame) -> DataFrame:
     return counts.select(F.col("source").alias("origin"), F.col("node").alias("start"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("walk_no"))
 
 
-def fora(graph: Graph, sources: DataFrame, rmax: float, omega: float, state: DataFrame | None = None, **options) -> DataFrame:
+def push_walk(graph: Graph, sources: DataFrame, rmax: float, omega: float, state: DataFrame | None = None, **options) -> DataFrame:
     """Forward push, then walks from what is left."""
     state = forward_push(graph, unit_state(sources), rmax) if state is None else state
     counts = cut(walk_counts(state, omega))
     return with_walks(state, counts, walks(graph, residual_starts(counts), **options))
 
 
-def fora_indexed(graph: Graph, sources: DataFrame, rmax: float, omega: float, index: DataFrame) -> DataFrame:
+def push_walk_indexed(graph: Graph, sources: DataFrame, rmax: float, omega: float, index: DataFrame) -> DataFrame:
     """The same with walks taken from an index (src, walk_no, dst): equal scores where no walk meets a dangling node."""
     state = forward_push(graph, unit_state(sources), rmax)
     counts = cut(walk_counts(state, omega))
@@ -59,7 +59,7 @@ def fora_indexed(graph: Graph, sources: DataFrame, rmax: float, omega: float, in
     return with_walks(state, counts, held.select(F.col("source").alias("origin"), F.col("src").alias("start"), "walk_no", F.col("dst").alias("node")))
 
 
-def fora_cached(graph: Graph, sources: DataFrame, rmax: float, omega: float, cache: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+def push_walk_cached(graph: Graph, sources: DataFrame, rmax: float, omega: float, cache: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """The same with a cache of walk ends (src, walk_no, dst): only missing walks run, and are added. (scores, new cache)"""
     state = forward_push(graph, unit_state(sources), rmax)
     counts = cut(walk_counts(state, omega))
@@ -73,7 +73,7 @@ def fora_cached(graph: Graph, sources: DataFrame, rmax: float, omega: float, cac
     return with_walks(state, counts, held.select(F.col("source").alias("origin"), F.col("src").alias("start"), "walk_no", F.col("dst").alias("node"))), full
 
 
-def fora_sampled(state: DataFrame, draws: int, salt: str = "sample") -> DataFrame:
+def push_walk_sampled(state: DataFrame, draws: int, salt: str = "sample") -> DataFrame:
     """source, draw, node: residual nodes sampled in proportion to their residual, by inverting their running sums.
 
     Running sums and draws are sorted together, and each draw takes the next running sum: no pairs are compared.
@@ -134,8 +134,8 @@ def ratio(ppr: DataFrame, own: DataFrame, above: float | Column = 0.0) -> DataFr
 
 
 def hitting_raw(graph: Graph, sources: DataFrame, rmax: float, omega: float, rmax_self: float, count_self: int, above: float = 0.0, **options) -> DataFrame:
-    """dht: FORA, then reverse push and walks for each node above the threshold."""
-    ppr = cut(fora(graph, sources, rmax, omega, **options))
+    """dht: push and walk, then reverse push and walks for each node above the threshold."""
+    ppr = cut(push_walk(graph, sources, rmax, omega, **options))
     targets = cut(ppr.filter(F.col("score") > above).select(F.col("node").alias("target")).distinct())
     return ratio(ppr, self_by_walks(graph, targets, rmax_self, count_self, **options), above)
 

@@ -34,7 +34,7 @@ def ppr_search(graph: Graph, sources: DataFrame, k: int, eps: float, least_delta
     threshold, open_, known, done = P.bound_threshold(n), cut(sources.select("source").distinct()), None, []
     state = unit_state(open_)
     while True:
-        now = P.fora(p)
+        now = P.push_walk(p)
         state = forward_push(graph, state, now.rmax)
         found = cut(B.ppr_bounds(_round(graph, state, now.walks, **options), n, p.pfail, known))
         last = p.delta <= least
@@ -63,7 +63,7 @@ def hitting_search(graph: Graph, sources: DataFrame, k: int, eps: float, least_d
     state, found, own = unit_state(sources), None, None
     refine_ppr = True
     while True:
-        now = P.fora(P.replace(base, delta=delta))
+        now = P.push_walk(P.replace(base, delta=delta))
         if refine_ppr or found is None:
             state = forward_push(graph, state, now.rmax)
             found = cut(B.ppr_bounds(_round(graph, state, now.walks, **options), n, base.pfail, found))

@@ -15,7 +15,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("action", choices=["query", "topk", "batch-topk", "build", "generate-ss-query", "gen-exact-topk", "gen-exact-self", "gen-exact-dht", "statistic"])
     p.add_argument("--graph", required=True, help="folder with graph.txt")
     p.add_argument("--undirected", action="store_true")
-    p.add_argument("--algo", default="fora", choices=engine.PPR + engine.DHT)
+    p.add_argument("--algo", default="push_walk", choices=engine.PPR + engine.DHT)
     p.add_argument("--epsilon", type=float, default=0.5)
     p.add_argument("--k", type=int, default=500)
     p.add_argument("--query_size", type=int, default=1000)

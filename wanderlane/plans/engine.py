@@ -15,13 +15,13 @@ from ..operators.walks import STEPS
 from .iterate import cut
 from .report import Report
 
-PPR = ("fora", "montecarlo", "montecarlo_all", "bippr", "fwdpush", "hubppr", "fora_mc", "power")
-DHT = ("mc_dht", "fora_bippr", "fb_raw", "global_iteration", "local_expansion", "exact_dht")
+PPR = ("push_walk", "montecarlo", "montecarlo_all", "bippr", "fwdpush", "hub", "push_walk_mc", "power")
+DHT = ("mc_dht", "shared_dht", "ratio_dht", "global_iteration", "local_expansion", "exact_dht")
 
 
 @dataclass(frozen=True)
 class Options:
-    algo: str = "fora"
+    algo: str = "push_walk"
     eps: float = 0.5
     k: int = 500
     rmax_scale: float = 1.0
@@ -51,22 +51,22 @@ def query(graph: Graph, sources: DataFrame, options: Options, walk_index: DataFr
     count = lambda x: o.walks or max(1, math.ceil(x))
     targets = graph.nodes.select(F.col("node").alias("target"))
     to = sources.select(F.col("source").alias("target"))
-    if o.algo == "fora":
-        q = P.fora(p, o.rmax_scale)
+    if o.algo == "push_walk":
+        q = P.push_walk(p, o.rmax_scale)
         if walk_index is not None:
-            return estimators.fora_indexed(graph, sources, q.rmax, o.walks or q.walks, walk_index)
-        return estimators.fora(graph, sources, q.rmax, o.walks or q.walks, **w)
-    if o.algo == "fora_mc":
-        q = P.fora(p, o.rmax_scale)
+            return estimators.push_walk_indexed(graph, sources, q.rmax, o.walks or q.walks, walk_index)
+        return estimators.push_walk(graph, sources, q.rmax, o.walks or q.walks, **w)
+    if o.algo == "push_walk_mc":
+        q = P.push_walk(p, o.rmax_scale)
         state = push.forward_push(graph, push.unit_state(sources), q.rmax)
         return estimators.unresolved(graph, state).select("source", F.lit(None).cast("long").alias("node"), F.col("nodes").cast("double").alias("score"))
     if o.algo in ("montecarlo", "montecarlo_all"):
         q = P.monte_carlo(p) if o.algo == "montecarlo" else P.monte_carlo_all(p)
         return walks.monte_carlo(graph, sources if o.algo == "montecarlo" else graph.nodes.select(F.col("node").alias("source")), count(q.walks), **w)
-    if o.algo in ("bippr", "hubppr"):
+    if o.algo in ("bippr", "hub"):
         q = P.bippr(p, o.rmax_scale)
         counts = None
-        if o.algo == "hubppr":
+        if o.algo == "hub":
             counts = cut(index.hub_walks(graph, sources, count(q.walks), index.hub_index(graph, index.hubs(graph, o.hubs), o.hub_levels, steps=o.steps), **w))
         return estimators.bippr(graph, sources, targets, q.rmax, count(q.walks), counts=counts, **w)
     if o.algo == "fwdpush":
@@ -75,9 +75,9 @@ def query(graph: Graph, sources: DataFrame, options: Options, walk_index: DataFr
         return push.power_iteration(graph, sources, o.rounds)
     if o.algo == "mc_dht":
         return walks.monte_carlo_hitting(graph, sources, count(P.monte_carlo_hitting(p).walks), **w)
-    if o.algo in ("fb_raw", "fora_bippr"):
+    if o.algo in ("ratio_dht", "shared_dht"):
         q = P.hitting(p, o.ratio)
-        run = estimators.hitting_raw if o.algo == "fb_raw" else estimators.hitting_shared
+        run = estimators.hitting_raw if o.algo == "ratio_dht" else estimators.hitting_shared
         return run(graph, sources, q.rmax, o.walks or q.walks, q.rmax_self, count(q.walks_self), above=q.delta, **w)
     if o.algo == "global_iteration":
         h = push.hitting_iteration(graph, to, push.rounds_for(o.eps, p.delta))
@@ -90,11 +90,11 @@ def query(graph: Graph, sources: DataFrame, options: Options, walk_index: DataFr
 
 
 def top(graph: Graph, sources: DataFrame, options: Options, walk_index: DataFrame | None = None) -> DataFrame:
-    """source, rank, node, score: k best; fora and fora_bippr search with bounds, others rank their estimate."""
+    """source, rank, node, score: k best; push_walk and shared_dht search with bounds, others rank their estimate."""
     k = options.k
-    if options.algo == "fora" and walk_index is None:
+    if options.algo == "push_walk" and walk_index is None:
         return search.ppr_search(graph, sources, k, options.eps, least_delta=options.delta, steps=options.steps, restart=options.restart)
-    if options.algo == "fora_bippr":
+    if options.algo == "shared_dht":
         return search.hitting_search(graph, sources, k, options.eps, least_delta=options.delta, most_self_walks=options.walks, steps=options.steps, restart=options.restart)
     return topk.top_k(query(graph, sources, options, walk_index), k)
 
@@ -110,9 +110,9 @@ def batch_top(graph: Graph, sources: DataFrame, options: Options, parts: int = 5
 
 
 def build(graph: Graph, options: Options) -> DataFrame:
-    """The walk index that fora at this accuracy needs."""
+    """The walk index that push_walk at this accuracy needs."""
     n, m = graph.sizes
-    q = P.fora(P.defaults(n, m, options.eps, options.delta), options.rmax_scale)
+    q = P.push_walk(P.defaults(n, m, options.eps, options.delta), options.rmax_scale)
     return index.walk_index(graph, q.rmax, options.walks or q.walks, steps=options.steps)
 
 

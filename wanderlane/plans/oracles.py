@@ -70,7 +70,7 @@ def counts(omega: float, state: str = "st", name: str = "cn") -> str:
  from {state} s join (select source, sum(residual) as rsum from {state} group by source) using (source) where residual > 0)"""
 
 
-def fora(rmax: float, omega: float, steps: int, name: str = "fora", rounds: int = 60, state: str | None = None) -> str:
+def push_walk(rmax: float, omega: float, steps: int, name: str = "push_walk", rounds: int = 60, state: str | None = None) -> str:
     starts = "select source as origin, node as start, unnest(range(1, n + 1)) as walk_no from cn"
     return f"""{state or push(rmax, rounds)},
 {counts(omega)},

@@ -223,19 +223,19 @@ def self_ppr(spark, d):
 
 # Combined estimators
 
-FORA = O.fora(RMAX, OMEGA, STEPS)
+PUSH_WALK = O.push_walk(RMAX, OMEGA, STEPS)
 
 
-@query(O.query([E, S, FORA], f"select source, node, {r9('score')} from fora"))
-def ppr_fora(spark, d):
+@query(O.query([E, S, PUSH_WALK], f"select source, node, {r9('score')} from push_walk"))
+def ppr_push_walk(spark, d):
     g = event(spark, d)
-    return rounded(estimators.fora(g, top_sources(g), RMAX, OMEGA, steps=STEPS), "score")
+    return rounded(estimators.push_walk(g, top_sources(g), RMAX, OMEGA, steps=STEPS), "score")
 
 
-@query(O.query([T, S, O.fora(0.000501, OMEGA, STEPS, rounds=30)], f"select source, node, {r9('score')} from fora"))
-def ppr_fora_trade(spark, d):
+@query(O.query([T, S, O.push_walk(0.000501, OMEGA, STEPS, rounds=30)], f"select source, node, {r9('score')} from push_walk"))
+def ppr_push_walk_trade(spark, d):
     g = trade(spark, d)
-    return rounded(estimators.fora(g, top_sources(g), 0.000501, OMEGA, state=push.forward_push(g, push.unit_state(top_sources(g)), 0.000501, rounds=30), steps=STEPS), "score")
+    return rounded(estimators.push_walk(g, top_sources(g), 0.000501, OMEGA, state=push.forward_push(g, push.unit_state(top_sources(g)), 0.000501, rounds=30), steps=STEPS), "score")
 
 
 INDEX_OMEGA = OMEGA
@@ -247,18 +247,18 @@ def walk_index(spark, d):
     return index.walk_index(event(spark, d), RMAX, INDEX_OMEGA, steps=STEPS)
 
 
-@query(O.query([E, S, FORA], f"select source, node, {r9('score')} from fora"))
-def ppr_fora_indexed(spark, d):
+@query(O.query([E, S, PUSH_WALK], f"select source, node, {r9('score')} from push_walk"))
+def ppr_push_walk_indexed(spark, d):
     g = event(spark, d)
     ix = index.walk_index(g, RMAX, INDEX_OMEGA, steps=STEPS)
-    return rounded(estimators.fora_indexed(g, top_sources(g), RMAX, OMEGA, ix), "score")
+    return rounded(estimators.push_walk_indexed(g, top_sources(g), RMAX, OMEGA, ix), "score")
 
 
-@query(O.query([E, S, FORA], f"select source, node, {r9('score')} from fora"))
-def ppr_fora_cached(spark, d):
+@query(O.query([E, S, PUSH_WALK], f"select source, node, {r9('score')} from push_walk"))
+def ppr_push_walk_cached(spark, d):
     g = event(spark, d)
     half = index.walk_index(g, RMAX, INDEX_OMEGA / 4, steps=STEPS)
-    return rounded(estimators.fora_cached(g, top_sources(g), RMAX, OMEGA, half, steps=STEPS)[0], "score")
+    return rounded(estimators.push_walk_cached(g, top_sources(g), RMAX, OMEGA, half, steps=STEPS)[0], "score")
 
 
 @query(O.query([E, S, ST, f"""cum as (select source, node, sum(residual) over (partition by source order by node) as upto from st where residual > 0),
@@ -266,11 +266,11 @@ dr as (select source, draw, {sql_draw('sample', 'source', 'draw')} / 4294967296.
     "select dr.source, draw::bigint as draw, min(node) as node from dr join cum on cum.source = dr.source and cum.upto > dr.at group by 1, 2"))
 def residual_sampling(spark, d):
     g = event(spark, d)
-    return estimators.fora_sampled(push.forward_push(g, push.unit_state(top_sources(g)), RMAX), 200)
+    return estimators.push_walk_sampled(push.forward_push(g, push.unit_state(top_sources(g)), RMAX), 200)
 
 
 @query(O.query([E, S, ST], "select s.source, (select count(*) from nodes where out_deg > 0) - count(n.node) as nodes from sources s left join st on st.source = s.source and residual > 0 left join nodes n on n.node = st.node and out_deg > 0 group by 1"))
-def fora_unresolved(spark, d):
+def push_walk_unresolved(spark, d):
     g = event(spark, d)
     return estimators.unresolved(g, push.forward_push(g, push.unit_state(top_sources(g)), RMAX))
 
@@ -313,17 +313,17 @@ def dht_exact_topk(spark, d):
     return topk.top_k(rounded(estimators.ratio(ppr, push.self_scores(g, targets_of(g), 0.00101)), "score"), K)
 
 
-RAW = O.self_by_walks(RMAX_SELF, SELF_WALKS, STEPS, "select distinct node as target from fora")
+RAW = O.self_by_walks(RMAX_SELF, SELF_WALKS, STEPS, "select distinct node as target from push_walk")
 
 
-@query(O.query([E, S, FORA, RAW], "select source, node, round(least(score / self_ppr, 1.0), 9) as score from fora join own using (node)"))
-def dht_fb_raw(spark, d):
+@query(O.query([E, S, PUSH_WALK, RAW], "select source, node, round(least(score / self_ppr, 1.0), 9) as score from push_walk join own using (node)"))
+def dht_ratio(spark, d):
     g = event(spark, d)
     return rounded(estimators.hitting_raw(g, top_sources(g), RMAX, OMEGA, RMAX_SELF, SELF_WALKS, steps=STEPS), "score")
 
 
-@query(O.query([E, S, FORA, RAW], "select source, node, round(least(score / self_ppr, 1.0), 9) as score from fora join own using (node)"))
-def dht_fb(spark, d):
+@query(O.query([E, S, PUSH_WALK, RAW], "select source, node, round(least(score / self_ppr, 1.0), 9) as score from push_walk join own using (node)"))
+def dht_shared(spark, d):
     g = event(spark, d)
     return rounded(estimators.hitting_shared(g, top_sources(g), RMAX, OMEGA, RMAX_SELF, SELF_WALKS, steps=STEPS), "score")
 
@@ -366,7 +366,7 @@ def _dev(rsum: str, upper: str, n: str) -> str:
     return f"({rsum} * {TERM}::double / (3 * {n}) + sqrt({4 / 9 * TERM**2}::double * {rsum} * {rsum} + 8 * {n} * {TERM}::double * {rsum} * {upper}) / (2 * {n}))"
 
 
-BOUNDS = [FORA, """es as (select f.source, f.node, f.score, coalesce(st.reserve, 0) as reserve, rsum, walks from fora f left join st using (source, node)
+BOUNDS = [PUSH_WALK, """es as (select f.source, f.node, f.score, coalesce(st.reserve, 0) as reserve, rsum, walks from push_walk f left join st using (source, node)
  join (select source, first(rsum) as rsum, sum(n) as walks from cn group by source) using (source))""",
     f"""ev as (select *, {_dev('rsum', 'greatest(1 - reserve, 0)', 'walks')} as ea, sqrt(2.67 * rsum * {TERM} / walks) / sqrt(case when reserve > 1 / n then reserve else 1 / n end) as er from es, (select n::double as n from sizes)),
 bd as (select source, node, score, greatest(score - ea, coalesce(case when er < 1 then score / (1 + er) end, 0), reserve, 0) as lb, least(score + ea, coalesce(case when er < 1 then score / (1 - er) end, 9), 1) as ub from ev)"""]
@@ -554,7 +554,7 @@ def eval_errors(spark, d):
 _L = "ln(2 * n)"
 
 
-@query(O.query([T], f"""select 'fora' as method, round(0.5 * sqrt(1.0 / n / (3 * m * {_L})), 9) as rmax, round(2.5 * {_L} * n / 0.25, 3) as walks from sizes
+@query(O.query([T], f"""select 'push_walk' as method, round(0.5 * sqrt(1.0 / n / (3 * m * {_L})), 9) as rmax, round(2.5 * {_L} * n / 0.25, 3) as walks from sizes
 union all select 'bippr', round(0.5 * sqrt(m / n / (3 * {_L})), 9), round(3 * 0.5 * sqrt(m / n / (3 * {_L})) * {_L} * n / 0.25, 3) from sizes
 union all select 'monte_carlo', 0, round(3 * {_L} * n / 0.25, 3) from sizes
 union all select 'monte_carlo_all', 0, round(3 * {_L} / 0.25 / 0.2, 3) from sizes
@@ -563,5 +563,5 @@ union all select 'pairwise', round(0.5 * sqrt(m / n / (n * 2.5 * {_L})), 9), cei
 def parameters(spark, d):
     n, m = trade(spark, d).sizes
     p = P.defaults(n, m, 0.5)
-    rows = [(f.__name__, float(round(q.rmax, 9)), float(round(q.walks, 3))) for f in (P.fora, P.bippr, P.monte_carlo, P.monte_carlo_all, P.forward_push, P.pairwise) for q in [f(p)]]
+    rows = [(f.__name__, float(round(q.rmax, 9)), float(round(q.walks, 3))) for f in (P.push_walk, P.bippr, P.monte_carlo, P.monte_carlo_all, P.forward_push, P.pairwise) for q in [f(p)]]
     return spark.createDataFrame(rows, "method string, rmax double, walks double")

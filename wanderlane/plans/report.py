@@ -41,7 +41,7 @@ class Report:
 
     def path(self, folder: str) -> Path:
         c = self.config
-        name = [c.get("dataset", "graph"), c.get("action", "query"), c.get("algo", "fora"), "with_idx" if c.get("with_idx") else "without_idx"]
+        name = [c.get("dataset", "graph"), c.get("action", "query"), c.get("algo", "push_walk"), "with_idx" if c.get("with_idx") else "without_idx"]
         if c.get("k"):
             name.append(f"k-{c['k']}")
         if c.get("rmax_scale", 1) != 1:
