@@ -9,6 +9,8 @@ without sorting or collecting.
 Slots that a source drew beyond its quota go, in order, to the sources that drew too few, so each source ends at its quota
 and no block is used more often than its target allows.
 
+Sources are taken to be thousands at most: each slot finds its own in one comparison tree over all sources' quotas.
+
 Defined results: a null text has size 0; a null source is a source of its own, last in the order; documents without words
 are returned with taken 0; repeated rows are separate documents; an empty table gives an empty result.
 """
@@ -139,8 +141,8 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     marked = docs.withColumn("_mark", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(seed), "doc_id"))
     marked = marked.withColumn("_twin", F.row_number().over(Window.partitionBy("doc_id", "source", "_mark").orderBy("n_chars")))
     on = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.src")) & (F.col("d._mark") == F.col("p.mark")) & (F.col("d._twin") == F.col("p.twin"))
-    joined = marked.alias("d").join(lists.alias("p"), on).select("d.*", "p.pieces").withColumn("_words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
-    taken = F.transform("pieces", lambda p: F.array_join(F.flatten(F.array_repeat(F.slice("_words", (p["from"] + 1).cast("int"), p["words"].cast("int")), p["uses"].cast("int"))), " "))
+    joined = marked.alias("d").join(lists.alias("p"), on).select("d.*", F.col("p.pieces").alias("_pieces")).withColumn("_words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    taken = F.transform("_pieces", lambda p: F.array_join(F.flatten(F.array_repeat(F.slice("_words", (p["from"] + 1).cast("int"), p["words"].cast("int")), p["uses"].cast("int"))), " "))
     return joined.withColumn("text", F.array_join(taken, " ")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
