@@ -29,7 +29,20 @@ from .common import table
 MARK = "▁"
 CHUNK_CHARS = 1 << 21
 CACHED_UNITS = 400_000
-_ONE = (1,)
+_TWO = (2, 1)
+
+
+def shared_prefixes(units: list[str], width: int = 24) -> list[int]:
+    """How many characters each unit shares with the one before it, for distinct units."""
+    if not units:
+        return []
+    chars = np.array([u[:width] for u in units], f"U{width}").view(np.uint32).reshape(len(units), width)
+    same = chars[1:] == chars[:-1]
+    out = [0, *np.where(same.all(1), width, same.argmin(1)).tolist()]
+    for k in range(1, len(units)):
+        if out[k] == width or "\0" in units[k] or "\0" in units[k - 1]:  # longer than compared, or like the padding
+            out[k] = len(os.path.commonprefix((units[k - 1], units[k])))
+    return out
 
 
 class Pieces:
@@ -52,10 +65,11 @@ class Pieces:
             self.decoded[k] = bytes([b])
         # Pieces that encode as themselves: only these end a prefix.
         self._raws = {p: self._raw(p) for p in self.ids if self.merge(p) == [p]}
+        # Lengths of pieces by their last three characters, those of two and one included.
         lengths: dict[str, set[int]] = {}
         for p in self._raws:
-            if len(p) > 1:
-                lengths.setdefault(p[-2:], {1}).add(len(p))
+            if len(p) > 2:
+                lengths.setdefault(p[-3:], {2, 1} if p[-2:] in self._raws else {1}).add(len(p))
         self._sizes = {tail: tuple(sorted(found, reverse=True)) for tail, found in lengths.items()}
         self._forget()
         self._units: dict[str, bytes] = {}
@@ -86,16 +100,15 @@ class Pieces:
 
     def encode_sorted(self, units: list[str]) -> list[bytes]:
         """Ids (int32) of units in sorted order: a depth-first walk of their trie."""
-        # states: the last piece of each prefix; rows: what is known of the pieces that fit behind it.
-        out, before, known = [], "", self._pair
-        states, rows = [""], [self._first]
-        raw, sizes_of, common_prefix = self._raws, self._sizes, os.path.commonprefix
-        for unit in units:
-            common = len(common_prefix((before, unit)))
-            del states[common + 1 :], rows[common + 1 :]
+        # For each prefix: its last piece, what is known of the pieces that fit behind it, and its ids.
+        out, known = [], self._pair
+        states, rows, ids = [""], [self._first], [b""]
+        raw, sizes_of = self._raws, self._sizes
+        for unit, common in zip(units, shared_prefixes(units)):
+            del states[common + 1 :], rows[common + 1 :], ids[common + 1 :]
             for end in range(common + 1, len(unit) + 1):
-                # Only lengths of pieces with these two last characters come into question.
-                for size in sizes_of.get(unit[end - 2 : end], _ONE) if end > 1 else _ONE:
+                # Only lengths of pieces with these last characters come into question.
+                for size in (sizes_of.get(unit[end - 3 : end]) if end > 2 else None) or _TWO:
                     if size <= end:
                         piece = unit[end - size : end]
                         if piece in raw or size == 1:
@@ -111,17 +124,11 @@ class Pieces:
                                 if row is None:
                                     row = known[piece] = {}
                                 rows.append(row)
+                                ids.append(ids[end - size] + (raw.get(piece) or self._raw(piece)))
                                 break
                 else:
                     raise AssertionError("a prefix without a state")
-            at, parts = len(unit), []
-            while at:
-                piece = states[at]
-                parts.append(raw.get(piece) or self._raw(piece))
-                at -= len(piece)
-            parts.reverse()
-            out.append(b"".join(parts))
-            before = unit
+            out.append(ids[-1])
         if self._n_pairs > 4 * CACHED_UNITS:
             self._forget()
         return out
