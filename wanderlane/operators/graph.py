@@ -62,10 +62,11 @@ class Graph:
 
     @property
     def out_edges(self) -> DataFrame:
-        """node, deg, dst: a row for each out-edge; a dangling node has one with deg 0 and dst null."""
+        """node, deg, dst, dst_deg: a row for each out-edge; a dangling node has one with deg 0 and dst null."""
         def make():
-            e = self.edges.select(F.col("src").alias("node"), "dst")
-            return cut(self.nodes.select("node", F.col("out_deg").alias("deg")).join(e, "node", "left").select("node", "deg", "dst"))
+            deg = self.nodes.select("node", F.col("out_deg").alias("deg"))
+            e = self.edges.join(deg.select(F.col("node").alias("dst"), F.col("deg").alias("dst_deg")), "dst").select(F.col("src").alias("node"), "dst", "dst_deg")
+            return cut(deg.join(e, "node", "left").select("node", "deg", "dst", "dst_deg"))
 
         return self._once("out_edges", make)
 

@@ -20,25 +20,23 @@ def unit_state(sources: DataFrame, name: str = "source") -> DataFrame:
     return sources.select(name, F.col(name).alias("node"), F.lit(0.0).alias("reserve"), F.lit(1.0).alias("residual"))
 
 
-def _run(state: DataFrame, edges: DataFrame, key: str, active: Column, target: Column, share: Column, alpha: float, rounds: int) -> DataFrame:
+def _run(state: DataFrame, edges: DataFrame, key: str, active: Column, target: Column, share: Column, alpha: float, rounds: int, degrees: DataFrame | None = None) -> DataFrame:
     """Rounds of: frontier x edges -> arrivals; state -> what stays; sum. ROUNDS_IN_A_PLAN make one plan; a round without
-    a frontier changes nothing, so whether there is one is asked only between plans."""
-    last = None
-    by_source = "dst" in edges.columns  # out-edges repeat their node's degree, which the threshold needs
-    deg = edges.select("node", "deg").distinct() if by_source else None
-    e = edges.drop("deg") if by_source else edges
+    a frontier changes nothing, so whether there is one is asked only between plans. degrees(node, deg): the state carries
+    its nodes' degrees, which arrivals bring along with the edge; a source, where dangling nodes push to, has its own row."""
+    last, carried = None, [] if degrees is None else ["deg"]
+    e = edges.drop(*carried)
+    arrived = [F.when(F.col("deg") > 0, F.col("dst_deg")).alias("deg")] if carried else []
     with short_rounds(state.sparkSession):
-        state = cut(state if deg is None or "deg" in state.columns else state.join(deg, "node").select(key, "node", "reserve", "residual", "deg"))
+        state = cut(state.join(degrees, "node").select(key, "node", "reserve", "residual", "deg") if carried else state)
         for done in range(0, rounds, ROUNDS_IN_A_PLAN):
             if state.filter(active).isEmpty():
                 break
             new = state
             for _ in range(min(ROUNDS_IN_A_PLAN, rounds - done)):
-                arrivals = new.filter(active).join(e, "node").select(key, target.alias("node"), F.lit(0.0).alias("reserve"), share.alias("residual"))
-                stays = new.select(key, "node", F.when(active, F.col("reserve") + alpha * F.col("residual")).otherwise(F.col("reserve")).alias("reserve"), F.when(active, 0.0).otherwise(F.col("residual")).alias("residual"))
-                new = arrivals.unionByName(stays).groupBy(key, "node").agg(F.sum("reserve").alias("reserve"), F.sum("residual").alias("residual"))
-                if deg is not None:
-                    new = new.join(deg, "node")
+                arrivals = new.filter(active).join(e, "node").select(key, target.alias("node"), F.lit(0.0).alias("reserve"), share.alias("residual"), *arrived)
+                stays = new.select(key, "node", F.when(active, F.col("reserve") + alpha * F.col("residual")).otherwise(F.col("reserve")).alias("reserve"), F.when(active, 0.0).otherwise(F.col("residual")).alias("residual"), *carried)
+                new = arrivals.unionByName(stays).groupBy(key, "node").agg(F.sum("reserve").alias("reserve"), F.sum("residual").alias("residual"), *[F.max(c).alias(c) for c in carried])
             new = cut(new)
             if last is not None:
                 drop(last)
@@ -46,6 +44,10 @@ def _run(state: DataFrame, edges: DataFrame, key: str, active: Column, target: C
     return state
 
 
+def _degrees(graph: Graph) -> DataFrame:
+    return graph.nodes.select("node", F.col("out_deg").alias("deg"))
+
+
 def forward_push(graph: Graph, state: DataFrame, rmax: float, alpha: float = ALPHA, rounds: int = ROUNDS, criterion: str = "per_edge") -> DataFrame:
     """Push every node with residual / out-degree >= rmax ("per_edge") or residual >= rmax ("absolute").
 
@@ -55,7 +57,7 @@ def forward_push(graph: Graph, state: DataFrame, rmax: float, alpha: float = ALP
     width = F.greatest(F.col("deg"), F.lit(1))
     active = F.col("residual") / width >= rmax if criterion == "per_edge" else F.col("residual") >= rmax
     to = F.when(F.col("deg") == 0, F.col("source")).otherwise(F.col("dst"))
-    out = _run(state, graph.out_edges, "source", active, to, (1 - alpha) * F.col("residual") / width, alpha, rounds)
+    out = _run(state, graph.out_edges, "source", active, to, (1 - alpha) * F.col("residual") / width, alpha, rounds, _degrees(graph))
     return out.select("source", "node", "reserve", "residual")
 
 
@@ -67,7 +69,7 @@ def reverse_push(graph: Graph, state: DataFrame, rmax: float, alpha: float = ALP
 
 def power_iteration(graph: Graph, sources: DataFrame, rounds: int = 100, alpha: float = ALPHA) -> DataFrame:
     """source, node, score: alpha times the sum of the residuals of a fixed number of rounds; dangling nodes go to the source."""
-    out = _run(unit_state(sources), graph.out_edges, "source", F.col("residual") > 0, F.when(F.col("deg") == 0, F.col("source")).otherwise(F.col("dst")), (1 - alpha) * F.col("residual") / F.greatest(F.col("deg"), F.lit(1)), alpha, rounds)
+    out = _run(unit_state(sources), graph.out_edges, "source", F.col("residual") > 0, F.when(F.col("deg") == 0, F.col("source")).otherwise(F.col("dst")), (1 - alpha) * F.col("residual") / F.greatest(F.col("deg"), F.lit(1)), alpha, rounds, _degrees(graph))
     return out.filter("reserve > 0").select("source", "node", F.col("reserve").alias("score"))
 
 
