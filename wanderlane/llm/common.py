@@ -30,8 +30,17 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str = "cut", compression: str = "snappy") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: its lineage ends there and any executor can go."""
+#: Rows that are worth a file of their own.
+FILE_ROWS = 200_000
+
+
+def cut(df: DataFrame, what: str = "cut", compression: str = "snappy", most: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: its lineage ends there and any executor can go.
+
+    most: a bound of its rows, if known; a small table is then a few files, whatever the number of shuffle partitions.
+    """
+    if most is not None:
+        df = df.coalesce(max(1, -(-most // FILE_ROWS)))
     path = fresh_path(df.sparkSession, what)
     df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

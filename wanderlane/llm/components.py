@@ -32,10 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b); component is its least node. Ids are longs; loops are ignored."""
     links = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = cut(links, "links")
-    mark = None
+    mark, most = None, links.count()  # a star operation adds no links but one for each node it ends at
     for _ in range(MAX_ROUNDS):
-        large = cut(_star(links, True), "links")
-        small = cut(_star(large, False), "links")
+        large = cut(_star(links, True), "links", most=2 * most)
+        small = cut(_star(large, False), "links", most=2 * most)
         drop(links, large)
         links = small
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

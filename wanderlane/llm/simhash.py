@@ -109,11 +109,12 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """doc_id, fingerprint (16 hex digits), component_id for each row."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = cut(texts.mapInArrow(_fingerprint_batches, "doc_id long, fp long"), "simhash")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    stars = cut(components(link(distinct.select("fp"))), "simhash-components")
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct", most=prints.count())
+    n = distinct.count()
+    stars = cut(components(link(distinct.select("fp"))), "simhash-components", most=n)
     rooted = distinct.join(stars, distinct.fp == stars.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = cut(rooted.join(roots, "root").select("fp", "component_id"), "simhash-classes")
+    classes = cut(rooted.join(roots, "root").select("fp", "component_id"), "simhash-classes", most=n)
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

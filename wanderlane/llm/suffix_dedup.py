@@ -249,8 +249,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     common = cut(texts.select("raw", "twice").mapInArrow(_anchor_hashes(length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "common")
     rows = texts.mapInArrow(_anchor_rows(length), "h long, key binary, a int, b int, seg binary, n long, spans array<struct<lo:int,hi:int>>")
     shared = cut(rows.join(common, "h", "left_semi"), "anchors")
-    segments = cut(shared.groupBy("h", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("key", "a", "b")).alias("at")), "segments")
-    several = cut(segments.groupBy("h").agg(F.count("*").alias("segments")).filter("segments > 1"), "several")
+    segments = cut(shared.groupBy("h", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("key", "a", "b")).alias("at")), "segments", most=shared.count())
+    several = cut(segments.groupBy("h").agg(F.count("*").alias("segments")).filter("segments > 1"), "several", most=segments.count())
     wanted = segments.join(several, "h").select("at.key", F.struct("h", "seg", "at.a", "at.b", "segments").alias("s")).groupBy("key").agg(F.collect_list("s").alias("wanted"))  # of one text
     cuts = texts.select("key", "raw").join(wanted, "key").select("raw", "wanted").mapInArrow(_cut_segments(length, part), "h long, part int, parts int, seg binary, bytes binary")
     dealt = cuts.repartition(n, "h", "part").sortWithinPartitions("h", "part")
