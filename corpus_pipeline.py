@@ -26,8 +26,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that repeat; a text of which nothing is left goes."""
-    out = suffix_dedup.remove_repeats(docs)
+    """Texts without the passages that repeat, of over 50 words or of 400 bytes; a text of which nothing is left goes."""
+    out = suffix_dedup.remove_passages(docs)
     return out.filter(F.length("text") > 0).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -13,19 +13,25 @@ and the text of segments that share an anchor hash but differ. Tables of the run
 
 Defined results: a null text is empty; a text shorter than LENGTH keeps all its bytes; repeated rows are separate
 documents, so long repeated texts lose all their bytes; an empty table gives an empty result.
+
+remove_passages() also takes out each run of WORDS words that starts anywhere else, however few its bytes: texts in which
+CODE hashed bytes stand for each word go through the same search, with windows of WORDS * CODE bytes. White space between
+words is of no account. Two words with the same code are taken for one: a chance of 2^-47 for a pair.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import cut, drop, table
+from .common import WORD, cut, drop, table
 from .induced import sorted_suffixes
 from .vector import _MULTIPLIER, _VALUES, blocks, mix64, powers
 
@@ -33,6 +39,7 @@ LENGTH, GRAM = 400, 64
 PART = 16384  # distinct segments of one anchor hash that are sorted together, some 10 MB
 SHARD_BYTES = 1 << 20  # fits the memory of the sort; a shard is larger only where one part is
 PIECE = 1 << 20
+WORDS, CODE = 51, 6  # words of a passage that may not repeat; bytes that stand for a word when passages are looked for
 SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 _PLACE = 21  # bits for the place of a gram in a piece, to find the leftmost of equals
 
@@ -283,22 +290,25 @@ def count_removed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     )
 
 
+def _without(text: str, found: list) -> str:
+    raw, at, kept = text.encode(), 0, []
+    for lo, hi in found:
+        while lo < len(raw) and raw[lo] & 0xC0 == 0x80:  # a character that is cut stays whole
+            lo += 1
+        while hi > lo and hi < len(raw) and raw[hi] & 0xC0 == 0x80:
+            hi -= 1
+        kept.append(raw[at:lo])
+        at = max(lo, hi)
+    return b"".join([*kept, raw[at:]]).decode()
+
+
 def _strip(position: int):
     def run(batches):
         for batch in batches:
             texts, spans = batch.column(position).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             for k, found in enumerate(spans):
                 if found:
-                    raw, at, kept = texts[k].encode(), 0, []
-                    for s in found:
-                        lo, hi = s["lo"], s["hi"]
-                        while lo < len(raw) and raw[lo] & 0xC0 == 0x80:  # a character that is cut stays whole
-                            lo += 1
-                        while hi > lo and hi < len(raw) and raw[hi] & 0xC0 == 0x80:
-                            hi -= 1
-                        kept.append(raw[at:lo])
-                        at = max(lo, hi)
-                    texts[k] = b"".join([*kept, raw[at:]]).decode()
+                    texts[k] = _without(texts[k], [(s["lo"], s["hi"]) for s in found])
             columns = [pa.array(texts, pa.string()) if k == position else c for k, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
@@ -312,6 +322,65 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", **options) -> DataFr
     return joined.mapInArrow(_strip(docs.columns.index(text_col)), docs.schema)
 
 
+def _codes(position: int):
+    """The batch with one more column: each text's words in CODE bytes each, none of them 0xFF."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for block in blocks(batch.column(position), PIECE):
+                up, down = _both_powers(len(block.data) + 1)
+                sums = np.append(np.uint64(0), np.cumsum(_VALUES[block.data] * up[: len(block.data)]))
+                h = mix64((sums[block.ends] - sums[block.starts]) * down[block.starts])
+                codes = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :CODE]
+                raw = np.where(codes == 0xFF, np.uint8(0), codes).tobytes()
+                cuts = CODE * np.searchsorted(block.word_rows, np.arange(block.rows + 1))
+                out += [raw[x:y] for x, y in zip(cuts.tolist(), cuts[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "_codes"])
+
+    return run
+
+
+def _strip_both(position: int, words: int):
+    word = re.compile(WORD.encode())
+
+    def run(batches):
+        for batch in batches:
+            names = batch.schema.names
+            texts = batch.column(position).to_pylist()
+            for k, (spans, passages) in enumerate(zip(batch.column(names.index("_spans")).to_pylist(), batch.column(names.index("_passages")).to_pylist())):
+                found = [(s["lo"], s["hi"]) for s in spans or []]
+                if passages:
+                    at = [m.span() for m in word.finditer(texts[k].encode())]
+                    for s in passages:
+                        first, end = -(-s["lo"] // CODE), s["hi"] // CODE  # a window may begin or end within a word's code
+                        if end - first >= words:
+                            found.append((at[first][0], at[end - 1][1]))
+                merged = []
+                for lo, hi in sorted(found):
+                    if merged and lo <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], hi)
+                    else:
+                        merged.append([lo, hi])
+                if merged:
+                    texts[k] = _without(texts[k], merged)
+            kept = [k for k, name in enumerate(names) if name not in ("_spans", "_passages")]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == position else batch.column(k) for k in kept], [names[k] for k in kept])
+
+    return run
+
+
+def remove_passages(docs: DataFrame, text_col: str = "text", words: int = WORDS, **options) -> DataFrame:
+    """docs as of remove_repeats(), without the runs of that many words that repeat as well."""
+    at, schema = docs.columns.index(text_col), docs.schema
+    coded = docs.mapInArrow(_codes(at), StructType([*schema.fields, StructField("_codes", BinaryType())]))
+    spans = repeated_spans(docs, text_col, **options).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
+    passages = repeated_spans(coded, "_codes", **options | {"length": words * CODE}).select(F.col("key").alias("_run"), F.col("spans").alias("_passages"))
+    keys = {"_digest": F.substring(_keyed(docs, text_col), 1, 16), "_coded": F.substring(_keyed(coded, "_codes"), 1, 16)}
+    joined = coded.withColumns(keys).drop("_codes").join(spans, F.col("_digest") == F.col("_key"), "left").join(passages, F.col("_coded") == F.col("_run"), "left")
+    return joined.select(*docs.columns, "_spans", "_passages").mapInArrow(_strip_both(at, words), schema)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_removed(table(spark, sf_dir, "documents"))
 
