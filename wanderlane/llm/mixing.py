@@ -7,7 +7,7 @@ slots and blocks are joined by index. A permutation is a swap-or-not shuffle: a
 without sorting or collecting.
 
 Slots that a source drew beyond its quota go, in order, to the sources that drew too few, so each source ends at its quota
-and no block is used more often than its target allows.
+and no block is used more often than its target allows. A source with a target above 0 gets one block at least.
 
 Sources are taken to be thousands at most: each slot finds its own in one comparison tree over all sources' quotas.
 
@@ -85,8 +85,9 @@ def mix(docs: DataFrame, seed: int = 17, block: int = 64, shard_slots: int = 102
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("mark", "twin"), F.lit(n_buckets)))
     goal = cut(targets(rows.groupBy("src").agg(F.sum("size").alias("source_size")), weights, share_percent, cap), "mix-targets")
     # One row per source; a corpus has far fewer sources than a block of words, and the size is checked by Catalyst.
-    quota = goal.withColumn("n_blocks", F.ceil(F.col("source_size") / block).cast("long")).withColumn("quota", F.least(F.round(F.col("target") / block).cast("long"), cap * F.floor(F.col("source_size") / block).cast("long") + F.when(F.col("source_size") < block, cap).otherwise(0)))
-    quota = quota.filter("quota > 0")
+    # A slot brings source_size / n_blocks words on average: all blocks cap times are cap * source_size, to the word.
+    quota = goal.filter("target > 0").withColumn("n_blocks", F.ceil(F.col("source_size") / block).cast("long"))
+    quota = quota.withColumn("quota", F.greatest(F.lit(1).cast("long"), F.round(F.col("target") * F.col("n_blocks") / F.col("source_size")).cast("long")))
 
     # Each slot draws a source: the cumulative quota that its pseudorandom number falls into.
     cum = Window.orderBy(F.col("src").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
