@@ -54,7 +54,8 @@ def ppr_search(graph: Graph, sources: DataFrame, k: int, eps: float, least_delta
 
 def hitting_search(graph: Graph, sources: DataFrame, k: int, eps: float, least_delta: float | None = None, most_self_walks: int | None = None, **options) -> DataFrame:
     """source, rank, node, score of dht: each round refines either the ppr estimates (delta halves) or the candidates' self
-    scores (their error halves), whichever the cost model expects to be cheaper, until bounds settle the k best."""
+    scores (their error halves), whichever the cost model expects to be cheaper, until bounds settle the k best or delta and
+    the error are at their least; with one of them there, the other goes on alone."""
     n, m = graph.sizes
     base = P.hitting(P.defaults(n, m, eps, pfail=P.topk_pfail(n, halves=True)))
     least, sources = max(P.ALPHA / n, least_delta or 0), cut(sources.select("source").distinct())
@@ -78,7 +79,7 @@ def hitting_search(graph: Graph, sources: DataFrame, k: int, eps: float, least_d
         own = cut(B.self_bounds(scores.join(reserve, "node"), base.pfail, s.eps_self, rmax, float(count), own))
         both = cut(B.candidates(B.hitting_bounds(found, own), k))
         settled = B.stops(both, k, eps, P.ALPHA / n).agg(F.min(F.col("stop").cast("int"))).first()[0]
-        if settled or (delta <= least and eps_self <= least_eps) or (delta <= least and not refine_ppr):
+        if settled or (delta <= least and eps_self <= least_eps):
             return top_k(both, k)
         forward = P.cost_forward(edge_visits(graph, state, now.rmax / 2), 2 * now.walks)
         reverse = P.cost_reverse(max(1, targets.count()), rmax / 2, n, m)
