@@ -434,14 +434,14 @@ def stop_test(spark, d):
 @query()
 def ppr_topk_loop(spark, d):
     g = event(spark, d)
-    found = search.ppr_search(g, top_sources(g), 5, 0.5, least_delta=0.02, steps=STEPS)
+    found = search.ppr_search(g, top_sources(g), 5, 0.5)
     return rounded(found, "score")
 
 
 @query()
 def dht_topk_loop(spark, d):
     g = event(spark, d)
-    found = search.hitting_search(g, top_sources(g), 5, 0.5, least_delta=0.02, most_self_walks=200, steps=STEPS)
+    found = search.hitting_search(g, top_sources(g), 5, 0.5)
     return rounded(found, "score")
 
 
