@@ -15,8 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines see: spark.checkpoint.dir. Where it is unset, a temporary one, on a single machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that all machines share")
         root = f"file://{tempfile.mkdtemp(prefix='wanderlane-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
