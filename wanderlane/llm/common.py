@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.iterate import drop, shared_dir  # noqa: F401
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,15 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='wanderlane-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
@@ -34,13 +26,14 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 FILE_ROWS = 200_000
 
 
-def cut(df: DataFrame, what: str = "cut", compression: str = "snappy", most: int | None = None) -> DataFrame:
+def cut(df: DataFrame, what: str = "cut", compression: str = "snappy", most: int | None = None, per_file: int = FILE_ROWS) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: its lineage ends there and any executor can go.
 
     most: a bound of its rows, if known; a small table is then a few files, whatever the number of shuffle partitions.
+    per_file: rows that are worth a file, and a task.
     """
     if most is not None:
-        df = df.coalesce(max(1, -(-most // FILE_ROWS)))
+        df = df.coalesce(max(1, -(-most // per_file)))
     path = fresh_path(df.sparkSession, what)
     df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -48,13 +41,20 @@ def cut(df: DataFrame, what: str = "cut", compression: str = "snappy", most: int
     return out
 
 
-def drop(*frames: DataFrame) -> None:
-    """Delete tables made by cut() that nothing will read again."""
-    for df in frames:
-        if path := getattr(df, "cut_path", None):
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as it takes to differ from df's columns (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def worker_cache() -> dict:
+    """What all tasks of a worker process share: functions travel by value, and with them copies of their modules."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("wanderlane_worker_cache", types.ModuleType("wanderlane_worker_cache")).__dict__
 
 
 def fold(id_col: str, modulus: int, remainder: int) -> Column:
