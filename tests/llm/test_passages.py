@@ -12,8 +12,24 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def brute(texts, words, length):
-    """Each text without the runs of words, and the stretches of bytes, that start anywhere else too."""
+def whole_characters(t, gone):
+    """A run's ends go inwards to where a character begins."""
+    for k in range(len(t)):
+        if gone[k] and (k == 0 or not gone[k - 1]):
+            while k < len(t) and gone[k] and t[k] & 0xC0 == 0x80:
+                gone[k] = False
+                k += 1
+    for k in range(len(t) - 1, -1, -1):
+        if gone[k] and k + 1 < len(t) and not gone[k + 1] and t[k + 1] & 0xC0 == 0x80:
+            while gone[k] and t[k] & 0xC0 == 0x80:
+                gone[k] = False
+                k -= 1
+            gone[k] = False
+
+
+def brute(texts, words, length, whole=False):
+    """Each text without the runs of words, and the stretches of bytes, that start anywhere else too. whole: characters of
+    which only some bytes repeat stay."""
     spans = [[m.span() for m in WORD.finditer(t)] for t in texts]
     bags = [[t[a:b] for a, b in s] for t, s in zip(texts, spans)]
     seen = collections.Counter(tuple(b[i : i + words]) for b in bags for i in range(len(b) - words + 1))
@@ -27,6 +43,8 @@ def brute(texts, words, length):
         for i in range(len(t) - length + 1):
             if held[t[i : i + length]] > 1:
                 gone[i : i + length] = True
+        if whole:
+            whole_characters(t, gone)
         out.append(bytes(b for b, g in zip(t, gone) if not g).decode())
     return out
 

@@ -1,18 +1,25 @@
 """Removing repeated substrings: every byte covered by a LENGTH-byte string that starts anywhere else in the corpus.
 
-Equal texts are one text, known to repeat. Each window of LENGTH bytes of the others belongs to one anchor, the 64-byte gram
-in it with the least hash (the leftmost of equals): equal windows have equal anchors at equal offsets, so two windows can
-be equal only under anchors with the same hash. Anchors with a hash of their own are done. The others' segments (the
-windows of one anchor form one stretch of text) are compared: equal segments by digest; distinct ones of the same anchor
-hash meet in a shard, whose text is sorted by external induced sorting with common prefixes (induced.py), and windows
-next to each other with a common prefix of LENGTH are repeats. A hash with very many distinct segments is cut into parts
-sorted apart; of these, the distinct windows' digests are then counted across parts.
+Each window of LENGTH bytes belongs to one anchor, the 64-byte gram in it with the least hash (the leftmost of equals): equal
+windows have equal anchors at equal offsets, so two windows can be equal only under anchors with the same hash. The windows
+of one anchor form one stretch of text, its segment. Filters, all exact, decide what is sorted:
+
+* equal texts are one text, known to repeat (by SHA-256), and equal segments one segment, known to repeat (by a digest);
+* anchors with a hash of their own have no equal window;
+* the offset of the anchor in a window lies in one of SIDES ranges, and with it the window holds a certain stretch of text
+  around the anchor, its side. Of the distinct segments under one hash only those that share a side with another are sorted.
+
+These meet in a shard, whose text is sorted by external induced sorting with common prefixes (induced.py), and windows next to
+each other with a common prefix of LENGTH are repeats. A hash with very many distinct segments is cut into parts sorted
+apart; of these, the distinct windows' digests are then counted across parts.
 
 Texts are written once, bucketed by digest, and read in place for the later joins; what is shuffled besides is anchors,
-and the text of segments that share an anchor hash but differ. Tables of the run are in the shared folders.
+and the text of segments that are sorted. Tables of the run are in the shared folders.
 
-Defined results: a null text is empty; a text shorter than LENGTH keeps all its bytes; repeated rows are separate
-documents, so long repeated texts lose all their bytes; an empty table gives an empty result.
+Defined results: a null text is empty; a text shorter than LENGTH keeps all its bytes; a very long text is searched in pieces
+that overlap, and held by one task; repeated rows are separate documents, so long repeated texts lose all their bytes; all
+occurrences of a repeated string go, the first as well; an empty table gives an empty result; other columns are ignored by
+count_removed() and kept by the others, whatever their names.
 
 remove_passages() also takes out each run of WORDS words that starts anywhere else, however few its bytes: texts in which
 CODE hashed bytes stand for each word go through the same search, with windows of WORDS * CODE bytes. White space between
@@ -29,16 +36,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import WORD, cut, drop, table
+from .common import WORD, cut, drop, free_name, table
 from .induced import sorted_suffixes
 from .vector import _MULTIPLIER, _VALUES, blocks, mix64, powers
 
 LENGTH, GRAM = 400, 64
 PART = 16384  # distinct segments of one anchor hash that are sorted together, some 10 MB
 SHARD_BYTES = 1 << 20  # fits the memory of the sort; a shard is larger only where one part is
-PIECE = 1 << 20
+BLOCK, PIECE = 1 << 15, 1 << 17  # bytes of short texts, and of a long one, whose anchors are looked for at once
+SIDES = 4  # ranges of an anchor's offset in a window
 WORDS, CODE = 51, 6  # words of a passage that may not repeat; bytes that stand for a word when passages are looked for
 SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 _PLACE = 21  # bits for the place of a gram in a piece, to find the leftmost of equals
@@ -52,11 +59,11 @@ def _both_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(row, first start, last start, hash) of each anchor of texts laid end to end; starts are places in data."""
+    """(row, first start, last start, hash, place) of each anchor of texts laid end to end; starts are places in data."""
     n, gram = len(data), min(GRAM, length)
     none = np.empty(0, np.int64)
     if n < length:
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none
     up, down = _both_powers(n + 1)
     sums = np.append(np.uint64(0), np.cumsum(_VALUES[data] * up[:n]))
     h = mix64((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
@@ -70,60 +77,80 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:m]
     start = np.flatnonzero(np.arange(m) + length <= offsets[rows + 1])
     if not len(start):
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none
     place = (least[start] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
     first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (rows[start[1:]] != rows[start[:-1]])))
     last = np.append(first[1:], len(start)) - 1
-    return rows[start[first]], start[first], start[last], h[place[first]]
+    return rows[start[first]], start[first], start[last], h[place[first]], place[first]
 
 
 def _pieces(column: pa.Array, length: int):
-    """(first row, bytes, anchors) over all rows; a text longer than a piece is taken in overlapping pieces."""
-    for block in blocks(column, PIECE):
-        if len(block.data) <= PIECE:
-            yield block.lo, block.data, 0, block.offsets, anchors(block.data, block.offsets, length)
+    """(row, first start, last start, hash, place) over all rows, places in the row's text; long texts in overlapping pieces."""
+    for block in blocks(column, BLOCK):
+        if block.rows > 1 or len(block.data) <= PIECE:
+            row, *starts, h, place = anchors(block.data, block.offsets, length)
+            base = block.offsets[row]
+            yield block.lo + row, *(x - base for x in starts), h, place - base
         else:
             for at in range(0, len(block.data), PIECE):
                 part = block.data[at : at + PIECE + length - 1]
-                offsets = np.array([0, len(part)])
-                yield block.lo, part, at, offsets, anchors(part, offsets, length)
+                row, *starts, h, place = anchors(part, np.array([0, len(part)]), length)
+                yield block.lo + row, *(x + at for x in starts), h, place + at
+
 
+def _anchor_lists(length: int):
+    """key, twice and a text's anchors: hash, first start a, and in wide the last start and the place, counted from a."""
 
-def _anchor_hashes(length: int):
     def run(batches):
         for batch in batches:
-            twice = batch.column("twice").to_numpy(zero_copy_only=False)
-            for lo, _, _, _, (row, _, _, h) in _pieces(batch.column("raw"), length):
-                found, inverse = np.unique(h, return_inverse=True)
-                n = np.bincount(inverse, weights=1 + twice[lo + row], minlength=len(found)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["h", "n"])
+            found = [np.concatenate(x) for x in zip(*_pieces(batch.column("raw"), length))] or [np.empty(0, np.int64)] * 5
+            row, a, b, h, place = found
+            ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h.view(np.int64), a.astype(np.int32), ((b - a) << 16 | (place - a)).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("twice"), *lists], ["key", "twice", "h", "a", "wide"])
 
     return run
 
 
-def _anchor_rows(length: int):
-    """A row for each segment of a text, with all its places in the text: periodic text has one many times."""
-    kinds = {"h": pa.int64(), "key": pa.binary(), "a": pa.int32(), "b": pa.int32(), "seg": pa.binary(), "n": pa.int64(), "spans": SPANS}
+def _side_cuts(length: int) -> list[int]:
+    room = length - min(GRAM, length)
+    return [room * j // SIDES for j in range(SIDES + 1)]
+
+
+def _segments(length: int):
+    """A row for each segment of a text with a shared anchor, with all its places in the text and hashes of its sides."""
+    kinds = {"h": pa.int64(), "key": pa.binary(), "a": pa.int32(), "b": pa.int32(), "seg": pa.binary(), "n": pa.int64(), "spans": SPANS, "sides": pa.list_(pa.int64())}
+    cuts, digest = _side_cuts(length), lambda raw, size: hashlib.blake2b(raw, digest_size=size).digest()
+
+    def sides(text: bytes, h: int, a: int, end: int, place: int) -> list[int]:
+        out = []
+        for j in range(SIDES):
+            lo, hi = place - cuts[j], place + length - cuts[j + 1]
+            if lo >= a and hi <= end:
+                out.append(int.from_bytes(digest(h.to_bytes(8, "little", signed=True) + bytes([j]) + text[lo:hi], 8), "little", signed=True))
+        return out
 
     def run(batches):
         for batch in batches:
-            twice, key = batch.column("twice").to_numpy(zero_copy_only=False), batch.column("key")
-            for lo, data, shift, offsets, (row, a, b, h) in _pieces(batch.column("raw"), length):
-                raw, base, held = data.tobytes(), offsets[row] - shift, {}
-                for r, x, y, first, value in zip(row.tolist(), a.tolist(), b.tolist(), base.tolist(), h.view(np.int64).tolist()):
-                    seg = hashlib.blake2b(raw[x : y + length], digest_size=12).digest()
-                    places = held.setdefault((r, seg), [value])
-                    places.append((x - first, y - first))
-                rows = []
-                for (r, seg), (value, *places) in held.items():
+            out = {name: [] for name in kinds}
+            hits = batch.column("hits")
+            ends, fields = hits.offsets.to_pylist(), [x.to_pylist() for x in hits.values.flatten()]
+            for key, text, twice, lo, hi in zip(batch.column("key"), batch.column("raw"), batch.column("twice").to_pylist(), ends, ends[1:]):
+                text, held = text.as_py(), {}
+                for h, a, wide in sorted(zip(*(x[lo:hi] for x in fields)), key=lambda x: x[1]):
+                    b = a + (wide >> 16)
+                    held.setdefault((h, digest(text[a : b + length], 12)), []).append((a, b, a + (wide & 0xFFFF)))
+                for (h, seg), places in held.items():
                     spans = []
-                    for x, y in places:
-                        if spans and spans[-1]["hi"] + 1 == x:
-                            spans[-1]["hi"] = y
+                    for a, b, _ in places:
+                        if spans and spans[-1]["hi"] + 1 == a:
+                            spans[-1]["hi"] = b
                         else:
-                            spans.append({"lo": x, "hi": y})
-                    rows.append((value, key[lo + r].as_py(), *places[0], seg, len(places) + int(twice[lo + r]), spans))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds.values())], list(kinds))
+                            spans.append({"lo": a, "hi": b})
+                    a, b, place = places[0]
+                    for column, value in zip(out.values(), (h, key.as_py(), a, b, seg, len(places) + int(twice), spans, sides(text, h, a, b + length, place))):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds.values())], list(kinds))
 
     return run
 
@@ -243,6 +270,8 @@ def _cut_out(length: int):
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, part: int = PART, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(key, removed, runs, kept_sha256, spans) of each distinct text that loses bytes; key: 16 bytes of its SHA-256."""
+    if not 0 < length <= 1 << 15:
+        raise ValueError("length must be 1 to 32768")
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = docs.select(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw")).filter(F.octet_length("raw") >= length)
@@ -251,14 +280,30 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     name = f"wanderlane_texts_{uuid.uuid4().hex}"
     # The shuffle above deals texts by the same hash as the buckets, so they are written, and later read, in place.
     distinct.write.bucketBy(n, "key").option("compression", "zstd").saveAsTable(name)
-    texts = spark.table(name)
+    try:
+        return _search(spark.table(name), n, length, part, shard_bytes)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _search(texts: DataFrame, n: int, length: int, part: int, shard_bytes: int) -> DataFrame:
+    grams = cut(texts.select("key", "raw", "twice").mapInArrow(_anchor_lists(length), "key binary, twice boolean, h array<long>, a array<int>, wide array<int>"), "grams")
     # Written out, so that the join below has two plain sides and a hot hash can be split.
-    common = cut(texts.select("raw", "twice").mapInArrow(_anchor_hashes(length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "common")
-    rows = texts.mapInArrow(_anchor_rows(length), "h long, key binary, a int, b int, seg binary, n long, spans array<struct<lo:int,hi:int>>")
-    shared = cut(rows.join(common, "h", "left_semi"), "anchors")
-    segments = cut(shared.groupBy("h", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("key", "a", "b")).alias("at")), "segments", most=shared.count())
-    several = cut(segments.groupBy("h").agg(F.count("*").alias("segments")).filter("segments > 1"), "several", most=segments.count())
-    wanted = segments.join(several, "h").select("at.key", F.struct("h", "seg", "at.a", "at.b", "segments").alias("s")).groupBy("key").agg(F.collect_list("s").alias("wanted"))  # of one text
+    counts = grams.select(F.explode("h").alias("h"), (1 + F.col("twice").cast("int")).alias("n")).groupBy("h").agg(F.sum("n").alias("n"))
+    n_anchors = int(grams.agg(F.coalesce(F.sum(F.size("h")), F.lit(0))).first()[0])
+    common = cut(counts.filter("n > 1").select("h"), "common", most=n_anchors)
+    places = grams.select("key", F.explode(F.arrays_zip("h", "a", "wide")).alias("g")).select("g.*", "key")
+    hits = places.join(common, "h", "left_semi").groupBy("key").agg(F.collect_list(F.struct("h", "a", "wide")).alias("hits"))  # of one text
+    shared = cut(texts.join(hits, "key").select("key", "raw", "twice", "hits").mapInArrow(_segments(length), "h long, key binary, a int, b int, seg binary, n long, spans array<struct<lo:int,hi:int>>, sides array<long>"), "anchors")
+    drop(grams, common)
+    segments = cut(shared.groupBy("h", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("key", "a", "b")).alias("at"), F.first("sides").alias("sides")), "segments", most=shared.count())
+    n_segments = segments.count()
+    sided = segments.select("h", "seg", F.explode("sides").alias("side"))
+    met = cut(sided.groupBy("side").agg(F.count("*").alias("n")).filter("n > 1").select("side"), "sides", most=SIDES * n_segments)
+    sorted_ = cut(sided.join(met, "side", "left_semi").select("h", "seg").distinct().join(segments.select("h", "seg", "at"), ["h", "seg"]), "sorted", most=n_segments)
+    many = sorted_.groupBy("h").agg(F.count("*").alias("segments")).filter(F.col("segments") > part)
+    wanted = sorted_.join(many, "h", "left").select("at.key", F.struct("h", "seg", "at.a", "at.b", F.coalesce("segments", F.lit(1)).alias("segments")).alias("s"))
+    wanted = wanted.groupBy("key").agg(F.collect_list("s").alias("wanted"))  # of one text
     cuts = texts.select("key", "raw").join(wanted, "key").select("raw", "wanted").mapInArrow(_cut_segments(length, part), "h long, part int, parts int, seg binary, bytes binary")
     dealt = cuts.repartition(n, "h", "part").sortWithinPartitions("h", "part")
     found = cut(dealt.mapInArrow(_find_repeats(length, shard_bytes), "h long, seg binary, lo int, hi int, window binary, alone boolean"), "repeats")
@@ -270,19 +315,18 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     spans = once.unionByName(whole).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # of one text
     hit = texts.join(spans, "key", "left").filter("twice or spans is not null").select("key", "raw", "twice", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
     out = cut(hit.mapInArrow(_cut_out(length), "key binary, removed long, runs long, kept_sha256 string, spans array<struct<lo:int,hi:int>>"), "removed")
-    drop(common, shared, segments, several, found)
-    spark.sql(f"DROP TABLE {name}")
+    drop(shared, segments, met, sorted_, found)
     return out
 
 
-def _keyed(docs: DataFrame, text_col: str):
+def _keyed(text_col: str):
     return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), 256))
 
 
 def count_removed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
     spans = repeated_spans(docs, text_col, **options).drop("spans")
-    rows = docs.select(F.col(id_col).alias("doc_id"), _keyed(docs, text_col).alias("sha"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), _keyed(text_col).alias("sha"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
     rows = rows.withColumn("key", F.substring("sha", 1, 16)).join(spans, "key", "left")
     return rows.select(
         "doc_id", "n_bytes", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("runs", F.lit(0)).cast("long").alias("n_spans"),
@@ -302,83 +346,91 @@ def _without(text: str, found: list) -> str:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def _strip(position: int):
-    def run(batches):
-        for batch in batches:
-            texts, spans = batch.column(position).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            for k, found in enumerate(spans):
-                if found:
-                    texts[k] = _without(texts[k], [(s["lo"], s["hi"]) for s in found])
-            columns = [pa.array(texts, pa.string()) if k == position else c for k, c in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
-
-    return run
-
-
-def remove_repeats(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """docs with the repeated bytes taken out of the text; characters of which only some bytes repeat stay."""
-    spans = repeated_spans(docs, text_col, **options).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    joined = docs.withColumn("_digest", F.substring(_keyed(docs, text_col), 1, 16)).join(spans, F.col("_digest") == F.col("_key"), "left").drop("_digest", "_key")
-    return joined.mapInArrow(_strip(docs.columns.index(text_col)), docs.schema)
-
-
-def _codes(position: int):
-    """The batch with one more column: each text's words in CODE bytes each, none of them 0xFF."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for block in blocks(batch.column(position), PIECE):
-                up, down = _both_powers(len(block.data) + 1)
-                sums = np.append(np.uint64(0), np.cumsum(_VALUES[block.data] * up[: len(block.data)]))
-                h = mix64((sums[block.ends] - sums[block.starts]) * down[block.starts])
-                codes = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :CODE]
-                raw = np.where(codes == 0xFF, np.uint8(0), codes).tobytes()
-                cuts = CODE * np.searchsorted(block.word_rows, np.arange(block.rows + 1))
-                out += [raw[x:y] for x, y in zip(cuts.tolist(), cuts[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "_codes"])
-
-    return run
+def _merged(found: list) -> list:
+    out = []
+    for lo, hi in sorted(found):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
 
 
-def _strip_both(position: int, words: int):
+def _strip(position: int, words: int):
+    """The batch without its last column, a struct of two lists of spans (bytes, bytes of word codes), and without those in the text."""
     word = re.compile(WORD.encode())
 
     def run(batches):
         for batch in batches:
-            names = batch.schema.names
             texts = batch.column(position).to_pylist()
-            for k, (spans, passages) in enumerate(zip(batch.column(names.index("_spans")).to_pylist(), batch.column(names.index("_passages")).to_pylist())):
-                found = [(s["lo"], s["hi"]) for s in spans or []]
-                if passages:
+            for k, both in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if not both or texts[k] is None:
+                    continue
+                found = [(s["lo"], s["hi"]) for s in both["spans"] or []]
+                if both["passages"]:
                     at = [m.span() for m in word.finditer(texts[k].encode())]
-                    for s in passages:
+                    for s in both["passages"]:
                         first, end = -(-s["lo"] // CODE), s["hi"] // CODE  # a window may begin or end within a word's code
                         if end - first >= words:
                             found.append((at[first][0], at[end - 1][1]))
-                merged = []
-                for lo, hi in sorted(found):
-                    if merged and lo <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], hi)
-                    else:
-                        merged.append([lo, hi])
-                if merged:
-                    texts[k] = _without(texts[k], merged)
-            kept = [k for k, name in enumerate(names) if name not in ("_spans", "_passages")]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == position else batch.column(k) for k in kept], [names[k] for k in kept])
+                if found:
+                    texts[k] = _without(texts[k], _merged(found))
+            columns = [pa.array(texts, pa.string()) if k == position else c for k, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
     return run
 
 
+def _word_codes(block) -> np.ndarray:
+    """CODE bytes for each word of a block, none of them 0xFF; some PIECE bytes of text at a time."""
+    h, lo, starts, ends = np.empty(len(block.starts), np.uint64), 0, block.starts, block.ends
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + PIECE, "right")))
+        base = starts[lo]
+        part = block.data[base : ends[hi - 1]]
+        up, down = _both_powers(len(part) + 1)
+        sums = np.append(np.uint64(0), np.cumsum(_VALUES[part] * up[: len(part)]))
+        h[lo:hi] = mix64((sums[ends[lo:hi] - base] - sums[starts[lo:hi] - base]) * down[starts[lo:hi] - base])
+        lo = hi
+    codes = h.view(np.uint8).reshape(-1, 8)[:, :CODE]
+    return np.where(codes == 0xFF, np.uint8(0), codes)
+
+
+def _codes(batches):
+    """row, and the codes of each text's words."""
+    for batch in batches:
+        out = []
+        for block in blocks(batch.column("text"), BLOCK):
+            raw = _word_codes(block).tobytes()
+            cuts = CODE * np.searchsorted(block.word_rows, np.arange(block.rows + 1))
+            out += [raw[x:y] for x, y in zip(cuts.tolist(), cuts[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.binary())], ["row", "codes"])
+
+
+def _stripped(docs: DataFrame, text_col: str, words: int | None, options: dict) -> DataFrame:
+    row, gone = free_name(docs, "row"), free_name(docs, "gone")
+    keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-rows")
+    texts = keyed.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
+    key = lambda c: F.substring(_keyed(c), 1, 16).alias("key")
+    found = texts.select("row", key("text")).join(repeated_spans(texts, **options).select("key", "spans"), "key").select("row", "spans", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("passages"))
+    if words:
+        coded = cut(texts.mapInArrow(_codes, "row long, codes binary"), "dedup-codes", "zstd")
+        passages = repeated_spans(coded, "codes", **options | {"length": words * CODE}).select("key", F.col("spans").alias("passages"))
+        more = coded.select("row", key("codes")).join(passages, "key").select("row", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"), "passages")
+        found = found.unionByName(more).groupBy("row").agg(F.first("spans", True).alias("spans"), F.first("passages", True).alias("passages"))
+    found = found.select(F.col("row").alias(row), F.struct("spans", "passages").alias(gone))
+    joined = keyed.join(found, row, "left").select(*docs.columns, gone)
+    return joined.mapInArrow(_strip(docs.columns.index(text_col), words or 0), docs.schema)
+
+
+def remove_repeats(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """docs with the repeated bytes taken out of the text; characters of which only some bytes repeat stay."""
+    return _stripped(docs, text_col, None, options)
+
+
 def remove_passages(docs: DataFrame, text_col: str = "text", words: int = WORDS, **options) -> DataFrame:
     """docs as of remove_repeats(), without the runs of that many words that repeat as well."""
-    at, schema = docs.columns.index(text_col), docs.schema
-    coded = docs.mapInArrow(_codes(at), StructType([*schema.fields, StructField("_codes", BinaryType())]))
-    spans = repeated_spans(docs, text_col, **options).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    passages = repeated_spans(coded, "_codes", **options | {"length": words * CODE}).select(F.col("key").alias("_run"), F.col("spans").alias("_passages"))
-    keys = {"_digest": F.substring(_keyed(docs, text_col), 1, 16), "_coded": F.substring(_keyed(coded, "_codes"), 1, 16)}
-    joined = coded.withColumns(keys).drop("_codes").join(spans, F.col("_digest") == F.col("_key"), "left").join(passages, F.col("_coded") == F.col("_run"), "left")
-    return joined.select(*docs.columns, "_spans", "_passages").mapInArrow(_strip_both(at, words), schema)
+    return _stripped(docs, text_col, words, options)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
