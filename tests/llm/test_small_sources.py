@@ -18,7 +18,8 @@ def test_capped_sources_are_taken_twice_to_the_word(spark):
     assert {r.source for r in mixing.apply_mix(docs).collect()} == set(sizes)
 
 
-def test_a_source_with_a_small_target_gets_a_block(spark):
+def test_a_source_with_a_small_target_gets_it_to_the_word(spark):
     docs = spark.createDataFrame([(0, " ".join(["w"] * 100), "en", "a", None), (1, " ".join(["w"] * 100), "en", "b", None)], DOC)
-    got = {r.source: r for r in mixing.mix(docs, weights=(1000, 1), share_percent=100, block=100)[0].collect()}
-    assert 0 < got["b"].target < 50 and got["b"].taken == 100
+    got = {r.source: r for r in mixing.mix(docs, weights=(9, 1), share_percent=100, block=100)[0].collect()}
+    assert got["b"].target == 20 and got["b"].taken == 20
+    assert got["a"].target == got["a"].taken == 180

@@ -194,7 +194,7 @@ def test_mixing_meets_its_targets(docs, rows, none):
     assert len(got) == len(rows)
     assert all(r.taken <= 2 * r.size and r.source_size == size[r.source] and r.target == pytest.approx(target[r.source]) for r in got)
     for s in order:
-        assert sum(r.taken for r in got if r.source == s) == pytest.approx(target[s], abs=24)
+        assert sum(r.taken for r in got if r.source == s) == pytest.approx(target[s], abs=1, rel=0.001)
     assert by_row(mixing.mix(docs.repartition(5), block=8, shard_slots=64)[0], "doc_id", "size", "taken") == by_row(by_doc, "doc_id", "size", "taken")
     assert mixing.mix(none)[0].isEmpty()
 
@@ -207,10 +207,14 @@ def test_permutation_is_a_bijection(spark):
 
 def test_the_mixed_corpus_holds_the_taken_words(docs):
     options = {"block": 8, "shard_slots": 64}
-    taken = collections.Counter({(r.doc_id, r.size, r.taken): 1 for r in mixing.mix(docs, **options)[0].collect() if r.taken})
-    mixed = mixing.apply_mix(docs, **options).collect()
-    assert set(docs.columns) == set(mixed[0].asDict())
-    assert sorted(len(WORDS.findall(r.text)) for r in mixed if r.doc_id != 2) == sorted(t for (d, _, t) in taken if d != 2)
+    taken = collections.Counter()
+    for r in mixing.mix(docs, **options)[0].collect():
+        taken[r.doc_id] += r.taken
+    mixed, held = mixing.apply_mix(docs, **options), collections.Counter()
+    assert mixed.columns == docs.columns
+    for r in mixed.collect():
+        held[r.doc_id] += len(WORDS.findall(r.text))
+    assert held == +taken
 
 
 # 7

@@ -1,18 +1,20 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
-Each source's words, in a pseudorandom document order, are packed into blocks of fixed length. Output shards of a fixed
-number of slots draw their source counts from a multinomial distribution (one pseudorandom choice per slot). The k-th slot
-of a source is mapped through that source's pseudorandom index permutation (one per pass over the source) to a block, and
-slots and blocks are joined by index. A permutation is a swap-or-not shuffle: a bijection of any range, computed per row,
-without sorting or collecting.
+Each source's words, in a pseudorandom document order, are packed into blocks of fixed length (the last one may be short).
+Output shards of a fixed number of slots draw their source counts from a multinomial distribution over the targets (one
+pseudorandom number per slot, looked up in a grid of the cumulative targets). The k-th slot that a source drew, over all
+shards, is mapped through the source's pseudorandom index permutation of pass k / blocks to a block, and slots and blocks
+are joined by index. A permutation is a swap-or-not shuffle: a bijection of any range, computed per row, without sorting.
 
-Slots that a source drew beyond its quota go, in order, to the sources that drew too few, so each source ends at its quota
-and no block is used more often than its target allows. A source with a target above 0 gets one block at least.
-
-Sources are taken to be thousands at most: each slot finds its own in one comparison tree over all sources' quotas.
+The draws decide how many words each source gives, as long as that is within TOLERANCE of its target; beyond, and for
+sources that are to be taken `cap` times whole, the source's last slots are cut, or slots follow that no shard drew (shard
+null), to the word: a source then ends at the bound that it had passed. So every source is within TOLERANCE, at least to
+half a word, and no block, hence no document, is used more than `cap` times.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in the order; documents without words
-are returned with taken 0; repeated rows are separate documents; an empty table gives an empty result.
+are returned with taken 0; repeated rows are separate documents; documents are ordered by a hash of id and text, so ties
+there are repeated rows, which are alike; one very long text is one row, cut into blocks like any other; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,12 +22,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, drop, free_name, table
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT, CAP = 150, 2
+BLOCK, SHARD_SLOTS, TOLERANCE = 256, 1024, 0.001
 ROUNDS = 24
 BUCKET_DOCS = 1024
+SLOTS_PER_TASK = 20_000  # a permutation takes some 20 microseconds
+GROUP = 1 << 10  # shards whose counts are summed together
+GRID = 1 << 10  # cells of the grid of cumulative targets, besides two for each source
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share_percent: int = SHARE_PERCENT, cap: int = CAP) -> DataFrame:
@@ -59,94 +65,110 @@ def permuted(index: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), index, step)
 
 
-def _running(df: DataFrame, value: str, out: str, group: list[str], bucket: str, order: list) -> DataFrame:
-    """Exclusive running sum of value in each group, in two levels: no task sorts a whole group."""
-    totals = df.groupBy(*group, bucket).agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*[F.col(c).alias(f"_{c}") for c in group], F.col(bucket).alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = df.withColumn("_in", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group] + [F.col(bucket) == F.col("_b")]
-    return inner.join(totals, on).withColumn(out, F.col("_base") + F.col("_in")).drop("_base", "_in", "_b", *[f"_{c}" for c in group])
-
-
-def mix(docs: DataFrame, seed: int = 17, block: int = 64, shard_slots: int = 1024, weights: tuple = WEIGHTS, share_percent: int = SHARE_PERCENT, cap: int = CAP,
-        text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(per document: doc_id, size, source_size, target, taken and a row key; per piece: key, first word, words, uses)."""
-    # The key tells repeated rows apart: documents with the same id, source and text get consecutive numbers.
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(seed), F.col(id_col)).alias("mark"),
-    )
+def _running(df: DataFrame, value: str, out: str, bucket: str, order: list) -> DataFrame:
+    """Exclusive running sum of value in each source s, in two levels: no task sorts a whole source."""
+    before = Window.partitionBy("s").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy("s", bucket).agg(F.sum(value).alias("sum_")).select("s", bucket, F.coalesce(F.sum("sum_").over(before), F.lit(0)).alias("base_"))
+    within = Window.partitionBy("s", bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = df.withColumn("in_", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return inner.join(totals, ["s", bucket]).withColumn(out, F.col("base_") + F.col("in_")).drop("base_", "in_")
+
+
+def plan(sizes: DataFrame, block: int, weights: tuple, share_percent: int, cap: int, tolerance: float) -> DataFrame:
+    """A row for each source: s (its number), src, source_size, target, n_blocks, and the least and most words it may give."""
+    goal = targets(sizes, weights, share_percent, cap).withColumn("s", F.row_number().over(Window.orderBy(F.col("src").asc_nulls_last())))
+    full, wanted = cap * F.col("source_size"), F.least(F.round("target").cast("long"), cap * F.col("source_size"))
+    slack = F.when(wanted == full, F.lit(0)).otherwise(F.floor(F.col("target") * tolerance))
+    return goal.select("s", "src", "source_size", "target", F.ceil(F.col("source_size") / block).cast("long").alias("n_blocks"), wanted.alias("wanted"), (wanted - slack).alias("least"), F.least(wanted + slack, full).alias("most"))
+
+
+def draw_counts(goal: DataFrame, n_slots: int, total: int, n_sources: int, shard_slots: int, seed: int) -> DataFrame:
+    """shard, s, n: the multinomial counts of every shard, each slot drawing source s with probability wanted / total."""
+    width = max(1, -(-total // (GRID + 2 * n_sources)))
+    cum = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    ends = goal.filter("wanted > 0").select("s", F.sum("wanted").over(cum).alias("hi"), "wanted").select("s", (F.col("hi") - F.col("wanted")).alias("lo"), "hi")
+    grid = cut(ends.select("s", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("cell")), "mix-grid", most=GRID + 3 * n_sources)
+    at = F.pmod(F.xxhash64("id", F.lit(seed), F.lit("draw")), F.lit(total))
+    slots = goal.sparkSession.range(n_slots).select(F.floor(F.col("id") / shard_slots).alias("shard"), at.alias("at")).withColumn("cell", F.floor(F.col("at") / width))
+    return slots.join(grid, "cell").filter("lo <= at and at < hi").groupBy("shard", "s").agg(F.count("*").alias("n"))
+
+
+def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, weights: tuple = WEIGHTS, share_percent: int = SHARE_PERCENT, cap: int = CAP,
+        tolerance: float = TOLERANCE, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", key_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(per row: key, doc_id, source, size, source_size, target, taken; per piece: key, shard, k, use, from, to).
+
+    A piece is a stretch of a row's words, from (included) to `to` (not), in the slot of a shard that is the k-th of its
+    source; use counts how often the source was begun. key: key_col if given (it must tell all rows apart), else a number.
+    """
+    spark, text = docs.sparkSession, F.coalesce(F.col(text_col), F.lit(""))
+    key = F.col(key_col).cast("long") if key_col else F.monotonically_increasing_id()
+    rows = docs.select(key.alias("key"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text, F.lit(seed), F.col(id_col)).alias("mark"))
     rows = cut(rows, "mix-sizes")
-    twin = Window.partitionBy("doc_id", "src", "mark").orderBy("size")
-    rows = rows.withColumn("twin", F.row_number().over(twin))
-    n_buckets = max(1, -(-rows.count() // BUCKET_DOCS))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("mark", "twin"), F.lit(n_buckets)))
-    goal = cut(targets(rows.groupBy("src").agg(F.sum("size").alias("source_size")), weights, share_percent, cap), "mix-targets")
-    # One row per source; a corpus has far fewer sources than a block of words, and the size is checked by Catalyst.
-    # A slot brings source_size / n_blocks words on average: all blocks cap times are cap * source_size, to the word.
-    quota = goal.filter("target > 0").withColumn("n_blocks", F.ceil(F.col("source_size") / block).cast("long"))
-    quota = quota.withColumn("quota", F.greatest(F.lit(1).cast("long"), F.round(F.col("target") * F.col("n_blocks") / F.col("source_size")).cast("long")))
-
-    # Each slot draws a source: the cumulative quota that its pseudorandom number falls into.
-    cum = Window.orderBy(F.col("src").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    steps = quota.withColumn("hi", F.sum("quota").over(cum)).withColumn("lo", F.col("hi") - F.col("quota"))
-    wheel = steps.agg(F.sort_array(F.collect_list(F.struct("hi", "lo", F.col("src").alias("src"), "quota", "n_blocks"))).alias("wheel"), F.coalesce(F.sum("quota"), F.lit(0)).alias("slots"))  # one entry per source
-    first = wheel.first()
-    n_slots = int(first["slots"])
-    pick = docs.sparkSession.range(n_slots).select(F.col("id").alias("slot"), F.floor(F.col("id") / shard_slots).alias("shard"), F.pmod(F.xxhash64("id", F.lit(seed), F.lit("draw")), F.lit(max(n_slots, 1))).alias("at"))
-    choices = [(int(w["hi"]), k) for k, w in enumerate(first["wheel"])]
-    number = _search("at", choices, 0, len(choices)) if choices else F.lit(0)
-    drawn = pick.withColumn("s", number)
-    ks = drawn.groupBy("shard", "s").agg(F.count("*").alias("n"))  # the multinomial counts of every shard
-    before = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = ks.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("shard", "s", "base")
-    ranked = drawn.withColumn("k", F.row_number().over(Window.partitionBy("shard", "s").orderBy("slot")) - 1).join(base, ["shard", "s"]).select("slot", "shard", "s", (F.col("k") + F.col("base")).alias("k"))
-    info = quota.select(F.row_number().over(Window.orderBy(F.col("src").asc_nulls_last())).alias("_n"), "src", "quota", "n_blocks").withColumn("s", (F.col("_n") - 1).cast("int")).drop("_n")
-    # (source, pass, index) is all that a slot asks for; a source's indexes are 0..quota-1 whichever slots hold them, so
-    # the surplus slots, given to sources with a deficit, fill exactly the indexes from the drawn count to the quota.
-    kept = ranked.join(info, "s").filter("k < quota").select("s", "k")
-    counts = ranked.groupBy("s").agg(F.count("*").alias("have"))
-    refill = info.join(counts, "s", "left").withColumn("have", F.least(F.coalesce("have", F.lit(0)), "quota")).filter("have < quota").select("s", F.explode(F.sequence("have", F.col("quota") - 1)).alias("k"))
-    slots = kept.unionByName(refill).join(info, "s")
-    uses = slots.select("src", permuted(F.pmod("k", F.col("n_blocks")), F.col("n_blocks"), F.lit(seed), F.col("s"), F.floor(F.col("k") / F.col("n_blocks"))).alias("block")).groupBy("src", "block").agg(F.count("*").alias("uses"))
-
-    placed = _running(rows.filter("size > 0"), "size", "start", ["src"], "bucket", [F.col("mark"), F.col("doc_id"), F.col("twin")])
-    spans = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
-    spans = spans.withColumn("from", F.greatest(F.col("block") * block, "start") - F.col("start")).withColumn("to", F.least((F.col("block") + 1) * block, F.col("start") + F.col("size")) - F.col("start"))
-    u = uses.select(F.coalesce(F.col("src"), F.lit("")).alias("u_src"), F.col("src").isNull().alias("u_null"), F.col("block").alias("u_block"), "uses")
-    pieces = spans.join(u, (F.coalesce(F.col("src"), F.lit("")) == F.col("u_src")) & (F.col("src").isNull() == F.col("u_null")) & (F.col("block") == F.col("u_block")))
-    pieces = cut(pieces.select("doc_id", "src", "mark", "twin", "from", (F.col("to") - F.col("from")).alias("words"), "uses"), "mix-pieces")
-    key = ["doc_id", "src", "mark", "twin"]
-    taken = pieces.groupBy(*key).agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
-    on = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in key]
-    by_doc = rows.alias("d").join(taken.alias("t"), on, "left").select("d.*", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
-    full = by_doc.alias("d").join(F.broadcast(goal).alias("g") if goal.count() <= 100_000 else goal.alias("g"), F.col("d.src").eqNullSafe(F.col("g.src")))
-    return full.select("d.doc_id", F.col("d.src").alias("source"), "d.mark", "d.twin", "d.size", "g.source_size", "g.target", "d.taken"), pieces
-
-
-def _search(col: str, choices: list[tuple[int, int]], lo: int, hi: int) -> Column:
-    """The number of the first choice whose upper bound is above col, as nested comparisons of logarithmic depth."""
-    if hi - lo == 1:
-        return F.lit(choices[lo][1])
-    mid = (lo + hi) // 2
-    return F.when(F.col(col) < choices[mid - 1][0], _search(col, choices, lo, mid)).otherwise(_search(col, choices, mid, hi))
-
-
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus with the columns of docs: each taken document's text is its taken words, pieces used twice twice, in order."""
-    seed = options.get("seed", 17)
-    _, pieces = mix(docs, **options)
-    lists = pieces.groupBy("doc_id", "src", "mark", "twin").agg(F.sort_array(F.collect_list(F.struct("from", "words", "uses"))).alias("pieces"))
-    marked = docs.withColumn("_mark", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(seed), "doc_id"))
-    marked = marked.withColumn("_twin", F.row_number().over(Window.partitionBy("doc_id", "source", "_mark").orderBy("n_chars")))
-    on = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.src")) & (F.col("d._mark") == F.col("p.mark")) & (F.col("d._twin") == F.col("p.twin"))
-    joined = marked.alias("d").join(lists.alias("p"), on).select("d.*", F.col("p.pieces").alias("_pieces")).withColumn("_words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
-    taken = F.transform("_pieces", lambda p: F.array_join(F.flatten(F.array_repeat(F.slice("_words", (p["from"] + 1).cast("int"), p["words"].cast("int")), p["uses"].cast("int"))), " "))
-    return joined.withColumn("text", F.array_join(taken, " ")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    n_rows = rows.count()
+    bits = max(1, (n_rows // BUCKET_DOCS).bit_length())
+    goal = cut(plan(rows.groupBy("src").agg(F.sum("size").alias("source_size")), block, weights, share_percent, cap, tolerance), "mix-targets", most=n_rows)
+    sums = goal.agg(F.coalesce(F.sum("wanted"), F.lit(0)).alias("total"), F.count("*").alias("n")).first()
+    n_slots = -(-int(sums.total) // block)
+
+    # What each shard draws, and the place of its slots among all slots of a source.
+    counts = cut(draw_counts(goal, n_slots, max(1, int(sums.total)), sums.n, shard_slots, seed), "mix-counts", most=(n_slots // shard_slots + 1) * sums.n)
+    info = goal.filter("n_blocks > 0").join(counts.groupBy("s").agg(F.sum("n").alias("drawn")), "s", "left")
+    room = F.col("n_blocks") * cap
+    info = info.withColumn("drawn", F.least(F.coalesce("drawn", F.lit(0)), room)).withColumn("reach", F.least(room, F.greatest("drawn", F.ceil(F.col("most") / block) + cap)))
+    info = cut(info.select("s", "source_size", "n_blocks", "least", "most", "drawn", "reach"), "mix-info", most=n_rows)
+    placed = _running(counts.withColumn("group", F.floor(F.col("shard") / GROUP)), "n", "base", "group", ["shard"])
+    # Few rows become many slots: they are dealt out before.
+    most_slots = int(info.agg(F.coalesce(F.sum("reach"), F.lit(0))).first()[0])
+    drawn = placed.join(info, "s").filter("base < drawn").repartition(max(1, -(-most_slots // SLOTS_PER_TASK))).select("s", "n_blocks", "shard", F.explode(F.sequence(F.col("base"), F.least(F.col("base") + F.col("n"), F.col("drawn")) - 1)).alias("k"))
+    # Slots that no shard drew, of which the correction takes as many as it needs; step by step, so that no array is long.
+    step = 1 << 16
+    spare = info.filter("drawn < reach").withColumn("at", F.explode(F.sequence(F.floor(F.col("drawn") / step), F.floor((F.col("reach") - 1) / step))))
+    spare = spare.select("s", "n_blocks", F.lit(None).cast("long").alias("shard"), F.explode(F.sequence(F.greatest("drawn", F.col("at") * step), F.least("reach", (F.col("at") + 1) * step) - 1)).alias("k"))
+    use = F.floor(F.col("k") / F.col("n_blocks"))
+    slots = drawn.unionByName(spare).select("s", "shard", "k", use.alias("use"), permuted(F.pmod("k", F.col("n_blocks")), F.col("n_blocks"), F.lit(seed), F.col("s"), use).alias("block"))
+    slots = cut(slots, "mix-slots", most=most_slots, per_file=SLOTS_PER_TASK)
+
+    # Words before the k-th slot: whole blocks, but for the source's short last one, met once in each pass (cap numbers at most).
+    short = slots.join(info.select("s", (F.col("n_blocks") - 1).alias("block")), ["s", "block"]).groupBy("s").agg(F.collect_list("k").alias("short_at"))
+    info = info.join(short, "s", "left").withColumn("missing", F.col("n_blocks") * block - F.col("source_size"))
+    words_before = lambda k: block * k - F.col("missing") * F.coalesce(F.size(F.filter("short_at", lambda x: x < k)), F.lit(0))
+    ends = cut(info.withColumn("words", F.least(F.greatest(words_before(F.col("drawn")), "least"), "most")).select("s", "n_blocks", "missing", "short_at", "words"), "mix-ends", most=n_rows)
+    held = block - F.when(F.col("block") == F.col("n_blocks") - 1, F.col("missing")).otherwise(0)
+    uses = slots.join(ends, "s").withColumn("take", F.least(held, F.col("words") - words_before(F.col("k")))).filter("take > 0").select("s", "block", "shard", "k", "use", "take")
+
+    # Blocks of words, as stretches of documents.
+    known = rows.join(goal.select(F.col("src").alias("src_"), "s", "source_size", "target"), F.col("src").eqNullSafe(F.col("src_"))).drop("src_")
+    known = known.withColumn("bucket", F.shiftrightunsigned("mark", 64 - bits))
+    stream = _running(known.filter("size > 0").select("s", "bucket", "key", "doc_id", "mark", "size"), "size", "start", "bucket", [F.col("mark"), F.col("doc_id"), F.col("size"), F.col("key")])
+    spans = stream.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
+    first = F.col("block") * block
+    spans = spans.select("s", "block", "key", (first - F.col("start")).alias("shift"), F.greatest(F.col("start") - first, F.lit(0)).alias("lo"), F.least(F.col("start") + F.col("size") - first, F.lit(block)).alias("hi"))
+    pieces = spans.join(uses, ["s", "block"]).filter("lo < least(hi, take)")
+    pieces = cut(pieces.select("key", "shard", "k", "use", (F.col("shift") + F.col("lo")).alias("from"), (F.col("shift") + F.least("hi", "take")).alias("to")), "mix-pieces", most=cap * n_rows + most_slots)
+    drop(counts, slots)
+    taken = pieces.groupBy("key").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))
+    by_row = known.join(taken, "key", "left")
+    return by_row.select("key", "doc_id", F.col("src").alias("source"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), pieces
+
+
+def apply_mix(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The mixed corpus with the columns of docs: a row for each use of a document, its text without the words not taken.
+
+    White space stays as it is: a word goes with what stands before it, the last one also with what follows it; a document
+    taken whole keeps its text. A document that was used twice is two rows.
+    """
+    key, taken = free_name(docs, "key"), free_name(docs, "taken")
+    keyed = cut(docs.withColumn(key, F.monotonically_increasing_id()), "mix-rows")
+    by_row, pieces = mix(keyed, text_col=text_col, key_col=key, **options)
+    stretches = pieces.groupBy("key", "use").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("parts"), F.sum(F.col("to") - F.col("from")).alias("n"))  # of one document
+    found = stretches.join(by_row.select("key", "size"), "key").select(F.col("key").alias(key), F.struct(F.when(F.col("n") < F.col("size"), F.col("parts")).alias("parts"), "size").alias(taken))
+    words = F.regexp_extract_all(F.col(text_col), F.lit(rf"[\x20\x09-\x0D]*{WORD}(?:[\x20\x09-\x0D]+$)?"), F.lit(0))
+    # An array of one keeps the words bound once, whatever the number of parts.
+    part = F.transform(F.array(words), lambda w: F.array_join(F.transform(F.col(taken)["parts"], lambda p: F.array_join(F.slice(w, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")), "")), ""))
+    text = F.when(F.col(taken)["parts"].isNull(), F.col(text_col)).otherwise(F.get(part, F.lit(0)))
+    return keyed.join(found, key).withColumn(text_col, text).select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_doc, _ = mix(table(spark, sf_dir, "documents"))
-    return by_doc.select("doc_id", "size", "source_size", "target", "taken")
+    by_row, _ = mix(table(spark, sf_dir, "documents"))
+    return by_row.select("doc_id", "size", "source_size", "target", "taken")
