@@ -9,8 +9,11 @@ next segment (only values with a set bit cleared: the other fingerprint looks up
 complete distance. Links are thinned to spanning forests where they are found, so a large group of copies costs links in
 proportion to its members.
 
-Defined results: texts without words have fingerprint zero and are linked like any other; a null text is empty; repeated
-rows and ids keep their rows; rows without an id take part, and component_id is the least id that is not null.
+Defined results: texts without words have fingerprint zero and are linked like any other; a null text is empty; a very long
+text is hashed whole, by one task; repeated rows and ids keep their rows; rows without an id take part, and component_id is
+the least id that is not null; bits set in exactly half of the values are 0; an empty table gives an empty result; other
+columns are ignored, whatever their names. keep_one() keeps of each group the row with the least id (rows without an id come
+last), of several with that id the one whose text has the least hash, of equal rows any one.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bucketed import Forest, by_cell, cells, pairs, whole_cells
-from .common import cut, table
+from .common import cut, drop, free_name, table
 from .components import components
 from .vector import LOWER, blocks
 
@@ -63,7 +66,7 @@ def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
 def _fingerprint_batches(batches):
     for batch in batches:
         found = fingerprints(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], [*batch.schema.names[:-1], "fp"])
 
 
 def _verify(batches):
@@ -99,23 +102,43 @@ def lookups(fp: Column) -> Column:
 
 def link(distinct: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect the same components as all links do."""
-    rows = distinct.select("fp", F.explode(lookups(F.col("fp"))).alias("k")).select("k.key", "fp", "k.exact")
+    # A fingerprint has up to 42 keys: its rows are few and small, and dealt out anew before they become many.
+    dealt = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = dealt.select("fp", F.explode(lookups(F.col("fp"))).alias("k")).select("k.key", "fp", "k.exact")
     # Buckets without two fingerprints, or without one that has this very value, have nothing to verify.
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.max("exact").alias("some")).filter("lo < hi and some").select("key", "n")
     return by_cell(cells(rows.select("key", "fp"), "key", "fp", sizes), "key", _verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for each row."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = cut(texts.mapInArrow(_fingerprint_batches, "doc_id long, fp long"), "simhash")
+def _classes(prints: DataFrame) -> DataFrame:
+    """fp, component_id for each distinct fingerprint (column fp, with doc_id): the least id of its component."""
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct", most=prints.count())
     n = distinct.count()
-    stars = cut(components(link(distinct.select("fp"))), "simhash-components", most=n)
+    stars = cut(components(link(distinct)), "simhash-components", most=n)
     rooted = distinct.join(stars, distinct.fp == stars.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = cut(rooted.join(roots, "root").select("fp", "component_id"), "simhash-classes", most=n)
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return cut(rooted.join(roots, "root").select("fp", "root", "component_id"), "simhash-classes", most=n)
+
+
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id for each row."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    prints = cut(texts.mapInArrow(_fingerprint_batches, "doc_id long, fp long"), "simhash")
+    return prints.join(_classes(prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """docs with one row of each group of near copies. Rows are told apart by a number of their own, not by their ids."""
+    row = free_name(docs, "row")
+    keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    texts = keyed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    prints = cut(texts.mapInArrow(_fingerprint_batches, "row long, doc_id long, mark long, fp long"), "simhash")
+    n_rows = prints.count()
+    roots = cut(prints.join(_classes(prints).select("fp", "root"), "fp").select("root", "row", F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "row").alias("place")), "simhash-roots", most=n_rows)
+    first = roots.groupBy("root").agg(F.min("place")["row"].alias("row"))
+    gone = cut(roots.select("row").join(first.select("row"), "row", "left_anti"), "simhash-gone", most=n_rows)
+    drop(prints, roots)
+    return keyed.join(gone.withColumnRenamed("row", row), row, "left_anti").select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
