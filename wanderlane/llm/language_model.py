@@ -12,7 +12,8 @@ A block is named by the file range and row that it starts at: reading it twice g
 a plain scan of files is written out first.
 
 Defined results: a null text is empty, one end token; a null id is never held out; repeated rows are counted and scored
-each; with nothing to learn from, all counts are 0 and every token has probability 1; extra columns are ignored.
+each; with nothing to learn from, all counts are 0 and every token has probability 1; a very long text is a block of its own;
+sums do not depend on the order of rows, so there are no ties; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from .vector import Block, blocks, mix64
 END, BEGIN = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 TEXT, TOKENS, PAIRS, TOTALS = 0, 1, 2, 3
 PART_BYTES = 4 << 20
+TASK_BYTES = 16 << 20  # input for each task of the two exchanges
 FINE = 4  # histogram cells for each factor of two
 LEAST = 1e-6  # of the uniform estimate's weight
 
@@ -264,14 +266,15 @@ def score(docs: DataFrame, train, text_col: str = "text", id_col: str = "doc_id"
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row. train: boolean column of the rows to learn from."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    files = docs
     if not _plain_scan(docs.select(id_col, text_col)):
-        d = cut(d, "lm-input")
+        files = d = cut(d, "lm-input")
     d = d.select("doc_id", "text", "train", F.input_file_name().alias("file"), F.input_file_block_start().alias("start"))
     kind = d.schema["doc_id"].dataType
     id_type = pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     part_bits = max(3, min(20, (max(size, 1) // PART_BYTES).bit_length()))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
     ids = f"array<{kind.simpleString()}>"
     asked = d.mapInArrow(_requests(part_bits), "block long, kind int, part int, asked binary, own binary")
     answers = asked.repartition(n, "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(_answers, "block long, kind int, part int, data binary")

@@ -11,7 +11,9 @@ state where it begins, that is, encoding the two pieces' text gives these two pi
 prefix, following the states back gives the encoding, and the ids are those of the sentencepiece library.
 
 Defined results: a null or empty text has no ids; characters outside the vocabulary become byte pieces; decoding gives the
-text back unless it holds the mark itself (U+2581), which decodes as a space; repeated rows keep their rows.
+text back unless it holds the mark itself (U+2581), which decodes as a space; a very long text is encoded whole, by one task;
+of pairs of equal rank the leftmost is merged first, as the library does; repeated rows keep their rows; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, worker_cache
 
 MARK = "▁"
 CHUNK_CHARS = 1 << 21
@@ -153,9 +155,7 @@ _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+", re.DOTALL)
 
 def _loaded(path: str) -> Pieces:
     """One vocabulary, with what it has learned about pairs, for all tasks of a worker process."""
-    import sentencepiece
-
-    known = sentencepiece.__dict__.setdefault("_pieces_by_path", {})
+    known = worker_cache().setdefault("pieces", {})
     if path not in known:
         known[path] = Pieces(path)
     return known[path]

@@ -6,8 +6,10 @@ sample of labelled rows gives the latent space; the sample's latent vectors (SAM
 of the corpus) are broadcast. Every document is projected and compared with all of them by exact cosine products, block by
 block; the labels of its nearest neighbours, weighted by similarity, are its score.
 
-Defined results: an empty or null text gets the labels' mean; with nothing to learn from the score is 1; labels for ids
-without a document are ignored, of several labels of an id the largest counts; repeated rows keep their rows.
+Defined results: an empty or null text, and one of a single byte, gets the labels' mean; with nothing to learn from the score
+is 1; labels for ids without a document are ignored, of several labels of an id the largest counts, of several texts of an id
+the least; of neighbours at equal similarity any may be taken; a score at the threshold is accepted; a very long text is
+scored whole, by one task; repeated rows keep their rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fold, table
+from .common import fold, free_name, table
 from .vector import blocks
 
 WIDTH, RANK = 1024, 48
@@ -93,22 +96,30 @@ def vote(model: dict, x: np.ndarray, neighbours: int = NEIGHBOURS, block: int =
     return np.clip(out, 0, 1)
 
 
-def score(docs: DataFrame, model: dict | None, keep: list[str] | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id (or the columns keep) and score of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _scored(docs: DataFrame, model: dict | None, text_col: str, name: str) -> DataFrame:
+    """docs with the score as a last column of that name."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
             out = np.ones(batch.num_rows)
             if shared.value:
-                for lo, hi, x in term_rows(batch.column("_text")):
+                for lo, hi, x in term_rows(batch.column(at)):
                     out[lo:hi] = vote(shared.value, x)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, name])
 
-    d = docs.select(*(F.col(c) for c in keep)) if keep else docs.select(F.col(id_col).alias("doc_id"))
-    d = docs.select(*d.columns, F.col(text_col).alias("_text")) if keep else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
-    return d.mapInArrow(run, f"{fields}, _score double").withColumnRenamed("_score", "score" if not keep else "_score")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
+def score(docs: DataFrame, model: dict | None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id and score of each row."""
+    return _scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, "text", "score").select("doc_id", "score")
+
+
+def keep(docs: DataFrame, model: dict | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score is the threshold or more."""
+    name = free_name(docs, "score")
+    return _scored(docs, model, text_col, name).filter(F.col(name) >= threshold).select(*docs.columns)
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict | None:

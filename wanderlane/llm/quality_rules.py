@@ -3,8 +3,8 @@
 Features are counts over the whole text; a rule compares two of them as integers (feature * scale <op> other * bound), so
 every engine decides alike. The projection has no user functions and no shuffle.
 
-Defined results: a null or empty text has no words and fails the base rules; ties and repeated rows do not interact;
-extra columns are ignored; an empty table gives an empty result.
+Defined results: a null or empty text has no words and fails the base rules; ties and repeated rows do not interact; a very
+long text is one row like any other; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
