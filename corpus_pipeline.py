@@ -12,32 +12,38 @@ from wanderlane.llm import mixing, pieces, quality_classifier, simhash, suffix_d
 from wanderlane.llm.common import fresh_path, table
 
 
+def with_sizes(docs: DataFrame) -> DataFrame:
+    """docs with n_chars, where there is such a column, as the text has it now."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts. Null and empty texts get the mean label of those it learned from; without labels
+    all documents stay; repeated rows are scored each; a score at the threshold is accepted; an empty table stays empty."""
     model = quality_classifier.learn(docs, table(spark, sf_dir, "labels"))
-    scored = quality_classifier.score(docs, model, keep=[c for c in docs.columns])
-    return scored.filter(F.col("_score") >= quality_classifier.THRESHOLD).drop("_score")
+    return quality_classifier.keep(docs, model)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id; of equal rows one; rows without an id stay."""
-    gone = simhash.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """Of each group of near copies one document, that with the least id, as simhash.keep_one() states. Texts without words,
+    nulls among them, are one group. Rows are told apart whether or not they have ids, or the same one."""
+    return simhash.keep_one(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that repeat, of over 50 words or of 400 bytes; a text of which nothing is left goes."""
-    out = suffix_dedup.remove_passages(docs)
-    return out.filter(F.length("text") > 0).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Texts without the passages that repeat, of over 50 words or of 400 bytes; texts of which nothing is left go, and null
+    or empty ones. Every copy of a passage goes, so repeated rows with long texts go. An empty table stays empty."""
+    return with_sizes(suffix_dedup.remove_passages(docs).filter(F.length("text") > 0))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus mixed to target weights: each taken document with its taken words."""
-    return mixing.apply_mix(docs)
+    """The corpus mixed to target weights: a row for each use of a document, with the words taken, white space as it was.
+    Documents without words, nulls among them, are never taken; a null source is one source; an empty table stays empty."""
+    return with_sizes(mixing.apply_mix(docs))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of each document."""
+    """The tokens of each row: doc_id, n_pieces, ids, round_trip. Null and empty texts have none; repeated rows stay."""
     return pieces.encode(docs, pieces.model_path())
 
 
