@@ -16,6 +16,7 @@ from .walks import starts_from, walks
 
 #: Keeps the ceiling of a whole number that a sum in another order would put just above it.
 SLACK = 1e-9
+PART = 1 << 16  # node ids whose residuals are summed in one task
 
 
 def reserves(state: DataFrame) -> DataFrame:
@@ -76,15 +77,43 @@ def push_walk_cached(graph: Graph, sources: DataFrame, rmax: float, omega: float
 def push_walk_sampled(state: DataFrame, draws: int, salt: str = "sample") -> DataFrame:
     """source, draw, node: residual nodes sampled in proportion to their residual, by inverting their running sums.
 
-    Running sums and draws are sorted together, and each draw takes the next running sum: no pairs are compared.
+    Running sums are made in two levels, of PART nodes and of parts, so that no task sorts all residuals of a source. A draw
+    finds its part among the ends of parts and its node among the ends in the part: ends and draws are sorted together, and
+    each draw takes the next end.
     """
-    by_node = Window.partitionBy("source").orderBy("node")
-    sums = state.filter("residual > 0").withColumn("upto", F.sum("residual").over(by_node))
-    total = sums.groupBy("source").agg(F.max("upto").alias("rsum"))
-    wanted = total.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).select("source", (draw(salt, F.col("source"), F.col("draw")) / F.lit(float(RANGE)) * F.col("rsum")).alias("upto"), "draw", F.lit(None).cast("long").alias("node"))
-    both = sums.select("source", "upto", F.lit(None).cast("int").alias("draw"), "node").unionByName(wanted)
-    ahead = Window.partitionBy("source").orderBy("upto", F.col("node").isNotNull()).rowsBetween(1, Window.unboundedFollowing)
-    return both.withColumn("hit", F.first("node", ignorenulls=True).over(ahead)).filter("draw is not null").select("source", F.col("draw").cast("long").alias("draw"), F.col("hit").alias("node"))
+    held = state.filter("residual > 0").select("source", "node", "residual", F.floor(F.col("node") / PART).alias("part"))
+    parts = held.groupBy("source", "part").agg(F.sum("residual").alias("residual"))
+    up = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1])
+    parts = parts.withColumn("upto", F.sum("residual").over(up("source", "part")))
+    total = parts.groupBy("source").agg(F.max("upto").alias("rsum"))
+    at = draw(salt, F.col("source"), F.col("draw")) / F.lit(float(RANGE)) * F.col("rsum")
+    wanted = total.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long")))).select("source", "draw", at.alias("at"))
+
+    def next_end(ends: DataFrame, asked: DataFrame, keys: list[str], value: str) -> DataFrame:
+        """asked with the value of the first end above at, among ends with the same keys."""
+        both = ends.select(*keys, F.col("upto").alias("at"), F.lit(None).cast("long").alias("draw"), value)
+        both = both.unionByName(asked.withColumn(value, F.lit(None).cast("long")))
+        # An end at the very place of a draw is not above it, and goes before; the last end holds what rounding leaves over.
+        ahead = Window.partitionBy(*keys).orderBy("at", F.col("draw").isNotNull()).rowsBetween(1, Window.unboundedFollowing)
+        whole = Window.partitionBy(*keys).orderBy("at", F.col("draw").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+        found = F.coalesce(F.first(value, ignorenulls=True).over(ahead), F.last(value, ignorenulls=True).over(whole))
+        return both.withColumn("found", found).filter("draw is not null").drop(value).withColumnRenamed("found", value)
+
+    chosen = next_end(parts.select("source", "part", "upto"), wanted, ["source"], "part")
+    before = parts.select("source", "part", (F.col("upto") - F.col("residual")).alias("base"))
+    chosen = chosen.join(before, ["source", "part"]).select("source", "part", "draw", (F.col("at") - F.col("base")).alias("at"))
+    ends = held.join(chosen.select("source", "part").distinct(), ["source", "part"], "left_semi").withColumn("upto", F.sum("residual").over(up("source", "part", "node")))
+    return next_end(ends.select("source", "part", "node", "upto"), chosen, ["source", "part"], "node").select("source", "draw", "node")
+
+
+def push_walk_drawn(graph: Graph, sources: DataFrame, rmax: float, draws: int, state: DataFrame | None = None, **options) -> DataFrame:
+    """source, node, score: reserves, and walks from nodes drawn in proportion to their residual, each of the same weight."""
+    state = forward_push(graph, unit_state(sources), rmax) if state is None else state
+    sums = state.groupBy("source").agg(F.sum("residual").alias("rsum"))
+    starts = push_walk_sampled(state, draws).select(F.col("source").alias("origin"), F.col("node").alias("start"), F.col("draw").alias("walk_no"))
+    ends = walks(graph, starts, **options).join(sums.withColumnRenamed("source", "origin"), "origin")
+    parts = ends.select(F.col("origin").alias("source"), "node", (F.col("rsum") / F.lit(float(draws))).alias("score")).unionByName(reserves(state))
+    return parts.groupBy("source", "node").agg(F.sum("score").alias("score"))
 
 
 def unresolved(graph: Graph, state: DataFrame) -> DataFrame:
@@ -118,19 +147,19 @@ def pairwise(graph: Graph, pairs: DataFrame, rmax: float, count: int, **options)
     return pairs.join(scores, ["source", "node"], "left").select("source", "node", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def self_by_walks(graph: Graph, targets: DataFrame, rmax: float, count: int, counts: DataFrame | None = None, **options) -> DataFrame:
-    """node, self_ppr of each target: reverse push, met by the target's own walks."""
+def self_by_walks(graph: Graph, targets: DataFrame, rmax: float, count: int, counts: DataFrame | None = None, state: DataFrame | None = None, **options) -> DataFrame:
+    """node, self_ppr, reserve of each target: reverse push, met by the target's own walks. state: the reverse push, if known."""
     counts = end_counts(graph, targets.select(F.col("target").alias("source")), count, **options) if counts is None else counts
-    pushed = reverse_push(graph, unit_state(targets, "target"), rmax)
-    own = pushed.filter("target = node").select(F.col("target").alias("node"), F.col("reserve").alias("self_ppr"))
+    pushed = reverse_push(graph, unit_state(targets, "target"), rmax) if state is None else state
+    own = pushed.filter("target = node").select(F.col("target").alias("node"), F.col("reserve").alias("self_ppr"), "reserve")
     c = counts.select(F.col("source").alias("target"), "node", "cnt")
-    met = pushed.filter("residual > 0").join(c, ["target", "node"]).select(F.col("target").alias("node"), (F.col("residual") * F.col("cnt") / F.lit(float(count))).alias("self_ppr"))
-    return own.unionByName(met).groupBy("node").agg(F.sum("self_ppr").alias("self_ppr"))
+    met = pushed.filter("residual > 0").join(c, ["target", "node"]).select(F.col("target").alias("node"), (F.col("residual") * F.col("cnt") / F.lit(float(count))).alias("self_ppr"), F.lit(None).cast("double").alias("reserve"))
+    return own.unionByName(met).groupBy("node").agg(F.sum("self_ppr").alias("self_ppr"), F.max("reserve").alias("reserve"))
 
 
 def ratio(ppr: DataFrame, own: DataFrame, above: float | Column = 0.0) -> DataFrame:
     """dht from ppr and self scores, for ppr above a threshold; at most 1."""
-    return ppr.filter(F.col("score") > above).join(own, "node").select("source", "node", F.least(F.col("score") / F.col("self_ppr"), F.lit(1.0)).alias("score"))
+    return ppr.filter(F.col("score") > above).join(own.select("node", "self_ppr"), "node").select("source", "node", F.least(F.col("score") / F.col("self_ppr"), F.lit(1.0)).alias("score"))
 
 
 def hitting_raw(graph: Graph, sources: DataFrame, rmax: float, omega: float, rmax_self: float, count_self: int, above: float = 0.0, **options) -> DataFrame:

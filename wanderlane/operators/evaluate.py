@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.iterate import cut
+from .graph import Graph
+from .push import self_scores
+
 
 def precision_recall(found: DataFrame, truth: DataFrame, ks: list[int]) -> DataFrame:
     """source, k, precision (of what was returned), recall (of the true ones) for each k; both are (source, rank, node, score)."""
@@ -31,6 +35,15 @@ def ndcg(found: DataFrame, truth: DataFrame, ks: list[int], relevance: DataFrame
     return best.join(got, ["source", "k"], "left").select("source", "k", F.round(F.coalesce("got", F.lit(0.0)) / F.col("best"), 9).alias("ndcg"))
 
 
+def hitting_pairs(graph: Graph, found: DataFrame, truth: DataFrame, ppr: DataFrame, fine: float = 1e-10) -> DataFrame:
+    """source, node, score (dht) of the pairs in found that truth does not have: exact ppr over an exact self score, which is
+    pushed for these nodes only. What no walk reaches has score 0."""
+    missing = cut(found.select("source", "node").join(truth.select("source", "node"), ["source", "node"], "left_anti").distinct())
+    own = self_scores(graph, missing.select(F.col("node").alias("target")).distinct(), fine)
+    pairs = missing.join(ppr, ["source", "node"], "left").join(own, "node", "left")
+    return pairs.select("source", "node", F.coalesce(F.least(F.col("score") / F.col("self_ppr"), F.lit(1.0)), F.lit(0.0)).alias("score"))
+
+
 def errors(estimate: DataFrame, truth: DataFrame) -> DataFrame:
     """source, max_abs_err, avg_abs_err, max_rel_err, avg_rel_err over the nodes with a true score."""
     d = truth.select("source", "node", F.col("score").alias("t")).join(estimate.select("source", "node", F.col("score").alias("e")), ["source", "node"], "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.iterate import cut
@@ -16,17 +16,24 @@ def clean_edges(pairs: DataFrame, undirected: bool = False) -> DataFrame:
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if undirected else edges
 
 
-def nodes_of(edges: DataFrame) -> DataFrame:
-    """node, out_deg, in_deg of every node that has an edge."""
+def nodes_of(edges: DataFrame, count: int | None = None) -> DataFrame:
+    """node, out_deg, in_deg of every node that has an edge, or of 0..count-1 if a count is given."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))
-    return ends.groupBy(F.col("e.node").alias("node")).agg(F.sum("e.o").alias("out_deg"), F.sum("e.i").alias("in_deg"))
+    ends = ends.select("e.node", "e.o", "e.i")
+    if count is not None:
+        ends = ends.unionByName(edges.sparkSession.range(count).select(F.col("id").alias("node"), F.lit(0).alias("o"), F.lit(0).alias("i")))
+    return ends.groupBy("node").agg(F.sum("o").alias("out_deg"), F.sum("i").alias("in_deg"))
 
 
 @dataclass
 class Graph:
-    """Edges and the tables that walks and pushes join with, each written once and dealt by its join key."""
+    """Edges and the tables that walks and pushes join with, each written once and dealt by its join key.
+
+    count: the number of nodes, 0..count-1, if known; without it the nodes are those that have an edge.
+    """
 
     edges: DataFrame
+    count: int | None = None
     _made: dict = field(default_factory=dict)
 
     def _once(self, name: str, make) -> DataFrame:
@@ -40,16 +47,16 @@ class Graph:
 
     @property
     def nodes(self) -> DataFrame:
-        return self._once("nodes", lambda: cut(nodes_of(self.edges)))
+        return self._once("nodes", lambda: cut(nodes_of(self.edges, self.count)))
 
     @property
     def sizes(self) -> tuple[int, int]:
         """(nodes, edges)"""
-        def count():
+        def sizes():
             row = self.nodes.agg(F.count("*").alias("n"), F.sum("out_deg").alias("m")).first()
             return int(row.n), int(row.m or 0)
 
-        return self._once("sizes", count)
+        return self._once("sizes", sizes)
 
     @property
     def adjacency(self) -> DataFrame:
@@ -60,6 +67,21 @@ class Graph:
 
         return self._once("adjacency", make)
 
+    @property
+    def numbered_edges(self) -> DataFrame:
+        """node, at, dst, dst_deg: out-edges numbered from 0 in the order of dst. Numbers are those in a range of dst and
+        the range's base, so that no task sorts a hub's edges together."""
+        def make():
+            parts = self.edges.select(F.col("src").alias("node"), "dst", F.shiftright("dst", 16).alias("part"))
+            before = Window.partitionBy("node").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+            base = parts.groupBy("node", "part").agg(F.count("*").alias("n")).select("node", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+            within = Window.partitionBy("node", "part").orderBy("dst")
+            e = parts.withColumn("in_part", F.row_number().over(within) - 1).join(base, ["node", "part"])
+            deg = self.nodes.select(F.col("node").alias("dst"), F.col("out_deg").alias("dst_deg"))
+            return cut(e.select("node", (F.col("base") + F.col("in_part")).alias("at"), "dst").join(deg, "dst").select("node", "at", "dst", "dst_deg"))
+
+        return self._once("numbered_edges", make)
+
     @property
     def out_edges(self) -> DataFrame:
         """node, deg, dst, dst_deg: a row for each out-edge; a dangling node has one with deg 0 and dst null."""
@@ -85,6 +107,11 @@ def adjacency_lists(graph: Graph) -> DataFrame:
     return graph.adjacency.select(F.col("node").alias("src"), F.col("deg").alias("out_deg"), F.concat_ws(",", F.transform("nbrs", lambda x: x.cast("string"))).alias("nbrs"))
 
 
+def sizes_only(spark, n: int, m: int) -> Graph:
+    """A graph of which only the sizes are known, for parameters and reports: no edge is read."""
+    return Graph(spark.createDataFrame([], "src long, dst long"), n, {"sizes": (n, m)})
+
+
 def stats(graph: Graph) -> DataFrame:
     """One row: nodes, edges, mean degree, dangling nodes, largest out-degree."""
     return graph.nodes.agg(

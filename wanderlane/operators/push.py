@@ -1,11 +1,15 @@
 """Push operators in synchronous rounds: all nodes over the threshold push at once.
 
 state(source, node, reserve, residual). A round joins the frontier with the edges and adds what arrives to what stays;
-the invariant score(t) = reserve(t) + sum over v of residual(v) * score from v to t holds after each.
+the invariant score(t) = reserve(t) + sum over v of residual(v) * score from v to t holds after each. A push runs until no
+node is over the threshold; if that takes more rounds than allowed, it raises. A source that the graph does not have is a
+dangling node: it pushes to itself, in closed form.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,17 +17,18 @@ from ..functions.params import ALPHA
 from ..plans.iterate import cut, drop, short_rounds
 from .graph import Graph
 
-ROUNDS, ROUNDS_IN_A_PLAN = 200, 3
+ROUNDS, ROUNDS_IN_A_PLAN = 1000, 4  # a residual of 1 is below 1e-10 after 104 rounds, if all of it moves on
 
 
 def unit_state(sources: DataFrame, name: str = "source") -> DataFrame:
     return sources.select(name, F.col(name).alias("node"), F.lit(0.0).alias("reserve"), F.lit(1.0).alias("residual"))
 
 
-def _run(state: DataFrame, edges: DataFrame, key: str, active: Column, target: Column, share: Column, alpha: float, rounds: int, degrees: DataFrame | None = None) -> DataFrame:
+def _run(state: DataFrame, edges: DataFrame, key: str, active: Column, target: Column, share: Column, alpha: float, rounds: int, degrees: DataFrame | None = None, whole: bool = True) -> DataFrame:
     """Rounds of: frontier x edges -> arrivals; state -> what stays; sum. ROUNDS_IN_A_PLAN make one plan; a round without
     a frontier changes nothing, so whether there is one is asked only between plans. degrees(node, deg): the state carries
-    its nodes' degrees, which arrivals bring along with the edge; a source, where dangling nodes push to, has its own row."""
+    its nodes' degrees, which arrivals bring along with the edge; a source, where dangling nodes push to, has its own row.
+    whole: a frontier that is left after the rounds is an error."""
     last, carried = None, [] if degrees is None else ["deg"]
     e = edges.drop(*carried)
     arrived = [F.when(F.col("deg") > 0, F.col("dst_deg")).alias("deg")] if carried else []
@@ -41,9 +46,18 @@ def _run(state: DataFrame, edges: DataFrame, key: str, active: Column, target: C
             if last is not None:
                 drop(last)
             last, state = state, new
+        else:
+            if whole and not state.filter(active).isEmpty():
+                raise RuntimeError(f"nodes are above the threshold after {rounds} rounds")
     return state
 
 
+def _with_lone(out: DataFrame, state: DataFrame, graph: Graph, left: Column, alpha: float) -> DataFrame:
+    """out and the rows of state whose node the graph does not have, pushed onto themselves until `left` remains."""
+    lone = state.join(graph.nodes.select("node"), "node", "left_anti").select("source", "node", "reserve", "residual", left.alias("left"))
+    return out.unionByName(lone.select("source", "node", (F.col("reserve") + F.col("residual") - F.col("left")).alias("reserve"), F.col("left").alias("residual")))
+
+
 def _degrees(graph: Graph) -> DataFrame:
     return graph.nodes.select("node", F.col("out_deg").alias("deg"))
 
@@ -58,7 +72,9 @@ def forward_push(graph: Graph, state: DataFrame, rmax: float, alpha: float = ALP
     active = F.col("residual") / width >= rmax if criterion == "per_edge" else F.col("residual") >= rmax
     to = F.when(F.col("deg") == 0, F.col("source")).otherwise(F.col("dst"))
     out = _run(state, graph.out_edges, "source", active, to, (1 - alpha) * F.col("residual") / width, alpha, rounds, _degrees(graph))
-    return out.select("source", "node", "reserve", "residual")
+    again = F.greatest(F.lit(0.0), F.floor(F.log(F.col("residual") / rmax) / -math.log(1 - alpha)) + 1)
+    left = F.when(F.col("residual") >= rmax, F.col("residual") * F.pow(F.lit(1 - alpha), again)).otherwise(F.col("residual"))
+    return _with_lone(out.select("source", "node", "reserve", "residual"), state, graph, left, alpha)
 
 
 def reverse_push(graph: Graph, state: DataFrame, rmax: float, alpha: float = ALPHA, rounds: int = ROUNDS) -> DataFrame:
@@ -69,7 +85,8 @@ def reverse_push(graph: Graph, state: DataFrame, rmax: float, alpha: float = ALP
 
 def power_iteration(graph: Graph, sources: DataFrame, rounds: int = 100, alpha: float = ALPHA) -> DataFrame:
     """source, node, score: alpha times the sum of the residuals of a fixed number of rounds; dangling nodes go to the source."""
-    out = _run(unit_state(sources), graph.out_edges, "source", F.col("residual") > 0, F.when(F.col("deg") == 0, F.col("source")).otherwise(F.col("dst")), (1 - alpha) * F.col("residual") / F.greatest(F.col("deg"), F.lit(1)), alpha, rounds, _degrees(graph))
+    out = _run(unit_state(sources), graph.out_edges, "source", F.col("residual") > 0, F.when(F.col("deg") == 0, F.col("source")).otherwise(F.col("dst")), (1 - alpha) * F.col("residual") / F.greatest(F.col("deg"), F.lit(1)), alpha, rounds, _degrees(graph), whole=False)
+    out = _with_lone(out.select("source", "node", "reserve", "residual"), unit_state(sources), graph, F.col("residual") * (1 - alpha) ** rounds, alpha)
     return out.filter("reserve > 0").select("source", "node", F.col("reserve").alias("score"))
 
 

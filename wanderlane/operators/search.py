@@ -55,13 +55,17 @@ def ppr_search(graph: Graph, sources: DataFrame, k: int, eps: float, least_delta
 def hitting_search(graph: Graph, sources: DataFrame, k: int, eps: float, least_delta: float | None = None, most_self_walks: int | None = None, **options) -> DataFrame:
     """source, rank, node, score of dht: each round refines either the ppr estimates (delta halves) or the candidates' self
     scores (their error halves), whichever the cost model expects to be cheaper, until bounds settle the k best or delta and
-    the error are at their least; with one of them there, the other goes on alone."""
+    the error are at their least; with one of them there, the other goes on alone.
+
+    The reverse push of a candidate runs on from where the last one left it; of those that are no candidates any more the
+    state is kept. least_delta and most_self_walks are for callers that want a rough answer: both loosen the result.
+    """
     n, m = graph.sizes
     base = P.hitting(P.defaults(n, m, eps, pfail=P.topk_pfail(n, halves=True)))
     least, sources = max(P.ALPHA / n, least_delta or 0), cut(sources.select("source").distinct())
     delta, eps_self = 0.25, 0.5
     least_eps = math.sqrt(1 / (n * P.ALPHA))
-    state, found, own = unit_state(sources), None, None
+    state, found, own, pushed = unit_state(sources), None, None, None
     refine_ppr = True
     while True:
         now = P.push_walk(P.replace(base, delta=delta))
@@ -74,9 +78,11 @@ def hitting_search(graph: Graph, sources: DataFrame, k: int, eps: float, least_d
         rmax = s.eps_self * math.sqrt(s.delta_self * m / (n * P.ALPHA * (2 + s.eps_self) * s.log_term))
         count = math.ceil(rmax * (2 + s.eps_self) * s.log_term / (s.delta_self * s.eps_self**2))
         count = max(1, min(count, most_self_walks or count))
-        scores = self_by_walks(graph, targets, rmax, count, **options)
-        reserve = reverse_push(graph, unit_state(targets, "target"), rmax).filter("target = node").select("node", "reserve")
-        own = cut(B.self_bounds(scores.join(reserve, "node"), base.pfail, s.eps_self, rmax, float(count), own))
+        begun = unit_state(targets, "target") if pushed is None else unit_state(targets.join(pushed.select("target"), "target", "left_anti"), "target").unionByName(pushed.join(targets, "target", "left_semi"))
+        refined = cut(reverse_push(graph, begun, rmax).select("target", "node", "reserve", "residual"))
+        pushed = refined if pushed is None else cut(refined.unionByName(pushed.join(targets, "target", "left_anti")))
+        scores = self_by_walks(graph, targets, rmax, count, state=refined, **options)
+        own = cut(B.self_bounds(scores, base.pfail, s.eps_self, rmax, float(count), own))
         both = cut(B.candidates(B.hitting_bounds(found, own), k))
         settled = B.stops(both, k, eps, P.ALPHA / n).agg(F.min(F.col("stop").cast("int"))).first()[0]
         if settled or (delta <= least and eps_self <= least_eps):

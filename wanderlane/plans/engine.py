@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +12,9 @@ from ..functions import params as P
 from ..operators import estimators, evaluate, index, push, search, topk, truth, walks
 from ..operators.graph import Graph
 from ..operators.walks import STEPS
+from ..sources import graph_files as files
 from .iterate import cut
-from .report import Report
+from .report import Report, log
 
 PPR = ("push_walk", "montecarlo", "montecarlo_all", "bippr", "fwdpush", "hub", "push_walk_mc", "power")
 DHT = ("mc_dht", "shared_dht", "ratio_dht", "global_iteration", "local_expansion", "exact_dht")
@@ -67,7 +68,8 @@ def query(graph: Graph, sources: DataFrame, options: Options, walk_index: DataFr
         q = P.bippr(p, o.rmax_scale)
         counts = None
         if o.algo == "hub":
-            counts = cut(index.hub_walks(graph, sources, count(q.walks), index.hub_index(graph, index.hubs(graph, o.hubs), o.hub_levels, steps=o.steps), **w))
+            hub_index = index.hub_index(graph, index.hubs(graph, o.hubs), o.hub_levels, steps=o.steps) if walk_index is None else walk_index
+            counts = cut(index.hub_walks(graph, sources, count(q.walks), hub_index, **w))
         return estimators.bippr(graph, sources, targets, q.rmax, count(q.walks), counts=counts, **w)
     if o.algo == "fwdpush":
         return estimators.push_only(graph, sources, P.forward_push(p, o.rmax_scale).rmax)
@@ -99,14 +101,9 @@ def top(graph: Graph, sources: DataFrame, options: Options, walk_index: DataFram
     return topk.top_k(query(graph, sources, options, walk_index), k)
 
 
-def batch_top(graph: Graph, sources: DataFrame, options: Options, parts: int = 5) -> DataFrame:
-    """k_asked, source, rank, node, score for k in k/parts, 2k/parts, ..., k."""
-    out = None
-    for i in range(1, parts + 1):
-        k = max(1, options.k * i // parts)
-        one = top(graph, sources, Options(**asdict(options) | {"k": k})).withColumn("k_asked", F.lit(k))
-        out = one if out is None else out.unionByName(one)
-    return out
+def batch_top(graph: Graph, sources: DataFrame, options: Options, parts: int = 5, walk_index: DataFrame | None = None) -> DataFrame:
+    """k_asked, source, rank, node, score for k in k/parts, 2k/parts, ..., k, all from one search for the k best."""
+    return topk.batch(cut(top(graph, sources, options, walk_index)), options.k, parts)
 
 
 def build(graph: Graph, options: Options) -> DataFrame:
@@ -116,31 +113,83 @@ def build(graph: Graph, options: Options) -> DataFrame:
     return index.walk_index(graph, q.rmax, options.walks or q.walks, steps=options.steps)
 
 
+def levels(k: int, parts: int = 5) -> list[int]:
+    return sorted({max(1, k * i // parts) for i in range(1, parts + 1)})
+
+
 def evaluate_top(found: DataFrame, exact: DataFrame, k: int, relevance: DataFrame | None = None) -> DataFrame:
     """source, k, precision, recall, ndcg for five values of k."""
-    ks = sorted({max(1, k * i // 5) for i in range(1, 6)})
-    pr, ndcg = evaluate.precision_recall(found, exact, ks), evaluate.ndcg(found, exact, ks, relevance)
+    pr, ndcg = evaluate.precision_recall(found, exact, levels(k)), evaluate.ndcg(found, exact, levels(k), relevance)
     return pr.join(ndcg, ["source", "k"], "left")
 
 
-def run(graph: Graph, action: str, sources: DataFrame, options: Options, report_to: str | None = None) -> DataFrame:
-    """An action by name, timed, with a report where a folder is given."""
+def truth_of(graph: Graph, sources: DataFrame, options: Options, folder: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(exact k best of each source, exact self scores where the algorithm is of hitting scores), kept in folder if given.
+
+    Tables in the folder are used for the sources they have; what is missing is computed and added.
+    """
+    k, spark = options.k, graph.spark
+    hitting = options.algo in DHT
+    # Of a longer list, more is kept: the candidates among which the k best hitting scores are.
+    size = truth.self_candidates(k) if hitting else k
+    known = files.read_truth(spark, files.truth_path(folder, "ppr", size)) if folder else None
+    missing = sources.select("source") if known is None else sources.select("source").join(known.select("source").distinct(), "source", "left_anti")
+    if known is None or not missing.isEmpty():
+        new = cut(truth.exact_topk(graph, missing, size, options.rounds))
+        known = new if known is None else cut(known.unionByName(new))
+        if folder:
+            files.write_truth(known, files.truth_path(folder, "ppr", size))
+    ppr = known.join(sources.select("source"), "source", "left_semi")
+    if not hitting:
+        return ppr, None
+    old = files.read_truth(spark, files.truth_path(folder, "self")) if folder else None
+    own = cut(truth.exact_self(graph, ppr, k, old))
+    if folder:
+        files.write_truth(own, files.truth_path(folder, "self"))
+    return topk.top_k(estimators.ratio(ppr, own), k), own
+
+
+def score_lists(graph: Graph, sources: DataFrame, found: DataFrame, options: Options, folder: str | None = None) -> DataFrame:
+    """source, k, precision, recall, ndcg of lists found (source, rank, node, score), against truth made or read."""
+    exact, own = truth_of(graph, sources, options, folder)
+    exact = cut(exact)
+    relevance = None
+    if own is not None and not found.join(exact, ["source", "node"], "left_anti").isEmpty():
+        relevance = cut(evaluate.hitting_pairs(graph, found, exact, push.power_iteration(graph, sources, options.rounds)))
+    return evaluate_top(found, exact, options.k, relevance)
+
+
+def run(graph: Graph, action: str, sources: DataFrame | None, options: Options, report_to: str | None = None, walk_index: DataFrame | None = None, truth_folder: str | None = None, metrics: bool = False) -> DataFrame:
+    """An action by name, timed, with a report where a folder is given; with metrics, lists are held against the truth."""
     actions = {
-        "query": lambda: query(graph, sources, options),
-        "topk": lambda: top(graph, sources, options),
-        "batch-topk": lambda: batch_top(graph, sources, options),
+        "query": lambda: query(graph, sources, options, walk_index),
+        "topk": lambda: top(graph, sources, options, walk_index),
+        "batch-topk": lambda: batch_top(graph, sources, options, walk_index=walk_index),
         "build": lambda: build(graph, options),
-        "gen-exact-topk": lambda: truth.exact_topk(graph, sources, options.k, options.rounds),
-        "gen-exact-self": lambda: truth.exact_self(graph, push.power_iteration(graph, sources, options.rounds), options.k),
+        "build-hubs": lambda: index.hub_index(graph, index.hubs(graph, options.hubs), options.hub_levels, steps=options.steps),
+        "gen-exact-topk": lambda: truth_of(graph, sources, replace(options, algo="power"), truth_folder)[0],
+        "gen-exact-self": lambda: truth_of(graph, sources, replace(options, algo="exact_dht"), truth_folder)[1],
         "gen-exact-dht": lambda: truth.exact_hitting(graph, sources, options.k, options.rounds),
         "statistic": lambda: graph_stats(graph),
     }
     if action not in actions:
         raise ValueError(f"no action {action!r}; there are {', '.join(actions)}")
-    report = Report({"action": action, **asdict(options)}, command_line=action)
-    with report.timed(action):
+    report = Report(action=action, **asdict(options))
+    with report.phase("graph"):
+        n, m = graph.sizes
+    with report.phase(action):
         out = cut(actions[action]())
-    report.result = {"rows": out.count(), "nodes": graph.sizes[0], "edges": graph.sizes[1]}
+    report.found = {"rows": out.count(), "nodes": n, "edges": m}
+    if walk_index is not None:
+        report.add("indexed_walks", walk_index.count())
+    if metrics and action in ("topk", "batch-topk"):
+        with report.phase("evaluation"):
+            lists = out.filter(F.col("k_asked") == options.k).drop("k_asked") if action == "batch-topk" else out
+            table = cut(score_lists(graph, sources, lists, options, truth_folder))
+            means = table.groupBy("k").agg(*(F.avg(c).alias(c) for c in ("precision", "recall", "ndcg"))).orderBy("k")
+        report.found["metrics"] = [r.asDict() for r in means.collect()]  # a row for each of five k
+        for r in report.found["metrics"]:
+            log.info("k=%(k)s precision=%(precision)s recall=%(recall)s ndcg=%(ndcg)s", r)
     if report_to:
         report.save(report_to)
     return out

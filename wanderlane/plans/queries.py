@@ -1,7 +1,8 @@
 """The registered graph queries: a callable (spark, sf_dir) and, where SQL can express it, the same rows in DuckDB SQL.
 
 Single-source queries run on the trade graph, all-target ones on the event graph (see sources.tables). Their query sets,
-the nodes of greatest out-degree, and their accuracy are parameters, stated here.
+the nodes of greatest out-degree, and their accuracy are parameters, stated here. Exact scores take 100 rounds, or as many
+as leave the error bound; self scores are pushed to 1e-10; a walk ends by force after 60 steps.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ from ..operators import bounds, estimators, evaluate, graph, index, push, search
 from ..sources import tables
 from . import oracles as O
 
-SOURCES, ROUNDS, K = 3, 12, 20
-RMAX, OMEGA, STEPS = 0.00101, 400.0, 24  # of the event graph's estimators
+SOURCES, ROUNDS, K = 3, 100, 20
+RMAX, OMEGA, STEPS = 0.00101, 400.0, 60  # of the event graph's estimators
 RMAX_SELF, SELF_WALKS = 0.0501, 40
 WALKS = 300
 HUBS, LEVELS = 10, 5
-SELF_FINE = 1e-6
+SELF_FINE, SELF_ROUNDS = truth.EXACT, 110
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -170,10 +171,10 @@ def ppr_forward_push(spark, d):
     return rounded(push.forward_push(g, push.unit_state(top_sources(g)), RMAX), "reserve", "residual")
 
 
-@query(O.query([T, S, O.push(0.000101, 40)], f"select source, node, {r9('reserve', 'residual')} from st"))
+@query(O.query([T, S, O.push(0.000101)], f"select source, node, {r9('reserve', 'residual')} from st"))
 def ppr_forward_push_trade(spark, d):
     g = trade(spark, d)
-    return rounded(push.forward_push(g, push.unit_state(top_sources(g)), 0.000101, rounds=40), "reserve", "residual")
+    return rounded(push.forward_push(g, push.unit_state(top_sources(g)), 0.000101), "reserve", "residual")
 
 
 @query(O.query([E, S, O.push(RMAX * 10, absolute=True)], f"select source, node, {r9('reserve', 'residual')} from st"))
@@ -232,10 +233,10 @@ def ppr_push_walk(spark, d):
     return rounded(estimators.push_walk(g, top_sources(g), RMAX, OMEGA, steps=STEPS), "score")
 
 
-@query(O.query([T, S, O.push_walk(0.000501, OMEGA, STEPS, rounds=30)], f"select source, node, {r9('score')} from push_walk"))
+@query(O.query([T, S, O.push_walk(0.000501, OMEGA, STEPS)], f"select source, node, {r9('score')} from push_walk"))
 def ppr_push_walk_trade(spark, d):
     g = trade(spark, d)
-    return rounded(estimators.push_walk(g, top_sources(g), 0.000501, OMEGA, state=push.forward_push(g, push.unit_state(top_sources(g)), 0.000501, rounds=30), steps=STEPS), "score")
+    return rounded(estimators.push_walk(g, top_sources(g), 0.000501, OMEGA, steps=STEPS), "score")
 
 
 INDEX_OMEGA = OMEGA
@@ -296,21 +297,22 @@ def ppr_pairwise(spark, d):
 
 # Hitting scores
 
-PPR = O.power(40)
+PPR = O.power(ROUNDS)
+FINE = O.reverse(SELF_FINE, SELF_ROUNDS, name="sf")
 
 
-@query(O.query([E, S, PPR, SELF, OWN], f"select source, node, round(least(score / self_ppr, 1.0), 9) as score from ppr join own using (node)"))
+@query(O.query([E, S, PPR, FINE, OWN], f"select source, node, round(least(score / self_ppr, 1.0), 9) as score from ppr join own using (node)"))
 def dht_exact(spark, d):
     g = event(spark, d)
-    ppr = push.power_iteration(g, top_sources(g), 40)
-    return rounded(estimators.ratio(ppr, push.self_scores(g, targets_of(g), 0.00101)), "score")
+    ppr = push.power_iteration(g, top_sources(g), ROUNDS)
+    return rounded(estimators.ratio(ppr, truth.all_self(g)), "score")
 
 
-@query(O.query([E, S, PPR, SELF, OWN], f"select source, rank, node, score from ({O.top('(select source, node, round(least(score / self_ppr, 1.0), 9) as score from ppr join own using (node))', K)})"))
+@query(O.query([E, S, PPR, FINE, OWN], f"select source, rank, node, score from ({O.top('(select source, node, round(least(score / self_ppr, 1.0), 9) as score from ppr join own using (node))', K)})"))
 def dht_exact_topk(spark, d):
     g = event(spark, d)
-    ppr = push.power_iteration(g, top_sources(g), 40)
-    return topk.top_k(rounded(estimators.ratio(ppr, push.self_scores(g, targets_of(g), 0.00101)), "score"), K)
+    ppr = push.power_iteration(g, top_sources(g), ROUNDS)
+    return topk.top_k(rounded(estimators.ratio(ppr, truth.all_self(g)), "score"), K)
 
 
 RAW = O.self_by_walks(RMAX_SELF, SELF_WALKS, STEPS, "select distinct node as target from push_walk")
@@ -328,12 +330,12 @@ def dht_shared(spark, d):
     return rounded(estimators.hitting_shared(g, top_sources(g), RMAX, OMEGA, RMAX_SELF, SELF_WALKS, steps=STEPS), "score")
 
 
-@query(O.query([E, S, """h(it, target, node, score) as (select 0, source, source, 1.0::double from sources union all
- select it + 1, target, node, sum(score) from (select it, target, e.src as node, 0.8 * h.score / n.out_deg as score from h join edges e on e.dst = h.node join nodes n on n.node = e.src where it < 12 and e.src <> target
- union all select it, target, target, score from h where it < 12 and node = target) group by it + 1, target, node)"""], "select target, node, round(score, 9) as score from h where it = 12"))
+@query(O.query([E, S, f"rn as (select ceil(ln(0.5 / n * {P.ALPHA}) / ln({1 - P.ALPHA}) - 1e-9)::bigint as rounds from sizes)", """h(it, target, node, score) as (select 0, source, source, 1.0::double from sources union all
+ select it + 1, target, node, sum(score) from (select it, target, e.src as node, 0.8 * h.score / n.out_deg as score from h join edges e on e.dst = h.node join nodes n on n.node = e.src, rn where it < rounds and e.src <> target
+ union all select it, target, target, score from h, rn where it < rounds and node = target) group by it + 1, target, node)"""], "select target, node, round(score, 9) as score from h join rn on it = rounds"))
 def dht_global_iteration(spark, d):
     g = event(spark, d)
-    return rounded(push.hitting_iteration(g, top_sources(g).select(F.col("source").alias("target")), 12), "score")
+    return rounded(push.hitting_iteration(g, top_sources(g).select(F.col("source").alias("target")), push.rounds_for(0.5, 1 / g.sizes[0])), "score")
 
 
 HOPS = 1
@@ -500,19 +502,31 @@ def ppr_one_hop_walks(spark, d):
 # Ground truth and evaluation
 
 
-@query(O.query([E, O.reverse(SELF_FINE, 90, name="sf"), OWN], f"select node, {r9('self_ppr')} from own"))
+@query(O.query([E, FINE, OWN], f"select node, {r9('self_ppr')} from own"))
 def truth_self(spark, d):
-    return rounded(truth.all_self(event(spark, d), SELF_FINE), "self_ppr")
+    return rounded(truth.all_self(event(spark, d)), "self_ppr")
 
 
-@query()
+CANDIDATES = [PPR, f"bp as ({O.top('ppr', truth.self_candidates(K))})", O.reverse(truth.COARSE, name="rf", targets="select distinct node as target from bp"),
+    f"rg as (select node, greatest(reserve, {P.ALPHA}) as lo, least(reserve + {truth.COARSE / P.ALPHA}, 1.0) as hi from rf where target = node)",
+    "cb as (select source, node, score / hi as lb, score / lo as ub from bp join rg using (node))",
+    f"wanted as (select distinct node from cb join (select source, min(score) as kth from ({O.top('cb', K, 'lb')}) group by source) using (source) where ub >= kth)"]
+
+
+@query(O.query([E, S, *CANDIDATES, FINE, OWN], f"select node, {r9('self_ppr')} from own join wanted using (node)"))
 def truth_self_candidates(spark, d):
     g = event(spark, d)
-    ppr = push.power_iteration(g, top_sources(g), 40)
-    return rounded(truth.exact_self(g, ppr, K, fine=SELF_FINE), "self_ppr")
+    ppr = push.power_iteration(g, top_sources(g), ROUNDS)
+    return rounded(truth.exact_self(g, ppr, K), "self_ppr")
+
+
+@query(O.query([E, S, PPR, FINE, OWN], f"select source, rank, node, round(score, 9) as score from ({O.top('(select source, node, least(score / self_ppr, 1.0) as score from ppr join own using (node))', K)})"))
+def truth_hitting(spark, d):
+    g = event(spark, d)
+    return rounded(truth.exact_hitting(g, top_sources(g), K, ROUNDS), "score")
 
 
-EVAL = [E, S, O.power(40), O.walk(O.source_starts(WALKS), STEPS),
+EVAL = [E, S, O.power(ROUNDS), O.walk(O.source_starts(WALKS), STEPS),
     f"mc as (select origin as source, node, round(count(*) / {float(WALKS)}, 9) as score from w_ends group by 1, 2)",
     "tr as (select source, node, round(score, 12) as score from ppr)", f"ft as ({O.top('mc', K)})", f"tt as ({O.top('tr', K)})", f"ks as (select unnest([{K // 5}, {2 * K // 5}, {K}]) as k)"]
 
@@ -521,7 +535,7 @@ def _lists(spark, d):
     g = event(spark, d)
     s = top_sources(g)
     found = rounded(walks.monte_carlo(g, s, WALKS, steps=STEPS), "score")
-    exact = push.power_iteration(g, s, 40).withColumn("score", F.round("score", 12))
+    exact = push.power_iteration(g, s, ROUNDS).withColumn("score", F.round("score", 12))
     return found, exact
 
 
@@ -549,6 +563,43 @@ def eval_errors(spark, d):
     return evaluate.errors(*_lists(spark, d))
 
 
+EVAL_DHT = [E, S, PPR, FINE, OWN, O.walk(O.source_starts(WALKS), STEPS),
+    f"mh as (select origin as source, node, round(count(distinct walk_no) / {float(WALKS)}, 9) as score from w group by 1, 2)",
+    "tr as (select source, node, round(least(score / self_ppr, 1.0), 9) as score from ppr join own using (node))", f"ft as ({O.top('mh', K)})", f"tt as ({O.top('tr', K)})", EVAL[-1]]
+
+
+@query(O.query(EVAL_DHT, """select b.source, b.k, round(coalesce(got, 0) / best, 9) as ndcg from (select source, k, sum((pow(2.0, score) - 1) / log2(rank + 1.0)) as best from tt, ks where rank <= k group by 1, 2) b
+left join (select ft.source, k, sum((pow(2.0, coalesce(tr.score, 0)) - 1) / log2(rank + 1.0)) as got from ks join ft on rank <= k left join tr on tr.source = ft.source and tr.node = ft.node group by 1, 2) g using (source, k)"""))
+def eval_ndcg_dht(spark, d):
+    g = event(spark, d)
+    s = top_sources(g)
+    found = topk.top_k(rounded(walks.monte_carlo_hitting(g, s, WALKS, steps=STEPS), "score"), K)
+    ppr = push.power_iteration(g, s, ROUNDS)
+    exact = topk.top_k(rounded(truth.exact_hitting(g, s, K, ROUNDS), "score"), K)
+    return evaluate.ndcg(found, exact, KS, relevance=rounded(evaluate.hitting_pairs(g, found, exact, ppr), "score"))
+
+
+@query(O.query([E, S, ST, f"fp as (select source, node, round(reserve, 9) as score from st where reserve <> 0)", f"ft as ({O.top('fp', K)})"], f"select k as k_asked, source, rank, node, score from ft join (select unnest([{', '.join(str(K * i // 5) for i in range(1, 6))}]) as k) on rank <= k"))
+def batch_topk(spark, d):
+    g = event(spark, d)
+    scores = rounded(estimators.push_only(g, top_sources(g), RMAX), "score")
+    return topk.batch(topk.top_k(scores, K), K, 5)
+
+
+DRAWS = 200
+
+
+@query(O.query([E, S, ST, f"""cum as (select source, node, sum(residual) over (partition by source order by node) as upto from st where residual > 0),
+rs as (select source, max(upto) as rsum from cum group by source),
+dr as (select source, draw, rsum, {sql_draw('sample', 'source', 'draw')} / 4294967296.0 * rsum as at from rs, range(1, {DRAWS + 1}) t(draw)),
+pk as (select dr.source, draw::bigint as draw, min(node) as node from dr join cum on cum.source = dr.source and cum.upto > dr.at group by 1, 2)""",
+    O.walk("select source as origin, node as start, draw as walk_no from pk", STEPS, name="dw")],
+    f"select source, node, round(sum(score), 9) as score from (select origin as source, node, rsum / {float(DRAWS)} as score from dw_ends join rs on rs.source = origin union all select source, node, reserve from st where reserve <> 0) group by 1, 2"))
+def ppr_push_walk_drawn(spark, d):
+    g = event(spark, d)
+    return rounded(estimators.push_walk_drawn(g, top_sources(g), RMAX, DRAWS, steps=STEPS), "score")
+
+
 # Parameters
 
 _L = "ln(2 * n)"

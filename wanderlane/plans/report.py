@@ -1,57 +1,49 @@
-"""Reports of runs: what was asked, what came out, how long the parts took, as JSON."""
+"""Reports of runs, one JSON file each: what was asked, of which graph, what came out, and where the time went."""
 
 from __future__ import annotations
 
 import json
+import logging
 import resource
 import time
+import uuid
 from contextlib import contextmanager
-from dataclasses import dataclass, field
 from pathlib import Path
 
+log = logging.getLogger("wanderlane")
+
 
-@dataclass
 class Report:
-    config: dict
-    result: dict = field(default_factory=dict)
-    timers: dict[str, float] = field(default_factory=dict)
-    counters: dict[str, int] = field(default_factory=dict)
-    start_time: str = field(default_factory=lambda: time.strftime("%Y-%m-%d %H:%M:%S"))
-    command_line: str = ""
+    """Collects a run's facts. asked: its settings; phases: seconds by name; counts: walks, index hits and the like."""
+
+    def __init__(self, **asked):
+        self.run, self.began = uuid.uuid4().hex[:12], time.time()
+        self.asked, self.found = asked, {}
+        self.phases: dict[str, float] = {}
+        self.counts: dict[str, int] = {}
 
     @contextmanager
-    def timed(self, name: str):
-        began = time.perf_counter()
+    def phase(self, name: str):
+        at = time.perf_counter()
         try:
             yield
         finally:
-            self.timers[name] = self.timers.get(name, 0.0) + time.perf_counter() - began
+            took = time.perf_counter() - at
+            self.phases[name] = self.phases.get(name, 0.0) + took
+            log.info("%s took %.3f s", name, took)
 
-    def count(self, name: str, by: int = 1) -> None:
-        self.counters[name] = self.counters.get(name, 0) + by
+    def add(self, name: str, by: int) -> None:
+        self.counts[name] = self.counts.get(name, 0) + by
 
-    def as_dict(self) -> dict:
-        total = sum(self.timers.values())
-        share = {k: (v / total if total else None) for k, v in self.timers.items()}
-        peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+    def facts(self) -> dict:
         return {
-            "start_time": self.start_time, "end_time": time.strftime("%Y-%m-%d %H:%M:%S"), "command_line": self.command_line, "config": self.config,
-            "result": self.result | {"peak_memory_mb": peak, "counters": self.counters}, "timer": {"seconds": self.timers, "share": share},
+            "run": self.run, "began": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(self.began)), "seconds": round(time.time() - self.began, 3),
+            "asked": self.asked, "found": self.found, "phases": self.phases, "counts": self.counts, "driver_peak_mb": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024,
         }
 
-    def path(self, folder: str) -> Path:
-        c = self.config
-        name = [c.get("dataset", "graph"), c.get("action", "query"), c.get("algo", "push_walk"), "with_idx" if c.get("with_idx") else "without_idx"]
-        if c.get("k"):
-            name.append(f"k-{c['k']}")
-        if c.get("rmax_scale", 1) != 1:
-            name.append(f"rmax-{c['rmax_scale']:g}")
-        if c.get("query_high_degree"):
-            name.append("query_high_degree")
-        return Path(folder) / "execution" / (".".join(map(str, name)) + ".json")
-
     def save(self, folder: str) -> Path:
-        path = self.path(folder)
+        path = Path(folder) / f"run-{self.run}.json"
         path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(json.dumps(self.as_dict(), indent=1, default=str))
+        path.write_text(json.dumps(self.facts(), indent=1, default=str))
+        log.info("report in %s", path)
         return path

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import draw
-from ..operators.graph import Graph, clean_edges
+from ..operators.graph import Graph, clean_edges, sizes_only
 
 BUCKETS = 64
 
@@ -31,8 +31,30 @@ def read_edges(spark: SparkSession, folder: str, undirected: bool = False) -> Da
     return clean_edges(pairs.filter("src is not null and dst is not null"), undirected)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
+def has_sizes(spark: SparkSession, folder: str) -> bool:
+    return _exists(spark, f"{folder}/attribute.txt")
+
+
 def read_graph(spark: SparkSession, folder: str, undirected: bool = False) -> Graph:
-    return Graph(read_edges(spark, folder, undirected))
+    """The graph of a folder. Where attribute.txt names the number of nodes, they are 0..n-1, with edges or without; an edge
+    to any other node is an error."""
+    edges = read_edges(spark, folder, undirected)
+    if not has_sizes(spark, folder):
+        return Graph(edges)
+    n, _ = read_sizes(spark, folder)
+    if not edges.filter(f"src < 0 or dst < 0 or src >= {n} or dst >= {n}").isEmpty():
+        raise ValueError(f"{folder}/graph.txt has nodes outside 0..{n - 1}")
+    return Graph(edges, n)
+
+
+def read_sizes_only(spark: SparkSession, folder: str) -> Graph:
+    """The graph's sizes without its edges, for random query nodes and parameters."""
+    return sizes_only(spark, *read_sizes(spark, folder))
 
 
 def write_graph(graph: Graph, folder: str) -> None:
@@ -45,9 +67,12 @@ def write_graph(graph: Graph, folder: str) -> None:
 def random_nodes(graph: Graph, count: int, seed: str = "query") -> DataFrame:
     """qno, source: nodes drawn uniformly, with replacement, by the place of a node in the order (bucket, node).
 
-    Places are a bucket's base plus the place in the bucket, so no task numbers all nodes.
+    Places are a bucket's base plus the place in the bucket, so no task numbers all nodes. Where the nodes are known to be
+    0..n-1, a place is a node, and no edge is read.
     """
     n, _ = graph.sizes
+    if graph.count is not None:
+        return graph.spark.range(count).select(F.col("id").alias("qno"), F.pmod(draw(seed, F.col("id")), F.lit(n)).alias("source"))
     nodes = graph.nodes.select("node", F.pmod("node", F.lit(BUCKETS)).alias("bucket"))
     totals = nodes.groupBy("bucket").agg(F.count("*").alias("n"))
     base = totals.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
@@ -90,12 +115,15 @@ def read_index(spark: SparkSession, folder: str, kind: str = "walks", scale: flo
     return spark.read.parquet(index_path(folder, kind, scale))
 
 
+def truth_path(folder: str, kind: str, k: int | None = None) -> str:
+    return f"{folder}/truth-{kind}" + (f".{k}" if k else "") + ".parquet"
+
+
 def write_truth(truth: DataFrame, path: str) -> None:
+    """truth must not be read from path itself."""
     truth.write.mode("overwrite").parquet(path)
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame | None:
     """Ground truth, or None where there is none: it is optional."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
-    return spark.read.parquet(path) if exists else None
+    return spark.read.parquet(path) if _exists(spark, path) else None

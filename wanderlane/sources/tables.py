@@ -1,7 +1,7 @@
 """Graphs derived from the star schema and the event stream.
 
-Trade graph: customers 3k, parts 3k+1, suppliers 3k+2; customer -> part (bought), part -> supplier (first three lines),
-supplier -> customer (same nation, even suppliers only, so that odd ones are dangling).
+Trade graph: customers 3k, parts 3k+1, suppliers 3k+2; customer -> part (bought), part -> supplier (of a line),
+supplier -> customer (same nation).
 Event graph: consecutive users of the purchases, in order of time; every node has out-edges.
 """
 
@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TRADE_SQL = """select distinct 3*o_custkey src, 3*l_partkey+1 dst from orders join lineitem on o_orderkey=l_orderkey
-union all select distinct 3*l_partkey+1, 3*l_suppkey+2 from lineitem where l_linenumber<=3
-union all select 3*s_suppkey+2, 3*c_custkey from supplier join customer on s_nationkey=c_nationkey where s_suppkey%2=0"""
+union all select distinct 3*l_partkey+1, 3*l_suppkey+2 from lineitem
+union all select 3*s_suppkey+2, 3*c_custkey from supplier join customer on s_nationkey=c_nationkey"""
 EVENT_SQL = """select distinct src, dst from (select user_id src, lead(user_id) over (order by ts, event_id) dst
 from events where event_type='purchase') where dst is not null and src<>dst"""
 
@@ -24,8 +24,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: read(spark, sf_dir, name)
     bought = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select((3 * F.col("o_custkey")).alias("src"), (3 * F.col("l_partkey") + 1).alias("dst")).distinct()
-    made = t("lineitem").filter("l_linenumber <= 3").select((3 * F.col("l_partkey") + 1).alias("src"), (3 * F.col("l_suppkey") + 2).alias("dst")).distinct()
-    near = t("supplier").filter("s_suppkey % 2 = 0").join(t("customer"), F.col("s_nationkey") == F.col("c_nationkey")).select((3 * F.col("s_suppkey") + 2).alias("src"), (3 * F.col("c_custkey")).alias("dst"))
+    made = t("lineitem").select((3 * F.col("l_partkey") + 1).alias("src"), (3 * F.col("l_suppkey") + 2).alias("dst")).distinct()
+    near = t("supplier").join(t("customer"), F.col("s_nationkey") == F.col("c_nationkey")).select((3 * F.col("s_suppkey") + 2).alias("src"), (3 * F.col("c_custkey")).alias("dst"))
     return bought.unionByName(made).unionByName(near)
 
 
