@@ -64,6 +64,12 @@ def candidates(bounds: DataFrame, k: int) -> DataFrame:
     return bounds.join(least, "source").filter("ub >= kth").drop("kth")
 
 
+def martingale_slack(score: float, pfail: float, rmax: float, walks: float, least: float) -> float:
+    """How far a score may be off: the deviation of a martingale with steps of at most rmax, for a score of at least `least`."""
+    term = math.log(1 / pfail)
+    return rmax * term / (3 * walks) + math.sqrt((rmax * term / (3 * walks)) ** 2 + 2 * rmax * term / walks * max(score, least))
+
+
 def martingale(estimates: DataFrame, lam: float, pfail: float, rmax: float, walks: float, least: float) -> DataFrame:
     """source, node, score, lb, ub of reverse push met by walks, from (source, node, score, reserve): the walks' sum is a
     martingale with steps of at most rmax; lam is its deviation, least the smallest score of interest."""

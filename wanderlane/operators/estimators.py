@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.rng import RANGE, draw
 from ..plans.iterate import cut
 from .graph import Graph
-from .push import forward_push, reverse_push, unit_state
+from .push import forward_push, in_blocks, reverse_push, unit_state
 from .walks import starts_from, walks
 
 #: Keeps the ceiling of a whole number that a sum in another order would put just above it.
@@ -135,7 +135,15 @@ def bippr(graph: Graph, sources: DataFrame, targets: DataFrame, rmax: float, cou
     counts = end_counts(graph, sources, count, **options) if counts is None else counts
     if rmax >= 1:
         return counts.select("source", "node", (F.col("cnt") / F.lit(float(count))).alias("score"))
-    pushed = reverse_push(graph, unit_state(targets, "target"), rmax)
+
+    def run(some: DataFrame) -> DataFrame:
+        return met_by_walks(reverse_push(graph, unit_state(some, "target"), rmax), sources, counts, count)
+
+    return in_blocks(targets.select("target"), run)
+
+
+def met_by_walks(pushed: DataFrame, sources: DataFrame, counts: DataFrame, count: int) -> DataFrame:
+    """source, node, score from reverse pushes (target, node, reserve, residual) and counts (source, node, cnt) of walk ends."""
     direct = pushed.filter("reserve > 0").join(sources.select("source"), F.col("node") == F.col("source")).select("source", F.col("target").alias("node"), F.col("reserve").alias("score"))
     met = pushed.filter("residual > 0").join(counts, "node").select("source", F.col("target").alias("node"), (F.col("residual") * F.col("cnt") / F.lit(float(count))).alias("score"))
     return direct.unionByName(met).groupBy("source", "node").agg(F.sum("score").alias("score"))
@@ -150,7 +158,9 @@ def pairwise(graph: Graph, pairs: DataFrame, rmax: float, count: int, **options)
 def self_by_walks(graph: Graph, targets: DataFrame, rmax: float, count: int, counts: DataFrame | None = None, state: DataFrame | None = None, **options) -> DataFrame:
     """node, self_ppr, reserve of each target: reverse push, met by the target's own walks. state: the reverse push, if known."""
     counts = end_counts(graph, targets.select(F.col("target").alias("source")), count, **options) if counts is None else counts
-    pushed = reverse_push(graph, unit_state(targets, "target"), rmax) if state is None else state
+    if state is None:
+        return in_blocks(targets.select("target"), lambda some: self_by_walks(graph, some, rmax, count, counts, reverse_push(graph, unit_state(some, "target"), rmax)))
+    pushed = state
     own = pushed.filter("target = node").select(F.col("target").alias("node"), F.col("reserve").alias("self_ppr"), "reserve")
     c = counts.select(F.col("source").alias("target"), "node", "cnt")
     met = pushed.filter("residual > 0").join(c, ["target", "node"]).select(F.col("target").alias("node"), (F.col("residual") * F.col("cnt") / F.lit(float(count))).alias("self_ppr"), F.lit(None).cast("double").alias("reserve"))

@@ -42,22 +42,41 @@ def spend(used: DataFrame, index: DataFrame) -> DataFrame:
     return used.join(index, "hub").filter(F.expr("(used & shiftleft(1L, cast(block as int))) <> 0")).groupBy("source", "hub", "dst").agg(F.sum("cnt").alias("cnt"))
 
 
-def hub_walks(graph: Graph, sources: DataFrame, count: int, index: DataFrame, **options) -> DataFrame:
-    """source, node, cnt: walks that stop at the first hub on their way that has walks left, and take one of its instead.
+def _spend_turns(seen: DataFrame, index: DataFrame) -> DataFrame:
+    """seen(origin, walk_no, hub, ...), walks at their first hub, with spent: whether the hub has a walk left for it. A hub's
+    budget is for each source; a walk's place among those that reach a hub decides, in the order of their numbers."""
+    turn = Window.partitionBy("origin", "hub").orderBy("walk_no")
+    return seen.join(hub_sizes(index).select("hub", "budget"), "hub").withColumn("spent", F.row_number().over(turn) <= F.col("budget")).drop("budget")
+
+
+def _counted(direct: DataFrame, spent: DataFrame, index: DataFrame) -> DataFrame:
+    used = spent.groupBy(F.col("origin").alias("source"), "hub").agg(F.count("*").alias("used"))
+    taken = spend(used, index).select("source", F.col("dst").alias("node"), "cnt")
+    own = direct.groupBy(F.col("origin").alias("source"), "node").agg(F.count("*").alias("cnt"))
+    return own.unionByName(taken).groupBy("source", "node").agg(F.sum("cnt").alias("cnt"))
 
-    A hub's budget is for each source; a walk's place among those that reach a hub decides, in the order of their numbers.
-    """
+
+def hub_walks(graph: Graph, sources: DataFrame, count: int, index: DataFrame, **options) -> DataFrame:
+    """source, node, cnt: walks that stop at the first hub on their way, and take one of its walks instead while it has some
+    left; the others go on from there."""
+    hub_nodes = index.select(F.col("hub").alias("node")).distinct()
+    first = cut(walks(graph, starts_from(sources, count), halt=hub_nodes, **options))
+    seen = cut(_spend_turns(first.filter("halted is not null").withColumnRenamed("node", "hub"), index))
+    rest = seen.filter(~F.col("spent")).select("origin", "start", "walk_no", F.col("hub").alias("node"), "halted")
+    ended = first.filter("halted is null").select("origin", "node")
+    direct = ended if rest.isEmpty() else ended.unionByName(walks(graph, rest, **options).select("origin", "node"))
+    return _counted(direct, seen.filter("spent"), index)
+
+
+def hub_walks_traced(graph: Graph, sources: DataFrame, count: int, index: DataFrame, **options) -> DataFrame:
+    """The same from whole paths: no step is saved. For tests."""
     path = cut(walks(graph, starts_from(sources, count), trace=True, **options))
-    budget = hub_sizes(index)
+    hub_nodes = index.select("hub").distinct()
     w = Window.partitionBy("origin", "walk_no")
-    seen = path.filter("step > 0").join(budget, F.col("node") == F.col("hub")).withColumn("first", F.min("step").over(w)).filter("step = first")
-    turn = Window.partitionBy("origin", "hub").orderBy("walk_no")
-    cutoff = cut(seen.withColumn("turn", F.row_number().over(turn)).filter("turn <= budget").select("origin", "walk_no", "hub"))
+    at = path.filter("step > 0").join(hub_nodes, F.col("node") == F.col("hub")).withColumn("first", F.min("step").over(w)).filter("step = first")
+    spent = cut(_spend_turns(at.select("origin", "walk_no", "hub"), index).filter("spent"))
     last = path.groupBy("origin", "walk_no").agg(F.max_by("node", "step").alias("node"))
-    direct = last.join(cutoff, ["origin", "walk_no"], "left_anti").groupBy(F.col("origin").alias("source"), "node").agg(F.count("*").alias("cnt"))
-    used = cutoff.groupBy(F.col("origin").alias("source"), "hub").agg(F.count("*").alias("used"))
-    taken = spend(used, index).select("source", F.col("dst").alias("node"), "cnt")
-    return direct.unionByName(taken).groupBy("source", "node").agg(F.sum("cnt").alias("cnt"))
+    return _counted(last.join(spent, ["origin", "walk_no"], "left_anti"), spent, index)
 
 
 def one_hop_walks(graph: Graph, sources: DataFrame, count: int, alpha: float = ALPHA, **options) -> DataFrame:

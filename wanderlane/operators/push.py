@@ -9,6 +9,7 @@ dangling node: it pushes to itself, in closed form.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from ..functions.params import ALPHA
 from ..plans.iterate import cut, drop, short_rounds
 from .graph import Graph
 
+BLOCK = 10_000  # targets whose pushes run together
 ROUNDS, ROUNDS_IN_A_PLAN = 1000, 4  # a residual of 1 is below 1e-10 after 104 rounds, if all of it moves on
 
 
@@ -24,24 +26,26 @@ def unit_state(sources: DataFrame, name: str = "source") -> DataFrame:
     return sources.select(name, F.col(name).alias("node"), F.lit(0.0).alias("reserve"), F.lit(1.0).alias("residual"))
 
 
-def _run(state: DataFrame, edges: DataFrame, key: str, active: Column, target: Column, share: Column, alpha: float, rounds: int, degrees: DataFrame | None = None, whole: bool = True) -> DataFrame:
+def _run(state: DataFrame, edges: DataFrame, key: str, active: Column, target: Column, share: Column, alpha: float, rounds: int, degrees: DataFrame | None = None, whole: bool = True, counts: dict | None = None) -> DataFrame:
     """Rounds of: frontier x edges -> arrivals; state -> what stays; sum. ROUNDS_IN_A_PLAN make one plan; a round without
     a frontier changes nothing, so whether there is one is asked only between plans. degrees(node, deg): the state carries
     its nodes' degrees, which arrivals bring along with the edge; a source, where dangling nodes push to, has its own row.
-    whole: a frontier that is left after the rounds is an error."""
-    last, carried = None, [] if degrees is None else ["deg"]
+    whole: a frontier that is left after the rounds is an error. counts: gets the rounds and the edges that were traversed."""
+    last, carried, done = None, [] if degrees is None else ["deg"], 0
+    seen = [] if counts is None else ["edges"]
     e = edges.drop(*carried)
     arrived = [F.when(F.col("deg") > 0, F.col("dst_deg")).alias("deg")] if carried else []
     with short_rounds(state.sparkSession):
-        state = cut(state.join(degrees, "node").select(key, "node", "reserve", "residual", "deg") if carried else state)
+        state = state.join(degrees, "node").select(key, "node", "reserve", "residual", "deg") if carried else state
+        state = cut(state.withColumn("edges", F.lit(0).cast("long")) if seen else state)
         for done in range(0, rounds, ROUNDS_IN_A_PLAN):
             if state.filter(active).isEmpty():
                 break
             new = state
             for _ in range(min(ROUNDS_IN_A_PLAN, rounds - done)):
-                arrivals = new.filter(active).join(e, "node").select(key, target.alias("node"), F.lit(0.0).alias("reserve"), share.alias("residual"), *arrived)
-                stays = new.select(key, "node", F.when(active, F.col("reserve") + alpha * F.col("residual")).otherwise(F.col("reserve")).alias("reserve"), F.when(active, 0.0).otherwise(F.col("residual")).alias("residual"), *carried)
-                new = arrivals.unionByName(stays).groupBy(key, "node").agg(F.sum("reserve").alias("reserve"), F.sum("residual").alias("residual"), *[F.max(c).alias(c) for c in carried])
+                arrivals = new.filter(active).join(e, "node").select(key, target.alias("node"), F.lit(0.0).alias("reserve"), share.alias("residual"), *arrived, *[F.lit(0).cast("long").alias(c) for c in seen])
+                stays = new.select(key, "node", F.when(active, F.col("reserve") + alpha * F.col("residual")).otherwise(F.col("reserve")).alias("reserve"), F.when(active, 0.0).otherwise(F.col("residual")).alias("residual"), *carried, *[(F.col(c) + F.when(active, F.greatest(F.col("deg"), F.lit(1))).otherwise(0)).alias(c) for c in seen])
+                new = arrivals.unionByName(stays).groupBy(key, "node").agg(F.sum("reserve").alias("reserve"), F.sum("residual").alias("residual"), *[F.max(c).alias(c) for c in carried], *[F.sum(c).alias(c) for c in seen])
             new = cut(new)
             if last is not None:
                 drop(last)
@@ -49,6 +53,8 @@ def _run(state: DataFrame, edges: DataFrame, key: str, active: Column, target: C
         else:
             if whole and not state.filter(active).isEmpty():
                 raise RuntimeError(f"nodes are above the threshold after {rounds} rounds")
+    if counts is not None:
+        counts |= {"edges": int(state.agg(F.coalesce(F.sum("edges"), F.lit(0))).first()[0]), "rounds": done}
     return state
 
 
@@ -62,16 +68,16 @@ def _degrees(graph: Graph) -> DataFrame:
     return graph.nodes.select("node", F.col("out_deg").alias("deg"))
 
 
-def forward_push(graph: Graph, state: DataFrame, rmax: float, alpha: float = ALPHA, rounds: int = ROUNDS, criterion: str = "per_edge") -> DataFrame:
+def forward_push(graph: Graph, state: DataFrame, rmax: float, alpha: float = ALPHA, rounds: int = ROUNDS, criterion: str = "per_edge", counts: dict | None = None) -> DataFrame:
     """Push every node with residual / out-degree >= rmax ("per_edge") or residual >= rmax ("absolute").
 
     Dangling nodes count as degree one and push to the source. Running on from a finished state with a smaller rmax is the
-    incremental push.
+    incremental push. counts: a dictionary that gets the number of rounds and of edges that were traversed.
     """
     width = F.greatest(F.col("deg"), F.lit(1))
     active = F.col("residual") / width >= rmax if criterion == "per_edge" else F.col("residual") >= rmax
     to = F.when(F.col("deg") == 0, F.col("source")).otherwise(F.col("dst"))
-    out = _run(state, graph.out_edges, "source", active, to, (1 - alpha) * F.col("residual") / width, alpha, rounds, _degrees(graph))
+    out = _run(state, graph.out_edges, "source", active, to, (1 - alpha) * F.col("residual") / width, alpha, rounds, _degrees(graph), counts=counts)
     again = F.greatest(F.lit(0.0), F.floor(F.log(F.col("residual") / rmax) / -math.log(1 - alpha)) + 1)
     left = F.when(F.col("residual") >= rmax, F.col("residual") * F.pow(F.lit(1 - alpha), again)).otherwise(F.col("residual"))
     return _with_lone(out.select("source", "node", "reserve", "residual"), state, graph, left, alpha)
@@ -90,10 +96,24 @@ def power_iteration(graph: Graph, sources: DataFrame, rounds: int = 100, alpha:
     return out.filter("reserve > 0").select("source", "node", F.col("reserve").alias("score"))
 
 
-def self_scores(graph: Graph, targets: DataFrame, rmax: float, alpha: float = ALPHA, rounds: int = ROUNDS) -> DataFrame:
+def in_blocks(targets: DataFrame, run, block: int = BLOCK) -> DataFrame:
+    """run(targets) over blocks of some `block` targets, one after the other: the state of a push from all nodes has a row for
+    each target and node that reaches it, which no cluster holds at once."""
+    blocks = -(-targets.count() // block)
+    if blocks <= 1:
+        return run(targets)
+    parts = [cut(run(targets.filter(F.pmod(F.xxhash64("target"), F.lit(blocks)) == b))) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def self_scores(graph: Graph, targets: DataFrame, rmax: float, alpha: float = ALPHA, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """node, self_ppr, of each target: the reserve that a reverse push from it leaves on it."""
-    out = reverse_push(graph, unit_state(targets, "target"), rmax, alpha, rounds)
-    return out.filter("target = node").select("node", F.col("reserve").alias("self_ppr"))
+
+    def run(some: DataFrame) -> DataFrame:
+        out = reverse_push(graph, unit_state(some, "target"), rmax, alpha, rounds)
+        return out.filter("target = node").select("node", F.col("reserve").alias("self_ppr"))
+
+    return in_blocks(targets.select("target"), run, block)
 
 
 def edge_visits(graph: Graph, state: DataFrame, rmax: float) -> int:

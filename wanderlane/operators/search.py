@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import params as P
 from ..plans.iterate import cut
 from . import bounds as B
-from .estimators import reserves, residual_starts, self_by_walks, walk_counts, with_walks
+from .estimators import met_by_walks, reserves, residual_starts, self_by_walks, walk_counts, with_walks
 from .graph import Graph
-from .push import edge_visits, forward_push, reverse_push, unit_state
+from .index import hub_walks
+from .push import edge_visits, forward_push, in_blocks, reverse_push, unit_state
 from .topk import top_k
 from .walks import walks
 
@@ -94,3 +96,32 @@ def hitting_search(graph: Graph, sources: DataFrame, k: int, eps: float, least_d
             delta = max(least, delta / 2)
         else:
             eps_self = max(least_eps, eps_self / 2)
+
+
+def hub_search(graph: Graph, sources: DataFrame, k: int, eps: float, index: DataFrame, least: float | None = None, **options) -> DataFrame:
+    """source, rank, node, score, lb, ub: reverse pushes from all targets, once, met by walks from the source over a hub index.
+    The number of walks doubles until, by martingale bounds, no node outside the k best can be better than the k-th by more
+    than a factor of 1 / (1 - eps), or the number is what the error bound asks for scores of at least `least` (1/n)."""
+    n, m = graph.sizes
+    least = least or 1 / n
+    p = P.bippr(P.defaults(n, m, eps, least, P.topk_pfail(n)))
+    rmax, most = min(p.rmax, 0.5), max(1, math.ceil(3 * min(p.rmax, 0.5) * p.log_term / (least * eps**2)))
+    targets = graph.nodes.select(F.col("node").alias("target"))
+    pushed = cut(in_blocks(targets, lambda some: reverse_push(graph, unit_state(some, "target"), rmax).select("target", "node", "reserve", "residual")))
+    reserve = pushed.filter("reserve > 0").select(F.col("node").alias("source"), F.col("target").alias("node"), "reserve")
+    open_, done, count = cut(sources.select("source").distinct()), [], min(most, 64)
+    while True:
+        scores = met_by_walks(pushed, open_, cut(hub_walks(graph, open_, count, index, **options)), count)
+        known = scores.join(reserve, ["source", "node"], "left").withColumn("reserve", F.coalesce("reserve", F.lit(0.0)))
+        found = cut(B.martingale(known, 1.0, p.pfail, rmax, count, least))
+        best = cut(top_k(found, k, keep=("lb", "ub")))
+        others = found.join(best.select("source", "node"), ["source", "node"], "left_anti").groupBy("source").agg(F.max("ub").alias("rival"))
+        unseen = F.lit(B.martingale_slack(0.0, p.pfail, rmax, count, least))  # of nodes that no walk has met
+        settled = best.groupBy("source").agg(F.min("lb").alias("kth"), F.count("*").alias("n")).join(others, "source", "left")
+        sure = (F.col("n") >= k) & (F.col("kth") >= (1 - eps) * F.greatest(F.coalesce("rival", F.lit(0.0)), unseen))
+        stop = open_ if count >= most else cut(settled.filter(sure).select("source"))
+        done.append(best.join(stop, "source", "left_semi"))
+        open_ = cut(open_.join(stop, "source", "left_anti"))
+        if count >= most or open_.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        count = min(most, 2 * count)

@@ -24,14 +24,17 @@ from .graph import Graph
 STEPS, STEPS_IN_A_PLAN = 60, 6
 
 
-def walks(graph: Graph, starts: DataFrame, salt: str = "walk", alpha: float = ALPHA, steps: int = STEPS, restart: str = "source", trace: bool = False) -> DataFrame:
+def walks(graph: Graph, starts: DataFrame, salt: str = "walk", alpha: float = ALPHA, steps: int = STEPS, restart: str = "source", trace: bool = False, halt: DataFrame | None = None) -> DataFrame:
     """starts(origin, start, walk_no) -> the same with `node`, where the walk ends.
 
+    halt(node): a walk that comes to one of these nodes stays there, and `halted` is its step there (null: it ended by itself).
+    Starts that have `node` and `halted` go on from there; a walk that was halted and goes on is the walk that was not.
+
     trace: a row for each visited node instead (with `step`). A walk that has not stopped after `steps` steps ends there, which
     happens to (1 - alpha)^steps of them: 1.5e-6 of them at 60.
     """
     stops = F.filter(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: draw(salt, F.lit("stop"), F.col("start"), F.col("walk_no"), k) < below(alpha))
-    now = starts.select("origin", "start", "walk_no", F.coalesce(F.get(stops, F.lit(0)), F.lit(steps)).alias("length"), F.col("start").alias("node"), F.lit(0).alias("step"))
+    now = starts.select("origin", "start", "walk_no", F.coalesce(F.get(stops, F.lit(0)), F.lit(steps)).alias("length"), *(("node", F.col("halted").alias("step")) if "halted" in starts.columns else (F.col("start").alias("node"), F.lit(0).alias("step"))), F.lit(None).cast("int").alias("halted"))
     if trace:
         now = now.withColumn("path", F.array("start"))
     edges = graph.numbered_edges.select(F.col("node").alias("from"), "at", "dst", "dst_deg")
@@ -39,33 +42,40 @@ def walks(graph: Graph, starts: DataFrame, salt: str = "walk", alpha: float = AL
     now = now.join(degrees, "node", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
     back = {"source": F.col("origin"), "start": F.col("start"), "none": F.col("node")}[restart]
     back_deg = {"source": F.col("origin_deg"), "start": F.col("start_deg"), "none": F.lit(0)}[restart]
-    now = now.withColumn("start_deg", F.col("deg"))
-    if restart == "source":
-        now = now.join(degrees.select(F.col("node").alias("origin"), F.col("deg").alias("origin_deg")), "origin", "left").withColumn("origin_deg", F.coalesce("origin_deg", F.lit(0)))
+    for end in {"source": ["origin"], "start": ["start"], "none": []}[restart]:
+        now = now.join(degrees.select(F.col("node").alias(end), F.col("deg").alias(f"{end}_deg")), end, "left").withColumn(f"{end}_deg", F.coalesce(f"{end}_deg", F.lit(0)))
+    halts, back_halts = F.lit(False), F.lit(False)
+    if halt is not None:
+        marks = halt.select("node").distinct().withColumn("halts", F.lit(True))
+        edges = cut(edges.join(marks.withColumnRenamed("node", "dst"), "dst", "left"))
+        now = now.join(marks.select(F.col("node").alias("back"), F.col("halts").alias("back_halts")), back == F.col("back"), "left").drop("back")
+        halts, back_halts = F.coalesce("halts", F.lit(False)), F.coalesce("back_halts", F.lit(False))
     parts, at = [], 0
     with short_rounds(graph.spark):
         while at < steps:
             for k in range(at, min(at + STEPS_IN_A_PLAN, steps)):
-                moves = F.col("length") > k
+                moves = (F.col("length") > k) & (F.col("step") <= k) & F.col("halted").isNull()
                 # Walkers that take no edge match nothing, under numbers of their own, so that they do not meet in one task.
                 n = F.pmod(draw(salt, F.lit("move"), F.col("start"), F.col("walk_no"), F.lit(k)), F.greatest(F.col("deg"), F.lit(1)))
                 now = now.withColumn("number", F.when(moves & (F.col("deg") > 0), n).otherwise(-1 - F.abs(F.hash("start", "walk_no").cast("long"))))
                 taken = F.col("dst").isNotNull()
                 node = F.when(taken, F.col("dst")).when(moves, back).otherwise(F.col("node"))
                 deg = F.when(taken, F.col("dst_deg")).when(moves, back_deg).otherwise(F.col("deg"))
-                joined = now.join(edges, (F.col("node") == F.col("from")) & (F.col("number") == F.col("at")), "left").withColumns({"node": node, "deg": deg})
+                stays = F.when(moves & F.when(taken, halts).otherwise(back_halts), F.lit(k + 1)).otherwise(F.col("halted"))
+                joined = now.join(edges, (F.col("node") == F.col("from")) & (F.col("number") == F.col("at")), "left").withColumns({"node": node, "deg": deg, "halted": stays})
                 now = joined.withColumn("path", F.when(moves, F.concat("path", F.array("node"))).otherwise(F.col("path"))) if trace else joined
-                now = now.drop("number", "from", "at", "dst", "dst_deg")
+                now = now.drop("number", "from", "at", "dst", "dst_deg", "halts")
             at = min(at + STEPS_IN_A_PLAN, steps)
             now = cut(now)
-            parts.append(now.filter(F.col("length") <= at))
-            now = now.filter(F.col("length") > at)
+            over = (F.col("length") <= at) | F.col("halted").isNotNull()
+            parts.append(now.filter(over))
+            now = now.filter(~over)
             if now.isEmpty():
                 break
     done = reduce(DataFrame.unionByName, parts)
     if trace:
         return done.select("origin", "start", "walk_no", F.posexplode("path").alias("step", "node"))
-    return done.select("origin", "start", "walk_no", "node")
+    return done.select("origin", "start", "walk_no", "node", *(["halted"] if halt is not None else []))
 
 
 def starts_from(sources: DataFrame, count: int) -> DataFrame:

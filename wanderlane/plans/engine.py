@@ -92,10 +92,13 @@ def query(graph: Graph, sources: DataFrame, options: Options, walk_index: DataFr
 
 
 def top(graph: Graph, sources: DataFrame, options: Options, walk_index: DataFrame | None = None) -> DataFrame:
-    """source, rank, node, score: k best; push_walk and shared_dht search with bounds, others rank their estimate."""
+    """source, rank, node, score: k best; push_walk, shared_dht and hub search with bounds, others rank their estimate."""
     k = options.k
     if options.algo == "push_walk" and walk_index is None:
         return search.ppr_search(graph, sources, k, options.eps, least_delta=options.delta, steps=options.steps, restart=options.restart)
+    if options.algo == "hub":
+        hub_index = index.hub_index(graph, index.hubs(graph, options.hubs), options.hub_levels, steps=options.steps) if walk_index is None else walk_index
+        return search.hub_search(graph, sources, k, options.eps, cut(hub_index), steps=options.steps, restart=options.restart).select("source", "rank", "node", "score")
     if options.algo == "shared_dht":
         return search.hitting_search(graph, sources, k, options.eps, least_delta=options.delta, most_self_walks=options.walks, steps=options.steps, restart=options.restart)
     return topk.top_k(query(graph, sources, options, walk_index), k)
