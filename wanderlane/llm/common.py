@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +50,22 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def plain_scan(df: DataFrame, of: str = "") -> bool:
+    """Whether df is read from files of that format, with no more than projections and filters: read again, it is the same."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().strip().splitlines()
+    return bool(df.inputFiles()) and all(re.match(r"\W*(Project|Filter|Relation)\b", x) for x in lines) and lines[-1].rstrip().endswith(of)
+
+
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column of that name that tells its rows apart, the same whenever the result is read.
+
+    A row of Parquet files is known by its file and its place there; anything else is written out with numbers.
+    """
+    if plain_scan(docs, "parquet") and "_metadata" not in docs.columns:
+        return docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(name))
+    return cut(docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "rows")
+
+
 def worker_cache() -> dict:
     """What all tasks of a worker process share: functions travel by value, and with them copies of their modules."""
     import sys

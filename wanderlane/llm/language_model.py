@@ -19,14 +19,13 @@ sums do not depend on the order of rows, so there are no ties; an empty table gi
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fold, table
+from .common import cut, fold, plain_scan, table
 from .vector import Block, blocks, mix64
 
 END, BEGIN = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
@@ -257,17 +256,12 @@ def _scores(n: int, v: int, texts: int, weights: np.ndarray, id_type: pa.DataTyp
     return run
 
 
-def _plain_scan(df: DataFrame) -> bool:
-    lines = df._jdf.queryExecution().optimizedPlan().toString().strip().splitlines()
-    return bool(df.inputFiles()) and all(re.match(r"\W*(Project|Filter|Relation)\b", x) for x in lines)
-
-
 def score(docs: DataFrame, train, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row. train: boolean column of the rows to learn from."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     files = docs
-    if not _plain_scan(docs.select(id_col, text_col)):
+    if not plain_scan(docs.select(id_col, text_col)):
         files = d = cut(d, "lm-input")
     d = d.select("doc_id", "text", "train", F.input_file_name().alias("file"), F.input_file_block_start().alias("start"))
     kind = d.schema["doc_id"].dataType

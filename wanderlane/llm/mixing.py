@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, drop, free_name, table
+from .common import WORD, cut, drop, free_name, table, with_row_key
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT, CAP = 150, 2
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK, shard_slots: int =
     source; use counts how often the source was begun. key: key_col if given (it must tell all rows apart), else a number.
     """
     spark, text = docs.sparkSession, F.coalesce(F.col(text_col), F.lit(""))
-    key = F.col(key_col).cast("long") if key_col else F.monotonically_increasing_id()
+    key = F.col(key_col) if key_col else F.monotonically_increasing_id()
     rows = docs.select(key.alias("key"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text, F.lit(seed), F.col(id_col)).alias("mark"))
     rows = cut(rows, "mix-sizes")
     n_rows = rows.count()
@@ -158,7 +158,7 @@ def apply_mix(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     taken whole keeps its text. A document that was used twice is two rows.
     """
     key, taken = free_name(docs, "key"), free_name(docs, "taken")
-    keyed = cut(docs.withColumn(key, F.monotonically_increasing_id()), "mix-rows")
+    keyed = with_row_key(docs, key)
     by_row, pieces = mix(keyed, text_col=text_col, key_col=key, **options)
     stretches = pieces.groupBy("key", "use").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("parts"), F.sum(F.col("to") - F.col("from")).alias("n"))  # of one document
     found = stretches.join(by_row.select("key", "size"), "key").select(F.col("key").alias(key), F.struct(F.when(F.col("n") < F.col("size"), F.col("parts")).alias("parts"), "size").alias(taken))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bucketed import Forest, by_cell, cells, pairs, whole_cells
-from .common import cut, drop, free_name, table
+from .common import cut, drop, free_name, table, with_row_key
 from .components import components
 from .vector import LOWER, blocks
 
@@ -130,9 +130,9 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with one row of each group of near copies. Rows are told apart by a number of their own, not by their ids."""
     row = free_name(docs, "row")
-    keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    keyed = with_row_key(docs, row)
     texts = keyed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    prints = cut(texts.mapInArrow(_fingerprint_batches, "row long, doc_id long, mark long, fp long"), "simhash")
+    prints = cut(texts.mapInArrow(_fingerprint_batches, f"row {keyed.schema[row].dataType.simpleString()}, doc_id long, mark long, fp long"), "simhash")
     n_rows = prints.count()
     roots = cut(prints.join(_classes(prints).select("fp", "root"), "fp").select("root", "row", F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "row").alias("place")), "simhash-roots", most=n_rows)
     first = roots.groupBy("root").agg(F.min("place")["row"].alias("row"))

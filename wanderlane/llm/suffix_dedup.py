@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, drop, free_name, table
+from .common import WORD, cut, drop, free_name, table, with_row_key
 from .induced import sorted_suffixes
 from .vector import _MULTIPLIER, _VALUES, blocks, mix64, powers
 
@@ -409,15 +409,20 @@ def _codes(batches):
 
 def _stripped(docs: DataFrame, text_col: str, words: int | None, options: dict) -> DataFrame:
     row, gone = free_name(docs, "row"), free_name(docs, "gone")
-    keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-rows")
+    keyed = with_row_key(docs, row)
     texts = keyed.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
     key = lambda c: F.substring(_keyed(c), 1, 16).alias("key")
-    found = texts.select("row", key("text")).join(repeated_spans(texts, **options).select("key", "spans"), "key").select("row", "spans", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("passages"))
+    nothing = F.lit(None).cast("array<struct<lo:int,hi:int>>")
+    spans = repeated_spans(texts, **options)
+    found = cut(texts.select("row", key("text")).join(spans.select("key", "spans"), "key").select("row", "spans", nothing.alias("passages")), "dedup-spans")
+    drop(spans)
     if words:
-        coded = cut(texts.mapInArrow(_codes, "row long, codes binary"), "dedup-codes", "zstd")
-        passages = repeated_spans(coded, "codes", **options | {"length": words * CODE}).select("key", F.col("spans").alias("passages"))
-        more = coded.select("row", key("codes")).join(passages, "key").select("row", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"), "passages")
-        found = found.unionByName(more).groupBy("row").agg(F.first("spans", True).alias("spans"), F.first("passages", True).alias("passages"))
+        coded = cut(texts.mapInArrow(_codes, f"row {keyed.schema[row].dataType.simpleString()}, codes binary"), "dedup-codes", "zstd")
+        passages = repeated_spans(coded, "codes", **options | {"length": words * CODE})
+        more = coded.select("row", key("codes")).join(passages.select("key", F.col("spans").alias("passages")), "key").select("row", nothing.alias("spans"), "passages")
+        first = found
+        found = cut(first.unionByName(more).groupBy("row").agg(F.first("spans", True).alias("spans"), F.first("passages", True).alias("passages")), "dedup-spans")
+        drop(coded, passages, first)
     found = found.select(F.col("row").alias(row), F.struct("spans", "passages").alias(gone))
     joined = keyed.join(found, row, "left").select(*docs.columns, gone)
     return joined.mapInArrow(_strip(docs.columns.index(text_col), words or 0), docs.schema)
