@@ -83,7 +83,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512,
         fill_cache(texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k) if batches > 1 else texts, tokenizer, cache)
     keyed = texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     # Two writers may both have added a key. Written out, the join reads plain tables, and a hot digest can be split.
-    stored = _read_cache(spark, cache, tokenizer_version(tokenizer)).join(keyed.select("digest"), "digest", "left_semi")
+    stored = _read_cache(spark, cache, tokenizer_version(tokenizer)).join(keyed.select("digest").distinct(), "digest", "left_semi")
     known = cut(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return keyed.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
