@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wanderlane.functions import params as P
-from wanderlane.operators import bounds, estimators, evaluate, index, push, search, topk, truth, walks
+from wanderlane.operators import estimators, evaluate, index, push, search, topk, truth, walks
 from wanderlane.operators.graph import Graph, clean_edges
 from wanderlane.plans import cli, engine
 from wanderlane.sources import graph_files as files
@@ -169,6 +169,51 @@ def test_blocks_of_targets_give_what_one_push_gives(spark):
 def test_pushes_count_the_edges_they_traverse(spark):
     g, seen = graph(spark), {}
     push.forward_push(g, push.unit_state(sources(spark, 0)), 0.3, counts=seen)
-    # 0 has residual 1 over two edges, its neighbours then 0.4 each over one and two edges: 1 and 0 are above 0.3 an edge.
-    assert seen["edges"] >= 2 and seen["rounds"] >= 1
-    assert bounds is not None and P.ALPHA == 0.2
+    # Per edge: 0 has 0.5; then 1 has 0.4 and 2 (two edges) has 0.2; then 2 has 0.72 / 2; then 0 and 3 have 0.288, and it ends.
+    assert seen["edges"] == 2 + 1 + 2
+    assert push.edge_visits(g, push.unit_state(sources(spark, 0)), 0.3) == 2
+
+
+def test_local_expansion_stops_by_size_and_by_error(spark):
+    g = graph(spark)
+    t = g.nodes.select(F.col("node").alias("target"))
+    exact = {(r.node, r.target): r.score for r in push.hitting_iteration(g, t, 60).collect()}
+    small = push.hitting_local(g, t, 3, 40, most=2).collect()
+    whole = push.hitting_local(g, t, 3, 60, error=1e-6).collect()
+    assert len(small) < len(whole)
+    for r in [*small, *whole]:
+        assert r.lb - 1e-6 <= exact[r.node, r.target] <= r.ub + 1e-6
+    assert max(r.ub - r.lb for r in whole) < 1e-4
+
+
+def test_ratios_of_the_best_need_few_self_scores(spark, monkeypatch):
+    g, s, seen = graph(spark), sources(spark, 0), []
+    inner = estimators.self_by_walks
+    monkeypatch.setattr(estimators, "self_by_walks", lambda g, t, *a, **k: seen.append(t.count()) or inner(g, t, *a, **k))
+    all_ = scores(estimators.hitting_raw(g, s, 0.01, 2000.0, 0.05, 500))
+    some = scores(estimators.hitting_raw(g, s, 0.01, 2000.0, 0.05, 500, best=1))
+    assert seen[1] <= seen[0] and all(all_[k] == pytest.approx(v) for k, v in some.items())
+    best = max(all_.values())
+    assert {k for k, v in all_.items() if v == best} <= set(some)
+
+
+def test_kth_scores_and_parameters_that_only_callers_use(spark):
+    df = spark.createDataFrame([(0, 5, 0.5), (0, 3, 0.4), (1, 4, 0.1)], "source long, node long, score double")
+    assert {r.source: r.kth for r in topk.kth_score(df, 2).collect()} == {0: 0.4, 1: 0.1}
+    p = P.replace(P.defaults(100, 1000, 0.5), eps_self=0.25, delta_self=P.ALPHA)
+    q = P.bippr_self(p)
+    assert q.rmax_self == pytest.approx(0.25 * math.sqrt(1000 * 0.2 / (3 * 100 * p.log_term)))
+    assert q.walks_self == pytest.approx(3 * q.rmax_self * p.log_term / (0.2 * 0.0625))
+    assert P.multi_scale(8) == 3
+
+
+def test_windowed_degrees_of_a_stream(spark, tmp_path):
+    from wanderlane.streaming import edges as stream
+
+    rows = [("2024-01-01 10:05:00", 0, 1), ("2024-01-01 10:50:00", 0, 2), ("2024-01-01 11:10:00", 0, 1), ("2024-01-01 11:11:00", 3, 3)]
+    spark.createDataFrame(rows, "ts string, src long, dst long").select(F.to_timestamp("ts").alias("ts"), "src", "dst").write.parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema("ts timestamp, src long, dst long").parquet(f"{tmp_path}/in")
+    q = stream.windowed_degrees(s).writeStream.outputMode("update").format("memory").queryName("windows").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.start.hour, r.node, r.out_deg) for r in spark.table("windows").collect()) == [(10, 0, 2), (11, 0, 1)]

@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.params import ALPHA
 from ..functions.rng import RANGE, draw
 from ..plans.iterate import cut
 from .graph import Graph
 from .push import forward_push, in_blocks, reverse_push, unit_state
+from .topk import kth_score
 from .walks import starts_from, walks
 
 #: Keeps the ceiling of a whole number that a sum in another order would put just above it.
@@ -172,9 +174,12 @@ def ratio(ppr: DataFrame, own: DataFrame, above: float | Column = 0.0) -> DataFr
     return ppr.filter(F.col("score") > above).join(own.select("node", "self_ppr"), "node").select("source", "node", F.least(F.col("score") / F.col("self_ppr"), F.lit(1.0)).alias("score"))
 
 
-def hitting_raw(graph: Graph, sources: DataFrame, rmax: float, omega: float, rmax_self: float, count_self: int, above: float = 0.0, **options) -> DataFrame:
-    """dht: push and walk, then reverse push and walks for each node above the threshold."""
+def hitting_raw(graph: Graph, sources: DataFrame, rmax: float, omega: float, rmax_self: float, count_self: int, above: float = 0.0, best: int | None = None, **options) -> DataFrame:
+    """dht: push and walk, then reverse push and walks for each node above the threshold. best: only the nodes that can be among
+    so many best by dht; a self score is between alpha and 1, so these have alpha times the ppr of the best-th by ppr at least."""
     ppr = cut(push_walk(graph, sources, rmax, omega, **options))
+    if best:
+        ppr = cut(ppr.join(kth_score(ppr, best), "source").filter(F.col("score") >= ALPHA * F.col("kth")).select("source", "node", "score"))
     targets = cut(ppr.filter(F.col("score") > above).select(F.col("node").alias("target")).distinct())
     return ratio(ppr, self_by_walks(graph, targets, rmax_self, count_self, **options), above)
 

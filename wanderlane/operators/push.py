@@ -144,29 +144,40 @@ def rounds_for(eps: float, delta: float, alpha: float = ALPHA) -> int:
     return k
 
 
-def hitting_local(graph: Graph, targets: DataFrame, hops: int, rounds: int, alpha: float = ALPHA) -> DataFrame:
+def hitting_local(graph: Graph, targets: DataFrame, hops: int, rounds: int, alpha: float = ALPHA, most: int | None = None, error: float | None = None) -> DataFrame:
     """target, node, lb, ub: hitting scores on the neighbourhood within `hops` in-steps of each target.
 
     The value iteration runs inside the neighbourhood; edges that leave it count 0 for the lower bound and the best
-    possible score outside, (1 - alpha)^(hops + 1), for the upper one.
+    possible score outside, (1 - alpha)^(hops + 1), for the upper one. most: a target's neighbourhood that has so many nodes
+    grows no further; its bound is that of the steps it grew. error: the iteration ends when no bound moves by more than that.
     """
-    inside = targets.select("target", F.col("target").alias("node"))
+    inside = targets.select("target", F.col("target").alias("node"), F.lit(0).alias("hop"))
     with short_rounds(graph.spark):
         inside = cut(inside)
-        for _ in range(hops):
-            more = inside.join(graph.in_edges, "node").select("target", F.col("src").alias("node"))
-            inside = cut(inside.unionByName(more).distinct())
+        for hop in range(1, hops + 1):
+            grown = inside.groupBy("target").agg(F.count("*").alias("n"), F.max("hop").alias("last"))
+            grows = grown.filter((F.col("last") == hop - 1) & (F.col("n") < most if most else F.lit(True))).select("target")
+            more = inside.filter(F.col("hop") == hop - 1).join(grows, "target", "left_semi").join(graph.in_edges, "node").select("target", F.col("src").alias("node"), F.lit(hop).alias("hop"))
+            inside = cut(inside.unionByName(more).groupBy("target", "node").agg(F.min("hop").alias("hop")))
+        radius = inside.groupBy("target").agg((F.max("hop") if most else F.lit(hops)).alias("radius")).select(F.col("target").alias("t"), F.pow(F.lit(1 - alpha), F.col("radius") + 1).alias("far"))
         edges = inside.join(graph.out_edges.filter("deg > 0"), "node").filter("target <> node")
         here = inside.select(F.col("target").alias("t"), F.col("node").alias("d"))
-        local = cut(edges.join(here, (F.col("target") == F.col("t")) & (F.col("dst") == F.col("d")), "left").groupBy("target", "node", "deg", F.col("d").alias("dst")).agg(F.count("*").alias("n")))
-        far = (1 - alpha) ** (hops + 1)
+        local = edges.join(here, (F.col("target") == F.col("t")) & (F.col("dst") == F.col("d")), "left").groupBy("target", "node", "deg", F.col("d").alias("dst")).agg(F.count("*").alias("n"))
+        local = cut(local.join(radius, F.col("target") == F.col("t")).drop("t"))
         state = cut(inside.select("target", "node", F.when(F.col("target") == F.col("node"), 1.0).otherwise(0.0).alias("lb"), F.lit(1.0).alias("ub")))
         for _ in range(rounds):
             at = state.select(F.col("target").alias("t"), F.col("node").alias("d"), "lb", "ub")
             step = local.join(at, (F.col("target") == F.col("t")) & (F.col("dst") == F.col("d")), "left")
             w = (1 - alpha) * F.col("n") / F.col("deg")
-            new = step.groupBy("target", "node").agg(F.sum(w * F.coalesce("lb", F.lit(0.0))).alias("lb"), F.sum(w * F.coalesce("ub", F.lit(far))).alias("ub"))
+            new = step.groupBy("target", "node").agg(F.sum(w * F.coalesce("lb", F.lit(0.0))).alias("lb"), F.sum(w * F.coalesce("ub", F.col("far"))).alias("ub"))
             own = targets.select("target", F.col("target").alias("node"), F.lit(1.0).alias("lb"), F.lit(1.0).alias("ub"))
             last, state = state, cut(new.unionByName(own))
-            drop(last)
+            if error is not None:
+                both = state.join(last.select("target", "node", F.col("lb").alias("l"), F.col("ub").alias("u")), ["target", "node"])
+                moved = both.agg(F.max(F.greatest(F.abs(F.col("lb") - F.col("l")), F.abs(F.col("ub") - F.col("u"))))).first()[0]
+                drop(last)
+                if moved is None or moved <= error:
+                    break
+            else:
+                drop(last)
     return state

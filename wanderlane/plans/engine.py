@@ -34,6 +34,7 @@ class Options:
     hub_levels: int = 10
     rounds: int = 100
     hops: int = 2
+    local_nodes: int | None = None  # a neighbourhood of so many nodes grows no further
     delta: float | None = None
 
     def __post_init__(self):
@@ -85,7 +86,7 @@ def query(graph: Graph, sources: DataFrame, options: Options, walk_index: DataFr
         h = push.hitting_iteration(graph, to, push.rounds_for(o.eps, p.delta))
         return h.select(F.col("node").alias("source"), F.col("target").alias("node"), "score")
     if o.algo == "local_expansion":
-        h = push.hitting_local(graph, to, o.hops, push.rounds_for(o.eps, p.delta))
+        h = push.hitting_local(graph, to, o.hops, push.rounds_for(o.eps, p.delta), most=o.local_nodes, error=o.eps * p.delta)
         return h.select(F.col("node").alias("source"), F.col("target").alias("node"), ((F.col("lb") + F.col("ub")) / 2).alias("score"))
     ppr = push.power_iteration(graph, sources, o.rounds)
     return estimators.ratio(ppr, truth.all_self(graph))
@@ -101,6 +102,10 @@ def top(graph: Graph, sources: DataFrame, options: Options, walk_index: DataFram
         return search.hub_search(graph, sources, k, options.eps, cut(hub_index), steps=options.steps, restart=options.restart).select("source", "rank", "node", "score")
     if options.algo == "shared_dht":
         return search.hitting_search(graph, sources, k, options.eps, least_delta=options.delta, most_self_walks=options.walks, steps=options.steps, restart=options.restart)
+    if options.algo == "ratio_dht":
+        q = P.hitting(P.defaults(*graph.sizes, options.eps, options.delta), options.ratio)
+        scores = estimators.hitting_raw(graph, sources.select("source").distinct(), q.rmax, options.walks or q.walks, q.rmax_self, options.walks or max(1, math.ceil(q.walks_self)), above=q.delta, best=k, steps=options.steps, restart=options.restart)
+        return topk.top_k(scores, k)
     return topk.top_k(query(graph, sources, options, walk_index), k)
 
 
