@@ -262,6 +262,31 @@ def test_induced_sorting_equals_a_plain_sort():
                 assert k == same
 
 
+def test_induced_sorting_through_files_equals_that_in_memory():
+    """Tens of thousands of symbols with a few hundred tuples in memory: queues, ranks, order and counts go through files."""
+    rng = np.random.default_rng(17)
+    base = rng.integers(97, 101, 9000).astype(np.uint8)
+    text = np.concatenate([base, base[2000:6000], rng.integers(97, 123, 9000).astype(np.uint8), np.tile(base[:7], 150), base])
+    for limit in (60, 400):
+        plain, filed = (list(induced.sorted_suffixes(text, limit, rows)) for rows in (1 << 20, 700))
+        for k in (0, 1):
+            assert np.array_equal(np.concatenate([x[k] for x in plain]), np.concatenate([x[k] for x in filed]))
+    raw = text.tobytes()
+    order = np.concatenate([p for p, _ in plain]).tolist()
+    assert order == sorted(range(len(raw)), key=lambda i: raw[i : i + 12000])
+
+
+def test_a_shard_larger_than_memory_finds_what_a_plain_count_finds(monkeypatch):
+    rng = np.random.default_rng(18)
+    parts = [rng.integers(97, 105, n).astype(np.uint8).tobytes() for n in rng.integers(450, 900, 40)]
+    segments = [*parts, parts[3][:420] + parts[9][-430:], parts[5][20:], parts[0] + parts[1]]
+    monkeypatch.setattr(induced, "ROWS", 600)
+    monkeypatch.setattr(induced.sorted_suffixes, "__defaults__", (600,))
+    seg, at, *_ = suffix_dedup.repeats(segments, 400)
+    seen = collections.Counter(s[i : i + 400] for s in segments for i in range(len(s) - 399))
+    assert set(zip(seg.tolist(), at.tolist())) == {(k, i) for k, s in enumerate(segments) for i in range(len(s) - 399) if seen[s[i : i + 400]] > 1}
+
+
 # 8
 
 

@@ -169,6 +169,41 @@ def stars(kind: np.ndarray, store: Store) -> np.ndarray:
     return out
 
 
+def _runs(new: np.ndarray, m: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(starts, sizes) of the runs of more than one, where new tells that one begins; some `rows` members at a time, but a run whole."""
+    open_ = np.empty(0, np.int64)
+    for lo in range(0, m, rows):
+        at = np.append(open_, np.flatnonzero(new[lo : lo + rows]) + lo)
+        if lo + rows >= m:
+            at = np.append(at, m)
+        starts, sizes = at[:-1], np.diff(at)
+        use = sizes > 1
+        if use.any():
+            yield starts[use], sizes[use]
+        open_ = at[-1:]
+
+
+def _counts(text: np.ndarray, top: int, flip: int, store: Store) -> np.ndarray:
+    """How many symbols of the (flipped) text are up to each one: in memory, or in a file where there are many symbols."""
+    size = max(top, flip) + 1
+    if size <= store.rows:
+        count = np.zeros(top + 1, np.int64)
+        for lo in range(0, len(text), store.rows):
+            count += np.bincount(text[lo : lo + store.rows], minlength=top + 1)
+        return np.cumsum(np.append(np.zeros(size - top - 1, np.int64), count[::-1]) if flip else count)
+    count = store.empty(size, np.int64)
+    for lo in range(0, size, store.rows):
+        count[lo : lo + store.rows] = 0
+    for lo in range(0, len(text), store.rows):
+        found, n = np.unique(_lookup(text, slice(lo, lo + store.rows), flip), return_counts=True)
+        count[found] += n
+    before = 0
+    for lo in range(0, size, store.rows):
+        part = np.cumsum(count[lo : lo + store.rows]) + before
+        count[lo : lo + store.rows], before = part, int(part[-1])
+    return count
+
+
 def rank_pieces(text: np.ndarray, kind: np.ndarray, star: np.ndarray, store: Store) -> tuple[np.ndarray, np.ndarray, int]:
     """(order, rank of each piece in text order, number of ranks) of the pieces from each S* to the next, both included.
 
@@ -211,18 +246,9 @@ def rank_pieces(text: np.ndarray, kind: np.ndarray, star: np.ndarray, store: Sto
             last_key = got["key"][-1]
             at += len(got)
     # Refine runs of equal beginnings, some whole runs at a time.
-    heads = np.append(np.flatnonzero(new), m)
-    long_runs = np.flatnonzero(np.diff(heads) > 1)
-    lo = 0
-    while lo < len(long_runs):
-        hi, size = lo, 0
-        while hi < len(long_runs) and (hi == lo or size + heads[long_runs[hi] + 1] - heads[long_runs[hi]] <= store.rows):
-            size += heads[long_runs[hi] + 1] - heads[long_runs[hi]]
-            hi += 1
-        runs = long_runs[lo:hi]
-        sizes = heads[runs + 1] - heads[runs]
-        slot = np.repeat(heads[runs], sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        group, which, skip = np.repeat(heads[runs], sizes), np.array(order[slot]), per
+    for starts, sizes in _runs(new, m, store.rows):
+        slot = np.repeat(starts, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        group, which, skip = np.repeat(starts, sizes), np.array(order[slot]), per
         while len(which):
             last = np.where(which + 1 < m, star[np.minimum(which + 1, m - 1)], n)
             more = star[which] + skip <= last  # pieces of a group end together
@@ -241,7 +267,6 @@ def rank_pieces(text: np.ndarray, kind: np.ndarray, star: np.ndarray, store: Sto
             again = np.repeat(count > 1, count)
             slot, group, which = slot[again], group[again], which[again]
             skip += per
-        lo = hi
     rank, ranks = store.empty(m, np.int64), 0
     for lo in range(0, m, store.rows):
         r = np.cumsum(new[lo : lo + store.rows]) + ranks - 1
@@ -267,16 +292,11 @@ def induce_order(text: np.ndarray, seeds: np.ndarray, flip: int, begin: bool, st
 
     if begin and n:
         push(np.array([n - 1]), _lookup(text, np.array([n - 1]), flip))
-    count = np.zeros(int(max((int(np.max(text[lo : lo + store.rows])) for lo in range(0, n, store.rows)), default=0)) + 1, np.int64)
-    for lo in range(0, n, store.rows):
-        part = np.bincount(text[lo : lo + store.rows], minlength=len(count))
-        count += part
-    if flip:
-        count = np.append(np.zeros(flip + 1 - len(count), np.int64), count[::-1])
-    total = np.cumsum(count)
+    top = max((int(np.max(text[lo : lo + store.rows])) for lo in range(0, n, store.rows)), default=0)
+    total = _counts(text, top, flip, store)
     seed_at = low = 0
     result, filled = store.empty(n, np.int64), 0
-    while low < len(count):
+    while low < len(total):
         high = max(low, int(np.searchsorted(total, (total[low - 1] if low else 0) + store.rows // 4, "right")) - 1)
         while True:
             old_q = queue.pop_through(high)
