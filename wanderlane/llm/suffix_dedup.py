@@ -44,6 +44,7 @@ from .vector import _MULTIPLIER, _VALUES, blocks, mix64, powers
 LENGTH, GRAM = 400, 64
 PART = 16384  # distinct segments of one anchor hash that are sorted together, some 10 MB
 SHARD_BYTES = 1 << 20  # fits the memory of the sort; a shard is larger only where one part is
+TASK_BYTES = 4 << 20  # of text, that are worth a task and a file
 BLOCK, PIECE = 1 << 15, 1 << 17  # bytes of short texts, and of a long one, whose anchors are looked for at once
 SIDES = 4  # ranges of an anchor's offset in a window
 WORDS, CODE = 51, 6  # words of a passage that may not repeat; bytes that stand for a word when passages are looked for
@@ -276,7 +277,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = docs.select(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw")).filter(F.octet_length("raw") >= length)
     keyed = raw.select(F.substring(F.unhex(F.sha2("raw", 256)), 1, 16).alias("key"), "raw")
-    distinct = keyed.groupBy("key").agg(F.first("raw").alias("raw"), (F.count("*") > 1).alias("twice"))
+    distinct = keyed.groupBy("key").agg(F.first("raw").alias("raw"), (F.count("*") > 1).alias("twice")).withColumn("size", F.octet_length("raw"))
     name = f"wanderlane_texts_{uuid.uuid4().hex}"
     # The shuffle above deals texts by the same hash as the buckets, so they are written, and later read, in place.
     distinct.write.bucketBy(n, "key").option("compression", "zstd").saveAsTable(name)
@@ -287,14 +288,17 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 
 
 def _search(texts: DataFrame, n: int, length: int, part: int, shard_bytes: int) -> DataFrame:
-    grams = cut(texts.select("key", "raw", "twice").mapInArrow(_anchor_lists(length), "key binary, twice boolean, h array<long>, a array<int>, wide array<int>"), "grams")
+    # As many tasks, and files, as there are bytes for, up to the session's number of partitions.
+    size = int(texts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    tasks = max(1, min(n, -(-size // TASK_BYTES)))
+    grams = cut(texts.select("key", "raw", "twice").mapInArrow(_anchor_lists(length), "key binary, twice boolean, h array<long>, a array<int>, wide array<int>").coalesce(tasks), "grams")
     # Written out, so that the join below has two plain sides and a hot hash can be split.
     counts = grams.select(F.explode("h").alias("h"), (1 + F.col("twice").cast("int")).alias("n")).groupBy("h").agg(F.sum("n").alias("n"))
     n_anchors = int(grams.agg(F.coalesce(F.sum(F.size("h")), F.lit(0))).first()[0])
     common = cut(counts.filter("n > 1").select("h"), "common", most=n_anchors)
     places = grams.select("key", F.explode(F.arrays_zip("h", "a", "wide")).alias("g")).select("g.*", "key")
     hits = places.join(common, "h", "left_semi").groupBy("key").agg(F.collect_list(F.struct("h", "a", "wide")).alias("hits"))  # of one text
-    shared = cut(texts.join(hits, "key").select("key", "raw", "twice", "hits").mapInArrow(_segments(length), "h long, key binary, a int, b int, seg binary, n long, spans array<struct<lo:int,hi:int>>, sides array<long>"), "anchors")
+    shared = cut(texts.join(hits, "key").select("key", "raw", "twice", "hits").mapInArrow(_segments(length), "h long, key binary, a int, b int, seg binary, n long, spans array<struct<lo:int,hi:int>>, sides array<long>").coalesce(tasks), "anchors")
     drop(grams, common)
     segments = cut(shared.groupBy("h", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("key", "a", "b")).alias("at"), F.first("sides").alias("sides")), "segments", most=shared.count())
     n_segments = segments.count()
@@ -314,7 +318,7 @@ def _search(texts: DataFrame, n: int, length: int, part: int, shard_bytes: int)
     whole = shared.join(segments.filter("n > 1").select("h", "seg"), ["h", "seg"], "left_semi").select("key", "spans")
     spans = once.unionByName(whole).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # of one text
     hit = texts.join(spans, "key", "left").filter("twice or spans is not null").select("key", "raw", "twice", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
-    out = cut(hit.mapInArrow(_cut_out(length), "key binary, removed long, runs long, kept_sha256 string, spans array<struct<lo:int,hi:int>>"), "removed")
+    out = cut(hit.mapInArrow(_cut_out(length), "key binary, removed long, runs long, kept_sha256 string, spans array<struct<lo:int,hi:int>>").coalesce(tasks), "removed")
     drop(shared, segments, met, sorted_, found)
     return out
 
@@ -413,18 +417,20 @@ def _stripped(docs: DataFrame, text_col: str, words: int | None, options: dict)
     texts = keyed.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
     key = lambda c: F.substring(_keyed(c), 1, 16).alias("key")
     nothing = F.lit(None).cast("array<struct<lo:int,hi:int>>")
+    # Joins by digest and by row are never broadcasts: spans grow with the corpus, and plans stay the same at every size.
+    few = {"most": keyed.count(), "per_file": 20_000}
     spans = repeated_spans(texts, **options)
-    found = cut(texts.select("row", key("text")).join(spans.select("key", "spans"), "key").select("row", "spans", nothing.alias("passages")), "dedup-spans")
+    found = texts.select("row", key("text")).join(spans.select("key", "spans").hint("shuffle_merge"), "key").select("row", "spans", nothing.alias("passages"))
+    first = found = cut(found, "dedup-spans", **few)
     drop(spans)
     if words:
         coded = cut(texts.mapInArrow(_codes, f"row {keyed.schema[row].dataType.simpleString()}, codes binary"), "dedup-codes", "zstd")
         passages = repeated_spans(coded, "codes", **options | {"length": words * CODE})
-        more = coded.select("row", key("codes")).join(passages.select("key", F.col("spans").alias("passages")), "key").select("row", nothing.alias("spans"), "passages")
-        first = found
-        found = cut(first.unionByName(more).groupBy("row").agg(F.first("spans", True).alias("spans"), F.first("passages", True).alias("passages")), "dedup-spans")
+        more = coded.select("row", key("codes")).join(passages.select("key", F.col("spans").alias("passages")).hint("shuffle_merge"), "key").select("row", nothing.alias("spans"), "passages")
+        found = cut(first.unionByName(more).groupBy("row").agg(F.first("spans", True).alias("spans"), F.first("passages", True).alias("passages")), "dedup-spans", **few)
         drop(coded, passages, first)
     found = found.select(F.col("row").alias(row), F.struct("spans", "passages").alias(gone))
-    joined = keyed.join(found, row, "left").select(*docs.columns, gone)
+    joined = keyed.join(found.hint("shuffle_merge"), row, "left").select(*docs.columns, gone)
     return joined.mapInArrow(_strip(docs.columns.index(text_col), words or 0), docs.schema)
 
 
