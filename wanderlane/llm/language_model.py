@@ -31,7 +31,7 @@ from .vector import Block, blocks, mix64
 END, BEGIN = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 TEXT, TOKENS, PAIRS, TOTALS = 0, 1, 2, 3
 PART_BYTES = 4 << 20
-BLOCK_BYTES = 8 << 20  # the larger a block, the fewer requests for the same n-gram; some 30 times that in memory
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 4096  # the larger a block, the fewer requests for the same n-gram; some 30 times that in memory
 TASK_BYTES = 16 << 20  # input for each task of the two exchanges
 FINE = 4  # histogram cells for each factor of two
 LEAST = 1e-6  # of the uniform estimate's weight
@@ -91,7 +91,7 @@ def _named_blocks(batches):
         cuts = [k for k in range(len(file)) if not k or (file[k], start[k]) != (file[k - 1], start[k - 1])] + [len(file)]
         for lo, hi in zip(cuts, cuts[1:]):
             part, place = batch.slice(lo, hi - lo), (file[lo], start[lo])
-            for block in blocks(part.column("text"), BLOCK_BYTES):
+            for block in blocks(part.column("text"), BLOCK_BYTES, BLOCK_ROWS):
                 at = seen.get(place, 0) + block.lo
                 name = hashlib.blake2b(repr((place, at)).encode(), digest_size=8).digest()
                 yield int.from_bytes(name, "little", signed=True), part.slice(block.lo, block.rows), block

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES, BLOCK_ROWS = 1 << 19, 1024  # small enough for caches, and for the memory that a worker keeps
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -92,7 +92,7 @@ class Block:
         return np.repeat(np.arange(self.rows), np.diff(self.offsets))
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES, rows: int = BLOCK_ROWS) -> Iterator[Block]:
     """Blocks that together hold every row of a string or binary column, nulls as empty texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -101,6 +101,6 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     lo = 0
     while lo < len(column):
-        hi = max(lo + 1, min(lo + 4096, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1))
+        hi = max(lo + 1, min(lo + rows, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1))
         yield Block(lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
