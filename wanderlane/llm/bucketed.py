@@ -29,7 +29,8 @@ def cells(rows: DataFrame, key: str, member: str, sizes: DataFrame | None = None
     """
     sizes = rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1") if sizes is None else sizes
     sizes = sizes.select(key, F.ceil(F.col("n") / SPLIT).alias("_k"))
-    own = rows.join(sizes, key).withColumn("_s", side(F.col(member), F.col("_k")))
+    own = rows.join(sizes.hint("shuffle_merge"), key)  # never a broadcast: sizes grow with the input
+    own = own.withColumn("_s", side(F.col(member), F.col("_k")))
     out = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     return out.select(*rows.columns, F.least("_s", "_o").alias("i"), F.greatest("_s", "_o").alias("j"), (F.col("_s") <= F.col("_o")).alias("left"), (F.col("_s") >= F.col("_o")).alias("right"))
 

@@ -2,7 +2,7 @@
 
 large-star links each larger neighbour of a node to the least node around it, small-star the smaller ones; repeated, every
 component becomes a star around its least node. A round is a grouped minimum (with partial aggregation, so a hub is summed
-before the shuffle) joined back to the links (where a hub is split by the skew join). Each round is written to the shared
+before the shuffle) joined back to the links (by a merge, where a hub is split by the skew join; no side is broadcast). Each round is written to the shared
 folder; the one before the last is deleted.
 """
 
@@ -20,7 +20,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star operation over links (u, v) with u > v."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    joined = both.join(least.hint("shuffle_merge"), "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -7,7 +7,8 @@ in at most four bits, either two segments are equal, and they meet in that pair'
 other differs in one bit: so each fingerprint also looks up, for each segment, the Hamming ball of radius one around the
 next segment (only values with a set bit cleared: the other fingerprint looks up the rest). Matches are verified by the
 complete distance. Links are thinned to spanning forests where they are found, so a large group of copies costs links in
-proportion to its members.
+proportion to its members. Joins are merges, never broadcasts: both sides grow with the input, and a driver has to hold what
+is broadcast.
 
 Defined results: texts without words have fingerprint zero and are linked like any other; a null text is empty; a very long
 text is hashed whole, by one task; repeated rows and ids keep their rows; rows without an id take part, and component_id is
@@ -115,16 +116,16 @@ def _classes(prints: DataFrame) -> DataFrame:
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct", most=prints.count())
     n = distinct.count()
     stars = cut(components(link(distinct)), "simhash-components", most=n)
-    rooted = distinct.join(stars, distinct.fp == stars.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    rooted = distinct.join(stars.hint("shuffle_merge"), distinct.fp == stars.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return cut(rooted.join(roots, "root").select("fp", "root", "component_id"), "simhash-classes", most=n)
+    return cut(rooted.join(roots.hint("shuffle_merge"), "root").select("fp", "root", "component_id"), "simhash-classes", most=n)
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = cut(texts.mapInArrow(_fingerprint_batches, "doc_id long, fp long"), "simhash")
-    return prints.join(_classes(prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(_classes(prints).hint("shuffle_merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -134,11 +135,11 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     texts = keyed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     prints = cut(texts.mapInArrow(_fingerprint_batches, f"row {keyed.schema[row].dataType.simpleString()}, doc_id long, mark long, fp long"), "simhash")
     n_rows = prints.count()
-    roots = cut(prints.join(_classes(prints).select("fp", "root"), "fp").select("root", "row", F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "row").alias("place")), "simhash-roots", most=n_rows)
+    roots = cut(prints.join(_classes(prints).select("fp", "root").hint("shuffle_merge"), "fp").select("root", "row", F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "row").alias("place")), "simhash-roots", most=n_rows)
     first = roots.groupBy("root").agg(F.min("place")["row"].alias("row"))
-    gone = cut(roots.select("row").join(first.select("row"), "row", "left_anti"), "simhash-gone", most=n_rows)
+    gone = cut(roots.select("row").join(first.select("row").hint("shuffle_merge"), "row", "left_anti"), "simhash-gone", most=n_rows)
     drop(prints, roots)
-    return keyed.join(gone.withColumnRenamed("row", row), row, "left_anti").select(*docs.columns)
+    return keyed.join(gone.withColumnRenamed("row", row).hint("shuffle_merge"), row, "left_anti").select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
