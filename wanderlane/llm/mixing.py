@@ -143,11 +143,11 @@ def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK, shard_slots: int =
     spans = stream.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     first = F.col("block") * block
     spans = spans.select("s", "block", "key", (first - F.col("start")).alias("shift"), F.greatest(F.col("start") - first, F.lit(0)).alias("lo"), F.least(F.col("start") + F.col("size") - first, F.lit(block)).alias("hi"))
-    pieces = spans.join(uses, ["s", "block"]).filter("lo < least(hi, take)")
+    pieces = spans.join(uses.hint("shuffle_merge"), ["s", "block"]).filter("lo < least(hi, take)")
     pieces = cut(pieces.select("key", "shard", "k", "use", (F.col("shift") + F.col("lo")).alias("from"), (F.col("shift") + F.least("hi", "take")).alias("to")), "mix-pieces", most=cap * n_rows + most_slots)
     drop(counts, slots)
     taken = pieces.groupBy("key").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))
-    by_row = known.join(taken, "key", "left")
+    by_row = known.join(taken.hint("shuffle_merge"), "key", "left")
     return by_row.select("key", "doc_id", F.col("src").alias("source"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), pieces
 
 
@@ -161,12 +161,12 @@ def apply_mix(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     keyed = with_row_key(docs, key)
     by_row, pieces = mix(keyed, text_col=text_col, key_col=key, **options)
     stretches = pieces.groupBy("key", "use").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("parts"), F.sum(F.col("to") - F.col("from")).alias("n"))  # of one document
-    found = stretches.join(by_row.select("key", "size"), "key").select(F.col("key").alias(key), F.struct(F.when(F.col("n") < F.col("size"), F.col("parts")).alias("parts"), "size").alias(taken))
+    found = stretches.join(by_row.select("key", "size").hint("shuffle_merge"), "key").select(F.col("key").alias(key), F.struct(F.when(F.col("n") < F.col("size"), F.col("parts")).alias("parts"), "size").alias(taken))
     words = F.regexp_extract_all(F.col(text_col), F.lit(rf"[\x20\x09-\x0D]*{WORD}(?:[\x20\x09-\x0D]+$)?"), F.lit(0))
     # An array of one keeps the words bound once, whatever the number of parts.
     part = F.transform(F.array(words), lambda w: F.array_join(F.transform(F.col(taken)["parts"], lambda p: F.array_join(F.slice(w, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")), "")), ""))
     text = F.when(F.col(taken)["parts"].isNull(), F.col(text_col)).otherwise(F.get(part, F.lit(0)))
-    return keyed.join(found, key).withColumn(text_col, text).select(*docs.columns)
+    return keyed.join(found.hint("shuffle_merge"), key).withColumn(text_col, text).select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
