@@ -82,9 +82,9 @@ def hub_walks_traced(graph: Graph, sources: DataFrame, count: int, index: DataFr
 def one_hop_walks(graph: Graph, sources: DataFrame, count: int, alpha: float = ALPHA, **options) -> DataFrame:
     """source, node, score: alpha stays on the source exactly; the rest is spread by walks that begin one hop on, dealt to
     the out-neighbours in turn. A dangling source keeps everything."""
-    begun = sources.select("source").join(graph.nodes.select(F.col("node").alias("source"), F.col("out_deg").alias("deg")), "source", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
+    begun = sources.select("source").join(graph.placed.withColumnRenamed("node", "source"), "source", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
     numbers = begun.filter("deg > 0").withColumn("walk_no", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(count).cast("long"))))
-    dealt = numbers.withColumn("at", F.pmod(F.col("walk_no"), F.col("deg"))).join(graph.numbered_edges.select(F.col("node").alias("source"), "at", "dst"), ["source", "at"])
+    dealt = numbers.withColumn("at", F.pmod(F.col("walk_no"), F.col("deg"))).join(graph.numbered_edges.select(F.col("node").alias("list"), "at", "dst"), ["list", "at"])
     starts = dealt.select(F.col("source").alias("origin"), F.col("dst").alias("start"), "walk_no")
     ends = walks(graph, starts, alpha=alpha, **options)
     spread = ends.select(F.col("origin").alias("source"), "node", F.lit((1 - alpha) / count).alias("score"))

@@ -22,6 +22,7 @@ from ..plans.iterate import cut, short_rounds
 from .graph import Graph
 
 STEPS, STEPS_IN_A_PLAN = 60, 6
+FEW, MANY_EDGES = 200_000, 1 << 20  # so few walkers are broadcast to so many edges, a step a plan
 
 
 def walks(graph: Graph, starts: DataFrame, salt: str = "walk", alpha: float = ALPHA, steps: int = STEPS, restart: str = "source", trace: bool = False, halt: DataFrame | None = None) -> DataFrame:
@@ -37,35 +38,44 @@ def walks(graph: Graph, starts: DataFrame, salt: str = "walk", alpha: float = AL
     now = starts.select("origin", "start", "walk_no", F.coalesce(F.get(stops, F.lit(0)), F.lit(steps)).alias("length"), *(("node", F.col("halted").alias("step")) if "halted" in starts.columns else (F.col("start").alias("node"), F.lit(0).alias("step"))), F.lit(None).cast("int").alias("halted"))
     if trace:
         now = now.withColumn("path", F.array("start"))
-    edges = graph.numbered_edges.select(F.col("node").alias("from"), "at", "dst", "dst_deg")
-    degrees = graph.nodes.select("node", F.col("out_deg").alias("deg"))
-    now = now.join(degrees, "node", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
+    few = graph.entries > MANY_EDGES and starts.count() <= FEW
+    edges = None if few else graph.numbered_edges.withColumnRenamed("node", "from")
+    degrees = graph.placed
+    now = now.join(degrees, "node", "left").withColumns({"deg": F.coalesce("deg", F.lit(0)), "list": F.coalesce("list", "node")})
     back = {"source": F.col("origin"), "start": F.col("start"), "none": F.col("node")}[restart]
     back_deg = {"source": F.col("origin_deg"), "start": F.col("start_deg"), "none": F.lit(0)}[restart]
+    back_list = {"source": F.col("origin_list"), "start": F.col("start_list"), "none": F.col("list")}[restart]
     for end in {"source": ["origin"], "start": ["start"], "none": []}[restart]:
-        now = now.join(degrees.select(F.col("node").alias(end), F.col("deg").alias(f"{end}_deg")), end, "left").withColumn(f"{end}_deg", F.coalesce(f"{end}_deg", F.lit(0)))
+        at_end = degrees.select(F.col("node").alias(end), F.col("deg").alias(f"{end}_deg"), F.col("list").alias(f"{end}_list"))
+        now = now.join(at_end, end, "left").withColumns({f"{end}_deg": F.coalesce(f"{end}_deg", F.lit(0)), f"{end}_list": F.coalesce(f"{end}_list", end)})
     halts, back_halts = F.lit(False), F.lit(False)
     if halt is not None:
         marks = halt.select("node").distinct().withColumn("halts", F.lit(True))
-        edges = cut(edges.join(marks.withColumnRenamed("node", "dst"), "dst", "left"))
+        marked = lambda e: e.join(marks.withColumnRenamed("node", "dst"), "dst", "left")
+        edges = None if few else cut(marked(edges))
         now = now.join(marks.select(F.col("node").alias("back"), F.col("halts").alias("back_halts")), back == F.col("back"), "left").drop("back")
         halts, back_halts = F.coalesce("halts", F.lit(False)), F.coalesce("back_halts", F.lit(False))
-    parts, at = [], 0
+    parts, at, in_a_plan = [], 0, 1 if few else STEPS_IN_A_PLAN
+    now = cut(now) if few else now
     with short_rounds(graph.spark):
         while at < steps:
-            for k in range(at, min(at + STEPS_IN_A_PLAN, steps)):
+            for k in range(at, min(at + in_a_plan, steps)):
                 moves = (F.col("length") > k) & (F.col("step") <= k) & F.col("halted").isNull()
                 # Walkers that take no edge match nothing, under numbers of their own, so that they do not meet in one task.
                 n = F.pmod(draw(salt, F.lit("move"), F.col("start"), F.col("walk_no"), F.lit(k)), F.greatest(F.col("deg"), F.lit(1)))
                 now = now.withColumn("number", F.when(moves & (F.col("deg") > 0), n).otherwise(-1 - F.abs(F.hash("start", "walk_no").cast("long"))))
+                if few:
+                    edges = graph.numbered_among(now.filter("number >= 0").select("list", F.col("number").alias("at"))).withColumnRenamed("node", "from")
+                    edges = F.broadcast(edges if halt is None else marked(edges))
                 taken = F.col("dst").isNotNull()
                 node = F.when(taken, F.col("dst")).when(moves, back).otherwise(F.col("node"))
                 deg = F.when(taken, F.col("dst_deg")).when(moves, back_deg).otherwise(F.col("deg"))
+                at_list = F.when(taken, F.col("dst_list")).when(moves, back_list).otherwise(F.col("list"))
                 stays = F.when(moves & F.when(taken, halts).otherwise(back_halts), F.lit(k + 1)).otherwise(F.col("halted"))
-                joined = now.join(edges, (F.col("node") == F.col("from")) & (F.col("number") == F.col("at")), "left").withColumns({"node": node, "deg": deg, "halted": stays})
+                joined = now.join(edges, (F.col("list") == F.col("from")) & (F.col("number") == F.col("at")), "left").withColumns({"node": node, "deg": deg, "list": at_list, "halted": stays})
                 now = joined.withColumn("path", F.when(moves, F.concat("path", F.array("node"))).otherwise(F.col("path"))) if trace else joined
-                now = now.drop("number", "from", "at", "dst", "dst_deg", "halts")
-            at = min(at + STEPS_IN_A_PLAN, steps)
+                now = now.drop("number", "from", "at", "dst", "dst_deg", "dst_list", "halts")
+            at = min(at + in_a_plan, steps)
             now = cut(now)
             over = (F.col("length") <= at) | F.col("halted").isNotNull()
             parts.append(now.filter(over))
