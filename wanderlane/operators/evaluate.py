@@ -48,5 +48,7 @@ def errors(estimate: DataFrame, truth: DataFrame) -> DataFrame:
     """source, max_abs_err, avg_abs_err, max_rel_err, avg_rel_err over the nodes with a true score."""
     d = truth.select("source", "node", F.col("score").alias("t")).join(estimate.select("source", "node", F.col("score").alias("e")), ["source", "node"], "left")
     diff = F.abs(F.col("t") - F.coalesce("e", F.lit(0.0)))
-    d = d.select("source", diff.alias("a"), (diff / F.col("t")).alias("r"))
+    # A true score that was rounded to 0: as SQL divides doubles.
+    r = F.when(F.col("t") != 0, diff / F.nullif(F.col("t"), F.lit(0.0))).when(diff == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
+    d = d.select("source", diff.alias("a"), r.alias("r"))
     return d.groupBy("source").agg(F.round(F.max("a"), 9).alias("max_abs_err"), F.round(F.avg("a"), 9).alias("avg_abs_err"), F.round(F.max("r"), 9).alias("max_rel_err"), F.round(F.avg("r"), 9).alias("avg_rel_err"))
