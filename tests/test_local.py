@@ -1,6 +1,8 @@
 """Pushes inside a worker give what joins give; shared lists give what the spelt-out edges give; large graphs still go by joins."""
 
-from wanderlane.operators import local, push
+import pytest
+
+from wanderlane.operators import local, push, walks
 from wanderlane.operators.graph import Graph, adjacency_lists, clean_edges
 
 PAIRS = [(0, 1), (0, 2), (1, 2), (2, 0), (2, 3), (2, 3), (3, 1), (4, 0)]
@@ -32,3 +34,31 @@ def test_shared_lists_are_the_same_graph(spark):
     assert rows(g.nodes) == rows(flat.nodes) and rows(adjacency_lists(g)) == rows(adjacency_lists(flat))
     s = table([(0,), (5,)], "source long")
     assert rows(push.power_iteration(g, s, 20)) == rows(push.power_iteration(flat, s, 20))
+
+
+def test_rounds_with_all_edges_are_those_of_a_frontier(spark, monkeypatch):
+    pairs = [(k, (k * j + j) % 90) for k in range(90) for j in (1, 4, 7) if k % 9 and (k * j + j) % 90 != k] + [(k, 5) for k in range(6, 80)]
+    g = Graph(clean_edges(spark.createDataFrame(pairs, "src long, dst long")))
+    t = spark.createDataFrame([(k,) for k in range(0, 90, 4)], "target long")
+    s = t.withColumnRenamed("target", "source")
+    jobs = [lambda: push.power_iteration(g, s, 20).select("source", "node", "score"), lambda: push.forward_push(g, push.unit_state(s), 0.0001).select("source", "node", "reserve", "residual"),
+        lambda: push.reverse_push(g, push.unit_state(t, "target"), 0.0001).select("target", "node", "reserve", "residual")]
+    got = {}
+    for dense in (0, 1 << 40):
+        monkeypatch.setattr(local, "DENSE", dense)
+        got[dense] = [rows(j()) for j in jobs]
+    assert got[0] == got[1 << 40]
+
+
+@pytest.mark.parametrize("restart", ["source", "start", "none"])
+def test_walks_in_a_worker_are_those_by_joins(spark, monkeypatch, restart):
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    plain, holds, members = [(0, 1), (0, 1), (0, 5), (1, 2), (1, 7)], [(2, 2), (5, 2)], [(2, 0), (2, 3), (2, 3)]
+    pairs = plain + [(n, d) for n, _ in holds for _, d in members]
+    g = Graph(clean_edges(table(pairs, "src long, dst long")), plain=clean_edges(table(plain, "src long, dst long")), holds=table(holds, "node long, list long"), members=table(members, "list long, dst long"))
+    starts = table([(o, s, w) for o, s in ((0, 0), (0, 7), (9, 2), (9, 9), (-4, 11), (8, 8)) for w in range(1, 9)], "origin long, start long, walk_no long")
+    job = lambda: walks.walks(g, starts, steps=6, restart=restart, trace=restart != "start")
+    mine = job().columns, rows(job())
+    monkeypatch.setattr(local, "walk", None)
+    monkeypatch.setattr(local, "MOST", -1)
+    assert mine == (job().columns, rows(job()))

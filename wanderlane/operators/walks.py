@@ -1,9 +1,10 @@
 """Random walks that stop with probability alpha before each step.
 
 A walk's numbers are a hash of (salt, start, number, step), so its length is known before it moves, a longer run of walks
-contains the shorter one, and walks can be cached, indexed and recomputed. A step is a join of the walkers with the numbered
-edges on (node, drawn number): it reads one edge, and the walkers at a hub are spread over its edges. Several steps make
-one plan, then the walkers are written out.
+contains the shorter one, and walks can be cached, indexed and recomputed. On graphs that fit a worker the walkers move there
+(local.py), all steps in one job. On others a step is a join of the walkers with the numbered edges on (node, drawn
+number): it reads one edge, and the walkers at a hub are spread over its edges. Several steps make one plan, then the
+walkers are written out.
 
 Dangling nodes: a walker that must leave one goes to `origin` (restart="source"), to where it started ("start"), or stays
 for good ("none").
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.params import ALPHA
 from ..functions.rng import below, draw
 from ..plans.iterate import cut, short_rounds
+from . import local
 from .graph import Graph
 
 STEPS, STEPS_IN_A_PLAN = 60, 6
@@ -34,6 +36,8 @@ def walks(graph: Graph, starts: DataFrame, salt: str = "walk", alpha: float = AL
     trace: a row for each visited node instead (with `step`). A walk that has not stopped after `steps` steps ends there, which
     happens to (1 - alpha)^steps of them: 1.5e-6 of them at 60.
     """
+    if halt is None and "halted" not in starts.columns and local.fits(graph):
+        return local.walk(graph, starts, salt, alpha, steps, restart, trace)
     stops = F.filter(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: draw(salt, F.lit("stop"), F.col("start"), F.col("walk_no"), k) < below(alpha))
     now = starts.select("origin", "start", "walk_no", F.coalesce(F.get(stops, F.lit(0)), F.lit(steps)).alias("length"), *(("node", F.col("halted").alias("step")) if "halted" in starts.columns else (F.col("start").alias("node"), F.lit(0).alias("step"))), F.lit(None).cast("int").alias("halted"))
     if trace:
