@@ -37,7 +37,7 @@ def ppr_search(graph: Graph, sources: DataFrame, k: int, eps: float, least_delta
     state = unit_state(open_)
     while True:
         now = P.push_walk(p)
-        state = forward_push(graph, state, now.rmax)
+        state = cut(forward_push(graph, state, now.rmax))  # read many times, and by the next round
         found = cut(B.ppr_bounds(_round(graph, state, now.walks, **options), n, p.pfail, known))
         last = p.delta <= least
         stop = found.select("source").distinct() if last else B.stops(found, k, eps, p.delta, threshold).filter("stop").select("source")
@@ -46,7 +46,7 @@ def ppr_search(graph: Graph, sources: DataFrame, k: int, eps: float, least_delta
         open_ = cut(open_.join(stop, "source", "left_anti"))
         if last or open_.isEmpty():
             break
-        known, state = found.join(open_, "source", "left_semi"), state.join(open_, "source", "left_semi")
+        known, state = found.join(open_, "source", "left_semi"), cut(state.join(open_, "source", "left_semi"))
         p = P.replace(p, delta=max(least, p.delta / 2))
     out = done[0]
     for more in done[1:]:
@@ -72,7 +72,7 @@ def hitting_search(graph: Graph, sources: DataFrame, k: int, eps: float, least_d
     while True:
         now = P.push_walk(P.replace(base, delta=delta))
         if refine_ppr or found is None:
-            state = forward_push(graph, state, now.rmax)
+            state = cut(forward_push(graph, state, now.rmax))
             found = cut(B.ppr_bounds(_round(graph, state, now.walks, **options), n, base.pfail, found))
         chosen = B.candidates(found, k) if own is None else B.candidates(B.hitting_bounds(found, own), k)
         targets = cut(chosen.select(F.col("node").alias("target")).distinct())
