@@ -67,7 +67,7 @@ def hitting_search(graph: Graph, sources: DataFrame, k: int, eps: float, least_d
     least, sources = max(P.ALPHA / n, least_delta or 0), cut(sources.select("source").distinct())
     delta, eps_self = 0.25, 0.5
     least_eps = math.sqrt(1 / (n * P.ALPHA))
-    state, found, own, pushed = unit_state(sources), None, None, None
+    state, found, own, pushed, scores, scored = unit_state(sources), None, None, None, None, None
     refine_ppr = True
     while True:
         now = P.push_walk(P.replace(base, delta=delta))
@@ -80,11 +80,13 @@ def hitting_search(graph: Graph, sources: DataFrame, k: int, eps: float, least_d
         rmax = s.eps_self * math.sqrt(s.delta_self * m / (n * P.ALPHA * (2 + s.eps_self) * s.log_term))
         count = math.ceil(rmax * (2 + s.eps_self) * s.log_term / (s.delta_self * s.eps_self**2))
         count = max(1, min(count, most_self_walks or count))
-        begun = unit_state(targets, "target") if pushed is None else unit_state(targets.join(pushed.select("target"), "target", "left_anti"), "target").unionByName(pushed.join(targets, "target", "left_semi"))
-        refined = cut(reverse_push(graph, begun, rmax).select("target", "node", "reserve", "residual"))
-        pushed = refined if pushed is None else cut(refined.unionByName(pushed.join(targets, "target", "left_anti")))
-        scores = self_by_walks(graph, targets, rmax, count, state=refined, **options)
-        own = cut(B.self_bounds(scores, base.pfail, s.eps_self, rmax, float(count), own))
+        if scored != eps_self:  # else the scores of the last round, of targets that these are among
+            begun = unit_state(targets, "target") if pushed is None else unit_state(targets.join(pushed.select("target"), "target", "left_anti"), "target").unionByName(pushed.join(targets, "target", "left_semi"))
+            refined = cut(reverse_push(graph, begun, rmax).select("target", "node", "reserve", "residual"))
+            pushed = refined if pushed is None else cut(refined.unionByName(pushed.join(targets, "target", "left_anti")))
+            scores, scored = cut(self_by_walks(graph, targets, rmax, count, state=refined, **options)), eps_self
+        mine = scores.join(targets.withColumnRenamed("target", "node"), "node", "left_semi")
+        own = cut(B.self_bounds(mine, base.pfail, s.eps_self, rmax, float(count), own))
         both = cut(B.candidates(B.hitting_bounds(found, own), k))
         settled = B.stops(both, k, eps, P.ALPHA / n).agg(F.min(F.col("stop").cast("int"))).first()[0]
         if settled or (delta <= least and eps_self <= least_eps):
