@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, worker_cache
+from .common import give_back, table, worker_cache
 
 MARK = "▁"
 CHUNK_CHARS = 1 << 21
@@ -73,8 +73,7 @@ class Pieces:
             if len(p) > 2:
                 lengths.setdefault(p[-3:], {2, 1} if p[-2:] in self._raws else {1}).add(len(p))
         self._sizes = {tail: tuple(sorted(found, reverse=True)) for tail, found in lengths.items()}
-        self._forget()
-        self._units: dict[str, bytes] = {}
+        self.release()
 
     def merge(self, text: str) -> list[str]:
         """Encoding of a short text from the definition: merge the best adjacent pair, the leftmost of equals, while there is one."""
@@ -95,6 +94,11 @@ class Pieces:
         self._first: dict[str, bool] = {}
         self._n_pairs = 0
 
+    def release(self) -> None:
+        """Forgets what was learned from texts: a worker that lives on for other work holds the vocabulary alone."""
+        self._forget()
+        self._units: dict[str, bytes] = {}
+
     def _raw(self, piece: str) -> bytes:
         """Ids (int32) of a piece, or of the bytes of a character outside the vocabulary."""
         k = self.ids.get(piece)
@@ -154,7 +158,7 @@ _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+", re.DOTALL)
 
 
 def _loaded(path: str) -> Pieces:
-    """One vocabulary, with what it has learned about pairs, for all tasks of a worker process."""
+    """One vocabulary for all tasks of a worker process."""
     known = worker_cache().setdefault("pieces", {})
     if path not in known:
         known[path] = Pieces(path)
@@ -173,14 +177,18 @@ def _chunks(texts: list[str | None]):
 def _encode(path: str):
     def run(batches):
         pieces = _loaded(path)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in _chunks(texts):
-                ids = pieces.encode(texts[lo:hi])
-                same = [pieces.decode(x) == (t or "") for x, t in zip(ids, texts[lo:hi])]
-                sizes = np.array([len(x) for x in ids], np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(sizes), lists, pa.array(same)], ["doc_id", "n_pieces", "ids", "round_trip"])
+        try:
+            for batch in batches:
+                texts = batch.column("text").to_pylist()
+                for lo, hi in _chunks(texts):
+                    ids = pieces.encode(texts[lo:hi])
+                    same = [pieces.decode(x) == (t or "") for x, t in zip(ids, texts[lo:hi])]
+                    sizes = np.array([len(x) for x in ids], np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(sizes), lists, pa.array(same)], ["doc_id", "n_pieces", "ids", "round_trip"])
+        finally:
+            pieces.release()
+            give_back()
 
     return run
 
