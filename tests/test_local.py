@@ -1,5 +1,7 @@
 """Pushes inside a worker give what joins give; shared lists give what the spelt-out edges give; large graphs still go by joins."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from wanderlane.operators import local, push, walks
@@ -62,3 +64,36 @@ def test_walks_in_a_worker_are_those_by_joins(spark, monkeypatch, restart):
     monkeypatch.setattr(local, "walk", None)
     monkeypatch.setattr(local, "MOST", -1)
     assert mine == (job().columns, rows(job()))
+
+
+def test_few_keys_on_shared_lists_run_rounds_with_all_edges(spark, monkeypatch):
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    plain = [(k, (7 * k + j) % 60) for k in range(60) if k % 10 not in (2, 5) for j in (1, 3, 8)]
+    holds, members = [(k, 2 if k % 10 == 2 else 5) for k in range(60) if k % 10 in (2, 5)], [(2, 1), (2, 13), (2, 13), (2, 44), (5, 3), (5, 57)]
+    pairs = plain + [(n, d) for n, a in holds for b, d in members if a == b]
+    g = Graph(clean_edges(table(pairs, "src long, dst long")), plain=clean_edges(table(plain, "src long, dst long")), holds=table(holds, "node long, list long"), members=table(members, "list long, dst long"))
+    s = table([(2,), (5,), (31,), (99,)], "source long")
+    jobs = [lambda: push.power_iteration(g, s, 30), lambda: push.forward_push(g, push.unit_state(s), 0.0001).select("source", "node", "reserve", "residual")]
+    ran = []
+    dense = local.Batch.dense
+    monkeypatch.setattr(local.Batch, "dense", lambda *a: (ran.append(1), dense(*a))[1])
+    edges, keys = np.array(plain + members).T, [2, 5, 31]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * edges.shape[1] + [2] * len(holds) + [1] * 3, pa.int32()), pa.array([*edges[0], *[n for n, _ in holds], *keys]), pa.array([*edges[1], *[a for _, a in holds], *keys]), pa.array([0.0] * (edges.shape[1] + len(holds) + 3)), pa.array([0.0] * (edges.shape[1] + len(holds)) + [1.0] * 3)], ["kind", "a", "b", "x", "y"])
+    list(local._work("power", 0.0, 0.2, 30, None, False)(iter([batch])))
+    assert ran
+    monkeypatch.undo()
+    mine = [rows(j()) for j in jobs]
+    monkeypatch.setattr(local, "MOST", -1)
+    assert mine == [rows(j()) for j in jobs]
+
+
+def test_ids_far_apart_are_numbered_as_ids_close_together():
+    far = np.array([5, -(1 << 40), 1 << 50, 5]), np.array([1 << 50, 5, -(1 << 40), 1 << 50])
+    close = np.array([1, 0, 2, 1]), np.array([2, 1, 0, 2])
+    none = np.empty((2, 0), np.int64)
+    a, b = (local.Csr(np.stack(e), none, np.empty(0, np.int64), None) for e in (far, close))
+    assert a.place is None and b.place is not None
+    for name in ("owner", "dst", "first", "deg", "list_of"):
+        assert getattr(a, name).tolist() == getattr(b, name).tolist()
+    some = np.random.default_rng(1).integers(0, 1 << 18, 5000)
+    assert (local.stable_order(some, 1 << 18) == np.argsort(some, kind="stable")).all()
