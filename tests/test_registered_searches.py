@@ -50,3 +50,12 @@ def test_registered_hitting_search_finds_the_best(spark, monkeypatch):
         assert len(mine) == 5
         for r in mine:
             assert true[x, r.node] >= best[r["rank"] - 1] * (1 - 0.5)
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
+def test_exact_scores_are_computed_once_for_the_evaluation_of_hitting_lists(spark, monkeypatch):
+    small = str(Path(DATA).with_name("sf0.001"))
+    asked = spied(monkeypatch, push, "power_iteration", lambda *a, **o: 1)
+    monkeypatch.setattr(truth, "power_iteration", push.power_iteration)
+    assert queries.eval_ndcg_dht(spark, small).count() > 0
+    assert asked == [1]
