@@ -1,10 +1,13 @@
 """Pushes inside a worker give what joins give; shared lists give what the spelt-out edges give; large graphs still go by joins."""
 
+import shutil
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from wanderlane.operators import local, push, walks
+from wanderlane.operators import graph, local, push, walks
 from wanderlane.operators.graph import Graph, adjacency_lists, clean_edges
 
 PAIRS = [(0, 1), (0, 2), (1, 2), (2, 0), (2, 3), (2, 3), (3, 1), (4, 0)]
@@ -66,6 +69,39 @@ def test_walks_in_a_worker_are_those_by_joins(spark, monkeypatch, restart):
     assert mine == (job().columns, rows(job()))
 
 
+@pytest.mark.parametrize("about", [0, 120])  # packed when walkers come, or at once
+def test_few_walkers_on_a_large_graph_read_their_lists_only(spark, monkeypatch, about):
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    plain = [(k, (7 * k + j) % 60) for k in range(60) if k % 10 not in (2, 5, 9) for j in (1, 3, 8)]
+    holds, members = [(k, 2 if k % 10 == 2 else 5) for k in range(60) if k % 10 in (2, 5)], [(2, 1), (2, 13), (2, 13), (2, 44), (5, 3), (5, 57)]
+    pairs = plain + [(n, d) for n, a in holds for b, d in members if a == b]
+    made = lambda **more: Graph(clean_edges(table(pairs, "src long, dst long")), plain=clean_edges(table(plain + plain[::2], "src long, dst long")), holds=table(holds, "node long, list long"), members=table(members, "list long, dst long"), once=True, **more)
+    starts = table([(o, s, w) for o, s in ((0, 0), (2, 9), (77, 77), (5, 5)) for w in range(1, 9)], "origin long, start long, walk_no long")
+    jobs = [lambda g: walks.walks(g, starts, steps=4, trace=True), lambda g: g.nodes, lambda g: g.greatest(58), lambda g: g.lists]
+    monkeypatch.setattr(local, "MOST", -1)
+    true = [rows(j(made())) for j in jobs]
+    monkeypatch.setattr(walks, "MANY_EDGES", 0)
+    monkeypatch.setattr(graph, "FOLDER", 24)
+    monkeypatch.setattr(local, "PART", 4)  # lists of several rows
+    monkeypatch.setattr(local, "OUT_ROWS", 3)
+    g = made(about=about)
+    assert [rows(j(g)) for j in jobs] == true
+    for part in (4, 22):
+        monkeypatch.setattr(local, "PART", part)
+        g = made(about=about)
+        for list_, ats in ((8, [0, 2]), (2, [1, 2, 3])):  # all other folders may be gone
+            want = table([(list_, at) for at in ats], "list long, at long")
+            numbered = rows(g.numbered_edges.join(want.withColumnRenamed("list", "node"), ["node", "at"]))
+            assert rows(g.numbered_among(want).select("node", "at", "dst", "dst_deg", "dst_list")) == numbered and len(numbered) == len(ats)
+        packed = g._made["packed"]
+        assert packed.parted == (part == 4) and packed.folders > 1
+        at = table([(8,)], "list long").select(packed.folder).first()[0]
+        for folder in Path(packed.rows.cut_path.removeprefix("file://")).glob("folder=*"):
+            if folder.name != f"folder={at}":
+                shutil.rmtree(folder)
+        assert len(rows(g.numbered_among(table([(8, 0), (8, 2)], "list long, at long")))) == 2
+
+
 def test_few_keys_on_shared_lists_run_rounds_with_all_edges(spark, monkeypatch):
     table = lambda rows, schema: spark.createDataFrame(rows, schema)
     plain = [(k, (7 * k + j) % 60) for k in range(60) if k % 10 not in (2, 5) for j in (1, 3, 8)]

@@ -61,8 +61,9 @@ def walks(graph: Graph, starts: DataFrame, salt: str = "walk", alpha: float = AL
         halts, back_halts = F.coalesce("halts", F.lit(False)), F.coalesce("back_halts", F.lit(False))
     parts, at, in_a_plan = [], 0, 1 if few else STEPS_IN_A_PLAN
     now = cut(now) if few else now
+    most = now.agg(F.max("length")).first()[0] or 0 if few else steps
     with short_rounds(graph.spark):
-        while at < steps:
+        while at < max(1, min(steps, most)):
             for k in range(at, min(at + in_a_plan, steps)):
                 moves = (F.col("length") > k) & (F.col("step") <= k) & F.col("halted").isNull()
                 # Walkers that take no edge match nothing, under numbers of their own, so that they do not meet in one task.
@@ -84,7 +85,7 @@ def walks(graph: Graph, starts: DataFrame, salt: str = "walk", alpha: float = AL
             over = (F.col("length") <= at) | F.col("halted").isNotNull()
             parts.append(now.filter(over))
             now = now.filter(~over)
-            if now.isEmpty():
+            if (not few or halt is not None) and now.isEmpty():
                 break
     done = reduce(DataFrame.unionByName, parts)
     if trace:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import params as P
 from ..functions.rng import sql_draw
-from ..operators import bounds, estimators, evaluate, graph, index, push, search, topk, truth, walks
+from ..operators import bounds, estimators, evaluate, graph, index, local, push, search, topk, truth, walks
 from ..sources import tables
 from . import oracles as O
 
@@ -40,9 +40,11 @@ def query(sql: str | None = None):
     return register
 
 
-def trade(spark: SparkSession, sf_dir: str) -> graph.Graph:
+def trade(spark: SparkSession, sf_dir: str, walked: bool = False) -> graph.Graph:
+    """walked: for steps of few walkers; a graph that is too large for a worker is written for them."""
     plain, holds, members = tables.trade_lists(spark, sf_dir)
-    return graph.Graph(graph.clean_edges(tables.trade_edges(spark, sf_dir)), plain=graph.clean_edges(plain), holds=holds, members=members)
+    about = tables.trade_entries(spark, sf_dir) if walked else 0
+    return graph.Graph(graph.clean_edges(tables.trade_edges(spark, sf_dir)), plain=graph.clean_edges(plain), holds=holds, members=members, once=True, about=about if about > local.MOST else 0)
 
 
 def event(spark: SparkSession, sf_dir: str) -> graph.Graph:
@@ -50,7 +52,7 @@ def event(spark: SparkSession, sf_dir: str) -> graph.Graph:
 
 
 def top_sources(g: graph.Graph, count: int = SOURCES) -> DataFrame:
-    return g.nodes.orderBy(F.col("out_deg").desc(), "node").limit(count).select(F.col("node").alias("source"))
+    return g.greatest(count).select(F.col("node").alias("source"))
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -139,13 +141,13 @@ def ppr_exact_topk(spark, d):
 
 @query(O.query([T, S_FEW, O.walk(O.source_starts(WALKS), STEPS)], f"select origin as source, node, round(count(*) / {float(WALKS)}, 9) as score from w_ends group by 1, 2"))
 def ppr_monte_carlo(spark, d):
-    g = trade(spark, d)
+    g = trade(spark, d, walked=True)
     return rounded(walks.monte_carlo(g, top_sources(g, FEW), WALKS, steps=STEPS), "score")
 
 
 @query(O.query([T, S_FEW, O.walk(O.source_starts(WALKS), STEPS, salt="second", restart="start")], f"select origin as source, rank::int as rank, node, score from (select *, row_number() over (partition by origin order by score desc, node) as rank from (select origin, node, round(count(*) / {float(WALKS)}, 9) as score from w_ends group by 1, 2)) where rank <= {K}"))
 def ppr_monte_carlo_topk(spark, d):
-    g = trade(spark, d)
+    g = trade(spark, d, walked=True)
     return topk.top_k(rounded(walks.monte_carlo(g, top_sources(g, FEW), WALKS, steps=STEPS, salt="second", restart="start"), "score"), K)
 
 
