@@ -217,3 +217,20 @@ def test_windowed_degrees_of_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.start.hour, r.node, r.out_deg) for r in spark.table("windows").collect()) == [(10, 0, 2), (11, 0, 1)]
+
+
+def crowded(spark):
+    """From 0, pages 1, 2, .. that link back and forth with one of their own come before others by ppr, and after them by dht."""
+    twins, ends = range(1, 13), range(31, 35)
+    pairs = [(0, t) for t in twins for _ in range(5)] + [(0, e) for e in ends for _ in range(6)]
+    pairs += [p for t in twins for p in ((t, 50 + t), (50 + t, t))] + [(e, 99) for e in ends] + [(99, 98)]
+    return graph(spark, pairs)
+
+
+def test_hitting_lists_have_nodes_that_many_precede_by_ppr(spark):
+    g, s = crowded(spark), sources(spark, 0)
+    exact = topk.top_k(estimators.ratio(push.power_iteration(g, s, 60), truth.all_self(g)), 4)
+    by_ppr = {r.node for r in topk.top_k(push.power_iteration(g, s, 60), truth.self_candidates(4)).collect()}
+    assert not {r.node for r in exact.collect()} <= by_ppr
+    got = truth.exact_hitting(g, s, 4, 60)
+    assert [(r["rank"], r.node, round(r.score, 9)) for r in got.orderBy("rank").collect()] == [(r["rank"], r.node, round(r.score, 9)) for r in exact.orderBy("rank").collect()]

@@ -138,15 +138,15 @@ def truth_of(graph: Graph, sources: DataFrame, options: Options, folder: str | N
     """
     k, spark = options.k, graph.spark
     hitting = options.algo in DHT
-    # Of a longer list, more is kept: the candidates among which the k best hitting scores are.
-    size = truth.self_candidates(k) if hitting else k
-    known = files.read_truth(spark, files.truth_path(folder, "ppr", size)) if folder else None
+    # Of hitting scores, more is kept: the candidates among which the k best are.
+    make, path = (truth.exact_candidates, files.truth_path(folder, "ppr-dht", k)) if hitting else (truth.exact_topk, files.truth_path(folder, "ppr", k))
+    known = files.read_truth(spark, path) if folder else None
     missing = sources.select("source") if known is None else sources.select("source").join(known.select("source").distinct(), "source", "left_anti")
     if known is None or not missing.isEmpty():
-        new = cut(truth.exact_topk(graph, missing, size, options.rounds))
+        new = cut(make(graph, missing, k, options.rounds))
         known = new if known is None else cut(known.unionByName(new))
         if folder:
-            files.write_truth(known, files.truth_path(folder, "ppr", size))
+            files.write_truth(known, path)
     ppr = known.join(sources.select("source"), "source", "left_semi")
     if not hitting:
         return ppr, None
