@@ -133,3 +133,25 @@ def test_ids_far_apart_are_numbered_as_ids_close_together():
         assert getattr(a, name).tolist() == getattr(b, name).tolist()
     some = np.random.default_rng(1).integers(0, 1 << 18, 5000)
     assert (local.stable_order(some, 1 << 18) == np.argsort(some, kind="stable")).all()
+
+
+def test_pushes_for_own_scores_are_held_to_what_can_come_back(monkeypatch):
+    rng = np.random.default_rng(5)
+    pairs = {(int(a) + 40 * c, int(b) + 40 * c) for c in range(3) for a, b in rng.integers(0, 40, (90, 2)) if a != b} | {(3, 44), (44, 85), (7, 200), (201, 7)}
+    g = local.Csr(np.array(sorted(pairs)).T, np.empty((2, 0), np.int64), np.array([300]), None)
+    reach = np.eye(g.n, dtype=int)
+    reach[g.owner, g.dst] = 1
+    for _ in range(8):
+        reach = (reach @ reach > 0).astype(int)
+    part = local.strong(g.first, g.dst)
+    assert ((part[:, None] == part) == (reach & reach.T > 0)).all()
+    g.turn()
+    many, sizes, batch = np.arange(g.n), [], local.Batch
+    whole = batch(g, g.n)
+    own = many * g.n + many
+    whole.run(own, own, np.zeros(g.n), np.ones(g.n), "reverse", 1e-6, 0.2, 1000)
+    monkeypatch.setattr(local, "SMALL", 1)
+    monkeypatch.setattr(local, "Batch", lambda part, many: sizes.append(part.n) or batch(part, many))
+    kept, left, late = local._own(g, g.ids, np.zeros(g.n), np.ones(g.n), 1e-6, 0.2, 1000)
+    assert np.allclose(kept, whole.kept[own], atol=1e-14) and np.allclose(left, whole.left[own], atol=1e-14) and not late
+    assert len(sizes) >= 3 and max(sizes) <= 40
