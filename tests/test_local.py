@@ -155,3 +155,18 @@ def test_pushes_for_own_scores_are_held_to_what_can_come_back(monkeypatch):
     kept, left, late = local._own(g, g.ids, np.zeros(g.n), np.ones(g.n), 1e-6, 0.2, 1000)
     assert np.allclose(kept, whole.kept[own], atol=1e-14) and np.allclose(left, whole.left[own], atol=1e-14) and not late
     assert len(sizes) >= 3 and max(sizes) <= 40
+
+
+@pytest.mark.parametrize("whole", [1 << 27, 4])
+def test_power_iterations_on_packed_lists_spell_no_edge_out(spark, monkeypatch, whole):
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    plain, holds, members = [(0, 1), (1, 2), (1, 2), (1, 5), (3, 2)], [(2, 2), (5, 2)], [(2, 0), (2, 3), (2, 3), (2, 8)]
+    pairs = sorted(set(plain)) + [(n, d) for n, _ in holds for _, d in members]
+    flat = Graph(clean_edges(table(pairs, "src long, dst long")))
+    s = table([(0,), (5,), (9,)], "source long")
+    expected = rows(push.power_iteration(flat, s, 20))
+    g = Graph(flat.edges, plain=clean_edges(table(plain, "src long, dst long")), holds=table(holds, "node long, list long"), members=table(members, "list long, dst long"), once=True, about=len(plain))
+    monkeypatch.setattr(local, "MOST", -1)
+    monkeypatch.setattr(local, "WHOLE", whole)
+    assert rows(push.power_iteration(g, s, 20)) == expected
+    assert ("out_edges" in g._made) == (whole == 4)

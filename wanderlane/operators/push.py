@@ -101,6 +101,8 @@ def power_iteration(graph: Graph, sources: DataFrame, rounds: int = 100, alpha:
     """source, node, score: alpha times the sum of the residuals of a fixed number of rounds; dangling nodes go to the source."""
     if local.fits(graph):
         out = local.push(graph, unit_state(sources), "source", "power", 0.0, alpha, rounds, whole=False)
+    elif (scores := local.power(graph, sources, rounds, alpha)) is not None:
+        return scores
     else:
         out = _run(unit_state(sources), lambda: graph.out_edges, "source", F.col("residual") > 0, F.when(F.col("deg") == 0, F.col("source")).otherwise(F.col("dst")), (1 - alpha) * F.col("residual") / F.greatest(F.col("deg"), F.lit(1)), alpha, rounds, _degrees(graph), whole=False)
     out = _with_lone(out.select("source", "node", "reserve", "residual"), unit_state(sources), graph, F.col("residual") * (1 - alpha) ** rounds, alpha)

@@ -41,7 +41,7 @@ def query(sql: str | None = None):
 
 
 def trade(spark: SparkSession, sf_dir: str, walked: bool = False) -> graph.Graph:
-    """walked: for steps of few walkers; a graph that is too large for a worker is written for them."""
+    """walked: for steps of few walkers or power iterations; a graph that is too large for a worker's pushes is packed for them."""
     plain, holds, members = tables.trade_lists(spark, sf_dir)
     about = tables.trade_entries(spark, sf_dir) if walked else 0
     return graph.Graph(graph.clean_edges(tables.trade_edges(spark, sf_dir)), plain=graph.clean_edges(plain), holds=holds, members=members, once=True, about=about if about > local.MOST else 0)
@@ -125,13 +125,13 @@ def sources_random_hash(spark, d):
 
 @query(O.query([T, S_FEW, O.power(ROUNDS)], f"select source, node, {r9('score')} from ppr"))
 def ppr_power_iteration(spark, d):
-    g = trade(spark, d)
+    g = trade(spark, d, walked=True)
     return rounded(push.power_iteration(g, top_sources(g, FEW), ROUNDS), "score")
 
 
 @query(O.query([T, S_FEW, O.power(ROUNDS)], f"select source, rank, node, {r9('score')} from ({O.top('(select source, node, round(score, 12) as score from ppr)', K)})"))
 def ppr_exact_topk(spark, d):
-    g = trade(spark, d)
+    g = trade(spark, d, walked=True)
     scores = push.power_iteration(g, top_sources(g, FEW), ROUNDS).withColumn("score", F.round("score", 12))
     return rounded(topk.top_k(scores, K), "score")
 
